@@ -1 +1,92 @@
-"""(filled in below)"""
+"""Segment queries: fixed-centre assignment (SQL-checked), profiles, actions,
+and the Spark ML sweep / PCA / K-means segmentation (rows-checked)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkjourney import schema as S
+from sparkjourney.operators.segments import (
+    RFM_COLS, MARKETING_ACTIONS, nearest_centroid, cluster_profile, marketing_actions, action_counts,
+    scaled_features, pca_variance, kmeans_sweep, segment,
+)
+from sparkjourney.operators.stats import standardize
+from sparkjourney.plans.profiles import events_rfm, SQL_RFM_EVENTS
+from sparkjourney.plans.registry import query, round_doubles
+
+# Centres in standardized (recency, frequency, monetary) space for the
+# SQL-checked assignment: 0 recent/frequent/high spend, 1 average,
+# 2 lapsed/infrequent/low spend.
+SEGMENT_CENTRES = [(-0.5, 1.0, 1.0), (0.0, 0.0, 0.0), (1.0, -1.0, -1.0)]
+
+
+def fixed_segments(spark, d):
+    """Events RFM -> z-scores -> nearest fixed centre: (user, recency, frequency, monetary, cluster, distance)."""
+    z = standardize(events_rfm(spark, d), list(RFM_COLS))
+    seg = nearest_centroid(z, [c + "_z" for c in RFM_COLS], SEGMENT_CENTRES)
+    return seg.select(S.USER, *RFM_COLS, "cluster", "distance")
+
+
+def _sql_dist(k, c):
+    return " + ".join(f"({col}_z - ({v}))*({col}_z - ({v}))" for col, v in zip(RFM_COLS, c))
+
+
+SQL_FIXED_SEGMENTS = f"""
+  WITH r AS ({SQL_RFM_EVENTS}),
+  z AS (SELECT *, {", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END AS {c}_z" for c in RFM_COLS)} FROM r),
+  dd AS (SELECT *, {", ".join(f"{_sql_dist(k, c)} AS d{k}" for k, c in enumerate(SEGMENT_CENTRES))} FROM z)
+  SELECT user_id, recency, frequency, monetary,
+         CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster,
+         sqrt(least(d0, d1, d2)) AS distance
+  FROM dd"""
+
+SQL_ACTIONS = f"""
+  SELECT user_id, recency, frequency, monetary, cluster,
+         CASE cluster {" ".join(f"WHEN {k} THEN '{v}'" for k, v in MARKETING_ACTIONS.items())} END AS marketing_action
+  FROM ({SQL_FIXED_SEGMENTS})"""
+
+
+@query("nearest_centroid", f"""
+  SELECT user_id, recency, frequency, round(monetary, 6) AS monetary, cluster, round(distance, 6) AS distance
+  FROM ({SQL_FIXED_SEGMENTS})""")
+def q_nearest_centroid(spark, d):
+    return round_doubles(fixed_segments(spark, d))
+
+
+@query("cluster_profile", f"""
+  SELECT cluster, COUNT(*) AS n_users, round(AVG(recency), 2) AS avg_recency,
+         round(AVG(frequency), 2) AS avg_frequency, round(AVG(monetary), 2) AS avg_monetary
+  FROM ({SQL_FIXED_SEGMENTS}) GROUP BY cluster""")
+def q_cluster_profile(spark, d):
+    return cluster_profile(fixed_segments(spark, d))
+
+
+@query("marketing_actions", f"SELECT user_id, recency, frequency, round(monetary, 6) AS monetary, cluster, marketing_action FROM ({SQL_ACTIONS})")
+def q_marketing_actions(spark, d):
+    return round_doubles(marketing_actions(fixed_segments(spark, d)))
+
+
+@query("action_counts", f"""
+  SELECT marketing_action, COUNT(*) AS customer_count FROM ({SQL_ACTIONS})
+  WHERE marketing_action IS NOT NULL GROUP BY marketing_action""")
+def q_action_counts(spark, d):
+    return action_counts(marketing_actions(fixed_segments(spark, d)))
+
+
+@query("pca_variance")
+def q_pca_variance(spark, d):
+    model, _ = scaled_features(events_rfm(spark, d), RFM_COLS, pca_k=3)
+    return spark.createDataFrame(pca_variance(model), "component int, explained double, cumulative double")
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, d):
+    _, feats = scaled_features(events_rfm(spark, d), RFM_COLS, pca_k=3)
+    rows, _ = kmeans_sweep(feats.cache(), range(2, 11), n_init=3)
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+@query("segments")
+def q_segments(spark, d):
+    seg, _, _ = segment(events_rfm(spark, d))
+    return seg
