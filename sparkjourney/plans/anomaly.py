@@ -1 +1,51 @@
-"""(filled in below)"""
+"""Anomaly queries: click/signup spikes, suspicious timeline, spike share, RFM Isolation Forest."""
+
+from __future__ import annotations
+
+from sparkjourney.operators.anomaly import event_spikes, suspicious_timeline, spike_share, rfm_anomalies
+from sparkjourney.plans import tables as t
+from sparkjourney.plans.profiles import events_rfm
+from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.schema import EVENTS_SPIKE_TYPES
+
+_IN = ", ".join(f"'{s}'" for s in EVENTS_SPIKE_TYPES)
+SQL_SPIKES = f"""
+  WITH c AS (SELECT user_id, COUNT(*) AS event_count FROM events
+             WHERE event_type IN ({_IN}) AND user_id IS NOT NULL GROUP BY user_id)
+  SELECT user_id, event_count FROM c WHERE event_count > (SELECT quantile_cont(event_count, 0.95) FROM c)"""
+
+
+def spikes(spark, d):
+    return event_spikes(t.events(spark, d), EVENTS_SPIKE_TYPES, 0.95)
+
+
+@query("event_spikes", SQL_SPIKES)
+def q_event_spikes(spark, d):
+    return spikes(spark, d)
+
+
+@query("suspicious_timeline", f"""
+  SELECT e.user_id, e.event_type, e.ts FROM events e
+  WHERE e.user_id IN (SELECT user_id FROM ({SQL_SPIKES}) ORDER BY user_id LIMIT 3)
+  ORDER BY e.user_id, e.ts""")
+def q_suspicious_timeline(spark, d):
+    return suspicious_timeline(t.events(spark, d), spikes(spark, d), n_users=3)
+
+
+@query("spike_share", f"""
+  WITH n AS (SELECT COUNT(DISTINCT user_id) AS total FROM events),
+  s AS (SELECT COUNT(DISTINCT user_id) AS k FROM ({SQL_SPIKES}))
+  SELECT 'Normal Users' AS category, total - k AS users, round((total - k) / total, 6) AS share FROM n, s
+  UNION ALL
+  SELECT 'Event Spike Anomalies', k, round(k / total, 6) FROM n, s""")
+def q_spike_share(spark, d):
+    return round_doubles(spike_share(t.events(spark, d), spikes(spark, d)))
+
+
+def rfm_iforest(spark, d):
+    return rfm_anomalies(events_rfm(spark, d), contamination=0.02, trees=100, sample=256, seed=42)
+
+
+@query("rfm_anomalies")
+def q_rfm_anomalies(spark, d):
+    return rfm_iforest(spark, d)

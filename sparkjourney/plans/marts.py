@@ -1 +1,73 @@
-"""(filled in below)"""
+"""Dashboard marts over the segments, actions, spikes and RFM anomalies."""
+
+from __future__ import annotations
+
+from sparkjourney.operators.marts import (
+    churn_from_action, overview, segment_sizes, churn_table, project_summary, summary_totals,
+    snapshot_shares, anomaly_counts,
+)
+from sparkjourney.operators.segments import marketing_actions, CHURN_ACTION_PATTERN
+from sparkjourney.plans.anomaly import spikes, rfm_iforest
+from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.plans.segments import fixed_segments, SQL_ACTIONS
+
+SQL_CHURN = f"""
+  SELECT *, CAST(CASE WHEN regexp_matches(marketing_action, '{CHURN_ACTION_PATTERN}', 'i') THEN 1 ELSE 0 END AS INTEGER) AS churn
+  FROM ({SQL_ACTIONS})"""
+
+EXPORT_CLUSTER = 2
+
+
+def actions(spark, d):
+    return marketing_actions(fixed_segments(spark, d))
+
+
+def actions_churn(spark, d):
+    return churn_from_action(actions(spark, d))
+
+
+@query("overview", f"""
+  SELECT COUNT(DISTINCT user_id) AS total_users, CAST(SUM(churn) AS BIGINT) AS churned_users,
+         COUNT(DISTINCT user_id) - CAST(SUM(churn) AS BIGINT) AS active_users
+  FROM ({SQL_CHURN})""")
+def q_overview(spark, d):
+    return overview(actions_churn(spark, d))
+
+
+@query("segment_sizes", f"SELECT cluster, COUNT(DISTINCT user_id) AS user_count FROM ({SQL_CHURN}) GROUP BY cluster")
+def q_segment_sizes(spark, d):
+    return segment_sizes(actions_churn(spark, d))
+
+
+@query("churn_table", f"SELECT user_id, cluster, churn, marketing_action FROM ({SQL_CHURN})")
+def q_churn_table(spark, d):
+    return churn_table(actions_churn(spark, d))
+
+
+@query("export_cluster", f"SELECT user_id, cluster, churn, marketing_action FROM ({SQL_CHURN}) WHERE cluster = {EXPORT_CLUSTER}")
+def q_export_cluster(spark, d):
+    return churn_table(actions_churn(spark, d), cluster=EXPORT_CLUSTER)
+
+
+def summary(spark, d):
+    return project_summary(fixed_segments(spark, d), actions(spark, d), rfm_iforest(spark, d), spikes(spark, d))
+
+
+@query("project_summary")
+def q_project_summary(spark, d):
+    return summary(spark, d)
+
+
+@query("summary_totals")
+def q_summary_totals(spark, d):
+    return summary_totals(summary(spark, d))
+
+
+@query("snapshot_shares")
+def q_snapshot_shares(spark, d):
+    return round_doubles(snapshot_shares(summary(spark, d)))
+
+
+@query("anomaly_counts")
+def q_anomaly_counts(spark, d):
+    return anomaly_counts(rfm_iforest(spark, d), spikes(spark, d))
