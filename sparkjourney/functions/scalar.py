@@ -49,3 +49,16 @@ def lookup(c, mapping: Mapping) -> Column:
     for k, v in mapping.items():
         kv += [F.lit(k), F.lit(v)]
     return F.create_map(*kv)[_col(c)]
+
+
+def with_scalar(df, name: str, one_row):
+    """Attach a one-row aggregate to every row as a single struct column.
+
+    ``one_row`` is a DataFrame with exactly one row (a global aggregate).  It
+    becomes one uncorrelated scalar subquery, evaluated once and shipped to
+    the tasks as a value (no join, no collect).  Read fields with
+    ``F.col(name)[field]`` and drop the column when done; referencing the
+    subquery once keeps the plan small however many expressions use it.
+    """
+    from pyspark.sql import functions as F
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())

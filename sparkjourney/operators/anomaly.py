@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkjourney import schema as S
+from sparkjourney.functions.scalar import with_scalar
 
 
 # --------------------------------------------------------------------------- spikes
@@ -68,11 +69,15 @@ def suspicious_timeline(events: DataFrame, spikes: DataFrame, n_users: int = 3,
 
 def spike_share(events: DataFrame, spikes: DataFrame, user: str = S.USER) -> DataFrame:
     """(category, users, share): normal vs spike users among all users."""
-    total = events.select(F.countDistinct(user)).scalar()
     n_spike = spikes.select(F.countDistinct(user).alias("n"))
-    rows = F.array(F.struct(F.lit("Normal Users").alias("category"), (total - F.col("n")).alias("users")),
-                   F.struct(F.lit("Event Spike Anomalies").alias("category"), F.col("n").alias("users")))
-    return n_spike.select(F.inline(rows)).withColumn("share", F.col("users") / total)
+    total = F.col("_t")["total"]
+    one = with_scalar(n_spike, "_t", events.select(F.countDistinct(user).alias("total")))
+    rows = F.array(F.struct(F.lit("Normal Users").alias("category"), (total - F.col("n")).alias("users"),
+                            total.alias("_total")),
+                   F.struct(F.lit("Event Spike Anomalies").alias("category"), F.col("n").alias("users"),
+                            total.alias("_total")))
+    return (one.select(F.inline(rows)).withColumn("share", F.col("users") / F.col("_total"))
+            .drop("_total"))
 
 
 # --------------------------------------------------------------------------- isolation forest

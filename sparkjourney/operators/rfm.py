@@ -70,8 +70,8 @@ def user_features(sessions: DataFrame, user: str = S.USER, ts: str = S.TS, event
                      F.max(ts).alias("_last"),
                      F.max(F.when(F.col(event) == F.lit(purchase), F.col(ts))).alias("_last_buy")))
     dur = per_session.groupBy(user).agg(F.avg("_dur").alias("session_duration"))
-    return (per_user.join(dur, user)
+    return (per_user.join(dur, user).withColumn("_ref", ref)
             .select(user, "frequency", "monetary", "session_duration", "event_count", "product_count",
-                    whole_days_between(F.col("_last_buy"), ref).alias("days_since_last_purchase"),
-                    whole_days_between(F.col("_last"), ref).alias("recency")))
+                    whole_days_between(F.col("_last_buy"), F.col("_ref")).alias("days_since_last_purchase"),
+                    whole_days_between(F.col("_last"), F.col("_ref")).alias("recency")))
 

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from sparkjourney.functions.scalar import with_scalar
+
 DESCRIBE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -29,12 +31,11 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", populati
     """
     std = F.stddev_pop if population else F.stddev_samp
     stats = df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols])
-    scal = stats.select(F.struct(*cols).alias("st")).scalar()
-    out = df
+    out = with_scalar(df, "_st", stats)
     for c in cols:
-        m, s = scal.getField(c).getField("m"), scal.getField(c).getField("s")
+        m, s = F.col("_st")[c]["m"], F.col("_st")[c]["s"]
         out = out.withColumn(c + suffix, F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0)))
-    return out
+    return out.drop("_st")
 
 
 def describe(df: DataFrame, col: str, probs: Sequence[float] = DESCRIBE_PROBS, exact: bool = True) -> DataFrame:
@@ -56,16 +57,17 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """
     x = F.col(col).cast("double")
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo = rng.select("lo").scalar()
-    hi = rng.select("hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
+    lo, hi = F.col("_r")["lo"], F.col("_r")["hi"]
     idx = F.when(hi > lo, F.least(F.floor((x - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1))) \
         .otherwise(F.lit(0)).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    counts = (with_scalar(df.where(x.isNotNull()), "_r", rng)
+              .groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    # the bin grid is generated from the one-row range table: `bins` rows
+    grid = rng.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (grid.join(counts, "bin", "left")
-            .select("bin", (lo + F.col("bin") * width).alias("bin_start"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+            .select("bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),
+                    (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -124,6 +126,6 @@ def value_counts(df: DataFrame, col: str, name: str = "n", dropna: bool = True)
 
 def shares(counts: DataFrame, count_col: str = "n", name: str = "share", places: int | None = None) -> DataFrame:
     """Share of total on an already-aggregated (small) table: ``n / sum(n)``."""
-    total = counts.agg(F.sum(count_col).alias("t")).scalar()
-    v = F.col(count_col) / total
-    return counts.withColumn(name, F.round(v, places) if places is not None else v)
+    out = with_scalar(counts, "_t", counts.agg(F.sum(count_col).alias("t")))
+    v = F.col(count_col) / F.col("_t")["t"]
+    return out.withColumn(name, F.round(v, places) if places is not None else v).drop("_t")

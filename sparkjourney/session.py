@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "8g",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -28,7 +28,7 @@ def bind_events(events: DataFrame) -> DataFrame:
         F.col("user_id").alias(S.USER),
         F.col("ts").alias(S.TS),
         F.col("event_type").alias(S.EVENT),
-        F.get_json_object("props", "$.k").cast("int").alias(S.PRODUCT),
+        F.get_json_object("props", "$.k").try_cast("int").alias(S.PRODUCT),
         F.col("value").alias(S.AMOUNT),
     )
 
