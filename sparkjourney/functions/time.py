@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from sparkjourney.functions.scalar import _col
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+_EPOCH = "1970-01-01 00:00:00"
 
 
 def seconds_between(start, end) -> Column:
@@ -34,7 +34,7 @@ def whole_days_between(start, end) -> Column:
 
 def epoch_seconds(ts) -> Column:
     """Whole seconds since 1970-01-01 of a naive timestamp (BIGINT)."""
-    return F.timestamp_diff("SECOND", _EPOCH, _col(ts))
+    return F.timestamp_diff("SECOND", F.lit(_EPOCH).cast("timestamp_ntz"), _col(ts))
 
 
 def weekday_mon0(ts) -> Column:

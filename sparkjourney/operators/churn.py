@@ -89,6 +89,13 @@ def gaussian_nb(train: DataFrame, test: DataFrame, features: Sequence[str] = FEA
 
 # --------------------------------------------------------------------------- Spark ML models
 
+def binary_label(df: DataFrame, label: str = "churn") -> DataFrame:
+    """Label as DOUBLE tagged as a 2-valued nominal attribute, so Spark ML
+    builds binary models even when a training fold holds a single class."""
+    meta = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": label}}
+    return df.withColumn(label, F.col(label).cast("double").alias(label, metadata=meta))
+
+
 def _assembler(features: Sequence[str]):
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")
@@ -158,7 +165,7 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
     """
     from sparkjourney.session import materialize
 
-    data = stratified_split(features_df.withColumn(label, F.col(label).cast("double")), test_pct=test_pct)
+    data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
     data = materialize(with_weights(data, label))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     zoo = model_zoo(features, label, seed)
@@ -203,7 +210,7 @@ def tune_forest(features_df: DataFrame, label: str = "churn", features: Sequence
     from pyspark.ml.tuning import CrossValidator
     from sparkjourney.session import materialize
 
-    data = materialize(stratified_split(features_df.withColumn(label, F.col(label).cast("double"))))
+    data = materialize(stratified_split(binary_label(features_df, label)))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     rf, grid = forest_grid(label, seed, **(grid_kwargs or {}))
     cv = CrossValidator(estimator=Pipeline(stages=[_assembler(features), rf]), estimatorParamMaps=grid,
