@@ -47,10 +47,11 @@ def nearest_centroid(df: DataFrame, cols: Sequence[str], centres: Sequence[Seque
 
 
 def cluster_profile(seg: DataFrame, cluster: str = "cluster", cols: Sequence[str] = RFM_COLS,
-                    places: int = 2) -> DataFrame:
+                    places: int | None = 2) -> DataFrame:
     """(cluster, n_users, mean of each measure rounded) -- every cluster."""
-    return seg.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_users"),
-                                     *[F.round(F.avg(c), places).alias(f"avg_{c}") for c in cols])
+    def mean(c):
+        return F.round(F.avg(c), places) if places is not None else F.avg(c)
+    return seg.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_users"), *[mean(c).alias(f"avg_{c}") for c in cols])
 
 
 def marketing_actions(seg: DataFrame, actions: dict = MARKETING_ACTIONS, cluster: str = "cluster",

@@ -54,11 +54,13 @@ def q_nearest_centroid(spark, d):
 
 
 @query("cluster_profile", f"""
-  SELECT cluster, COUNT(*) AS n_users, round(AVG(recency), 2) AS avg_recency,
-         round(AVG(frequency), 2) AS avg_frequency, round(AVG(monetary), 2) AS avg_monetary
+  SELECT cluster, COUNT(*) AS n_users, round(AVG(recency), 6) AS avg_recency,
+         round(AVG(frequency), 6) AS avg_frequency, round(AVG(monetary), 6) AS avg_monetary
   FROM ({SQL_FIXED_SEGMENTS}) GROUP BY cluster""")
 def q_cluster_profile(spark, d):
-    return cluster_profile(fixed_segments(spark, d))
+    # means of cent amounts can sit exactly on a 2-place rounding tie, where
+    # summation order decides the side; report at the common 6-place precision
+    return round_doubles(cluster_profile(fixed_segments(spark, d), places=None))
 
 
 @query("marketing_actions", f"SELECT user_id, recency, frequency, round(monetary, 6) AS monetary, cluster, marketing_action FROM ({SQL_ACTIONS})")
