@@ -62,3 +62,17 @@ def with_scalar(df, name: str, one_row):
     """
     from pyspark.sql import functions as F
     return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
+
+
+def fit_row(one_row):
+    """Fetch a fitted parameter row (a global aggregate: exactly one row of a
+    fixed number of values), as Spark ML estimators do in ``fit``.
+
+    Used where the parameters feed many expressions that are later grouped
+    on: literals keep such plans small, whereas a scalar subquery would be
+    copied into every reference by the optimizer.
+    """
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one parameter row, got {len(rows)}")
+    return rows[0]

@@ -6,10 +6,10 @@ user key, so no user can sit on both sides.  The split is a hash of the key
 shuffle, and independent of the label, so each class is split in the same
 proportion in expectation.
 
-Gaussian naive Bayes is written in closed form with aggregates (class
-priors, per-class means and variances, with variance smoothing of
-``1e-9 * largest feature variance``) and scored with column expressions, so it
-runs as two scans.  The other models are Spark ML estimators trained on a
+Gaussian naive Bayes is written in closed form: one aggregate pass fits the
+class priors, per-class means and variances (variance smoothing of
+``1e-9 * largest feature variance``), and scoring is a column expression
+with those numbers as literals.  The other models are Spark ML estimators trained on a
 checkpointed feature table that every fit reuses.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney import schema as S
 from sparkjourney.operators.metrics import class_report, roc_auc
-from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.functions.scalar import with_scalar, fit_row
 
 FEATURES = ("frequency", "monetary", "session_duration", "event_count", "product_count")
 
@@ -67,24 +67,28 @@ def gaussian_nb(train: DataFrame, test: DataFrame, features: Sequence[str] = FEA
         for c in (0, 1):
             aggs.append(F.avg(F.when(F.col(label) == c, x[f])).alias(f"m{c}_{f}"))
             aggs.append(F.var_pop(F.when(F.col(label) == c, x[f])).alias(f"v{c}_{f}"))
-    params = train.agg(*aggs)
-    eps = F.lit(var_smoothing) * F.greatest(*[F.col(f"v_{f}") for f in feats]) if len(feats) > 1 \
-        else F.lit(var_smoothing) * F.col(f"v_{feats[0]}")
-    scored = with_scalar(test, "_p", params.select("*", eps.alias("eps")))
-    p = F.col("_p")
+    # fit: one row of sufficient statistics (2 + 5 * features numbers)
+    p = fit_row(train.agg(*aggs))
+    variances = [p[f"v_{f}"] for f in feats if p[f"v_{f}"] is not None]
+    eps = var_smoothing * (max(variances) if variances else 0.0)
+    n, n1 = p["n"], p["n1"]
     jll = {}
     for c in (0, 1):
-        nc = p.getField("n1") if c == 1 else p.getField("n") - p.getField("n1")
-        s = F.log(nc / p.getField("n"))
+        nc = n1 if c == 1 else n - n1
+        s = F.lit(math.log(nc / n) if nc > 0 else float("-inf"))
         for f in feats:
-            var = p.getField(f"v{c}_{f}") + p.getField("eps")
-            s = s - F.lit(0.5) * F.log(F.lit(2.0 * math.pi) * var) \
-                - (x[f] - p.getField(f"m{c}_{f}")) * (x[f] - p.getField(f"m{c}_{f}")) / (F.lit(2.0) * var)
+            mean, var = p[f"m{c}_{f}"], p[f"v{c}_{f}"]
+            if mean is None:  # class absent from the training data
+                s = F.lit(float("-inf"))
+                break
+            var = var + eps
+            s = s - F.lit(0.5 * math.log(2.0 * math.pi * var)) \
+                - (x[f] - F.lit(mean)) * (x[f] - F.lit(mean)) / F.lit(2.0 * var)
         jll[c] = s
-    return (scored.withColumn("_j0", jll[0]).withColumn("_j1", jll[1])
+    return (test.withColumn("_j0", jll[0]).withColumn("_j1", jll[1])
             .withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_j0") - F.col("_j1"))))
             .withColumn("prediction", (F.col("_j1") > F.col("_j0")).cast("int"))
-            .drop("_j0", "_j1", "_p"))
+            .drop("_j0", "_j1"))
 
 
 # --------------------------------------------------------------------------- Spark ML models

@@ -5,7 +5,8 @@ metric is one scan with partial aggregation.  ROC needs running totals over
 the distinct scores in score order; a window without ``partitionBy`` would
 pull every distinct score into a single task, so ``running_totals`` does a
 two-level scan instead: scores are cut into ranges at approximate quantiles
-(a bounded sketch), each range is scanned in its own task, and a
+(a bounded sketch, fetched as at most ``buckets`` cut points), each range is
+scanned in its own task, and a
 ``buckets``-row table of range totals (a fixed bound, broadcast) supplies
 each range's starting offset.  The result is exact; the quantiles only
 balance the work.
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.functions.scalar import with_scalar, fit_row
 
 
 def running_totals(df: DataFrame, order_col: str, cols: Sequence[str], buckets: int = 64,
@@ -28,10 +29,11 @@ def running_totals(df: DataFrame, order_col: str, cols: Sequence[str], buckets:
     """
     cols = list(cols)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("b"))
+    # range cut points: at most buckets-1 numbers from a bounded sketch
+    cuts = fit_row(df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("b")))["b"]
     key = F.col(order_col).cast("double")
-    x = (with_scalar(df, "_bounds", bounds)
-         .withColumn("_rb", F.size(F.filter(F.col("_bounds")["b"], lambda b: b < key))).drop("_bounds"))
+    cuts_lit = F.array(*[F.lit(float(b)) for b in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
+    x = df.withColumn("_rb", F.size(F.filter(cuts_lit, lambda b: b < key)))
     w = W.partitionBy("_rb").orderBy(order_col).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = x.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in cols])
     tot = x.groupBy("_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
