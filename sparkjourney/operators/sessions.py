@@ -43,8 +43,12 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
     """Add ``gap_seconds, gap_hours, session_id, session_start, session_end,
     session_duration`` to every event with a non-NULL user and time."""
     gap = float(gap_seconds)
+    # the bucket filter is implied by ts IS NOT NULL; stating it keeps both
+    # uses of `e` identical, so the shuffle by (user, bucket) runs once and
+    # the summary branch reuses it
     e = (events.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-         .withColumn(_B, F.floor(epoch_seconds(ts) / F.lit(int(bucket_seconds)))))
+         .withColumn(_B, F.floor(epoch_seconds(ts) / F.lit(int(bucket_seconds))))
+         .where(F.col(_B).isNotNull()))
 
     wb = W.partitionBy(user, _B).orderBy(ts, order)
     e = (e.withColumn("_gap", seconds_between(F.lag(ts).over(wb), F.col(ts)))
