@@ -227,3 +227,15 @@ def tune_forest(features_df: DataFrame, label: str = "churn", features: Sequence
               "featureSubsetStrategy": best.getFeatureSubsetStrategy()}
     metrics = evaluate(cvm.bestModel.transform(test), label).first()
     return params, metrics, cvm
+
+
+def network_loss_history(features_df: DataFrame, label: str = "churn", features: Sequence[str] = FEATURES,
+                         test_pct: int = 20, seed: int = 42) -> list[tuple[int, float]]:
+    """(iteration, training loss) of the multilayer perceptron, trained on the
+    balanced train split (Spark keeps the training objective only)."""
+    data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
+    train = data.where(F.col("split") == "train")
+    pipe, _ = model_zoo(features, label, seed)["Neural Network"]
+    m = pipe.fit(balance_by_replication(train, label))
+    hist = m.stages[-1].summary().objectiveHistory
+    return [(i + 1, float(v)) for i, v in enumerate(hist)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkjourney.operators.anomaly import event_spikes, suspicious_timeline, spike_share, rfm_anomalies
+from sparkjourney.operators.anomaly import (
+    event_spikes, suspicious_timeline, spike_share, rfm_anomalies, spike_threshold,
+)
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.profiles import events_rfm
 from sparkjourney.plans.registry import query, round_doubles
@@ -24,6 +26,14 @@ def q_event_spikes(spark, d):
     return spikes(spark, d)
 
 
+@query("spike_threshold", f"""
+  SELECT round(quantile_cont(event_count, 0.95), 6) AS threshold FROM (
+    SELECT user_id, COUNT(*) AS event_count FROM events
+    WHERE event_type IN ({_IN}) AND user_id IS NOT NULL GROUP BY user_id)""")
+def q_spike_threshold(spark, d):
+    return round_doubles(spike_threshold(t.events(spark, d), EVENTS_SPIKE_TYPES, 0.95))
+
+
 @query("suspicious_timeline", f"""
   SELECT e.user_id, e.event_type, e.ts FROM events e
   WHERE e.user_id IN (SELECT user_id FROM ({SQL_SPIKES}) ORDER BY user_id LIMIT 3)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkjourney.operators.churn import (
     FEATURES, stratified_split, class_weights, gaussian_nb, train_churn, tune_forest, feature_importance,
+    network_loss_history,
 )
 from sparkjourney.operators.metrics import confusion, class_report, roc_points, roc_auc
 from sparkjourney.plans.profiles import churn_features, SQL_CHURN_FEATURES
@@ -149,3 +150,8 @@ def q_churn_grid(spark, d):
           *[float(v) for v in m])],
         "num_trees int, max_depth int, min_instances_per_node int, feature_subset string, accuracy double, "
         "precision double, recall double, f1 double, roc_auc double")
+
+
+@query("nn_loss_history")
+def q_nn_loss_history(spark, d):
+    return spark.createDataFrame(network_loss_history(churn_features(spark, d)), "iteration int, loss double")

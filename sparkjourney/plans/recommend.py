@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkjourney.operators.intent import high_intent
 from sparkjourney.operators.recommend import (
     purchase_counts, default_seed, user_neighbours, collab_scores, cooccurrence_scores, hybrid_scores,
+    svd_neighbours,
 )
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
@@ -85,3 +86,8 @@ def q_hybrid_top10(spark, d):
   SELECT user_id, product_id, view_count FROM b WHERE rn = 1 ORDER BY view_count DESC, user_id LIMIT 10""")
 def q_high_intent(spark, d):
     return high_intent(t.events(spark, d), "view", n=10)
+
+
+@query("svd_neighbours")
+def q_svd_neighbours(spark, d):
+    return svd_neighbours(counts(spark, d), k=5, factors=20)

@@ -85,7 +85,9 @@ def q_pca_variance(spark, d):
 def q_kmeans_sweep(spark, d):
     _, feats = scaled_features(events_rfm(spark, d), RFM_COLS, pca_k=3)
     rows, _ = kmeans_sweep(feats.cache(), range(2, 11), n_init=3)
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+    best = sorted(rows, key=lambda r: (-r[2], r[0]))[0][0]  # best silhouette, smallest k on ties
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows],
+                                 "k int, inertia double, silhouette double, chosen boolean")
 
 
 @query("segments")
