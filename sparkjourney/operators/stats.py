@@ -1,11 +1,9 @@
 """Distribution statistics: z-scores, describe, histogram, correlation, box figures.
 
 Global statistics are one-row aggregates (partial aggregation in every task,
-a single row out).  Thresholds used once go through scalar subqueries
-(``DataFrame.scalar()``): Spark runs the subquery once and ships the value
-to the tasks, with no cross join.  Fitted parameters (a scaler's means and
-standard deviations) are fetched as one row and applied as literals, the
-way Spark ML's ``fit``/``transform`` split works.
+a single row out) used through scalar subqueries (``DataFrame.scalar()``):
+Spark runs the subquery once and ships the value to the tasks, with no
+cross join, and under AQE the subquery reuses the main plan's shuffles.
 
 Exact percentiles use ``percentile``, whose aggregation state is a map of
 *distinct value -> count*.  For the measures described here (whole days,
@@ -20,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.functions.scalar import with_scalar, fit_row
+from sparkjourney.functions.scalar import with_scalar
 
 DESCRIBE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -32,14 +30,14 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", populati
     scaler does); Spark ML's ``StandardScaler`` divides by the sample std.
     """
     std = F.stddev_pop if population else F.stddev_samp
-    # fit: mean and std per column, one aggregate row (as a scaler's fit)
-    st = fit_row(df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols]))
-    out = df
+    # one scalar subquery: Spark runs it once and, under AQE, it shares the
+    # upstream shuffle with the main plan (a separate fit job would not)
+    stats = df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols])
+    out = with_scalar(df, "_st", stats)
     for c in cols:
-        m, s = st[c]["m"], st[c]["s"]
-        z = (F.col(c) - F.lit(m)) / F.lit(s) if (s is not None and s > 0) else F.lit(0.0)
-        out = out.withColumn(c + suffix, z.cast("double"))
-    return out
+        m, s = F.col("_st")[c]["m"], F.col("_st")[c]["s"]
+        out = out.withColumn(c + suffix, F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0)))
+    return out.drop("_st")
 
 
 def describe(df: DataFrame, col: str, probs: Sequence[float] = DESCRIBE_PROBS, exact: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from sparkjourney.operators.churn import (
 from sparkjourney.operators.metrics import confusion, class_report, roc_points, roc_auc
 from sparkjourney.plans.profiles import churn_features, SQL_CHURN_FEATURES
 from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.session import materialize
 
 SQL_SPLIT = f"""
   SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 20
@@ -46,7 +47,9 @@ SQL_NB = f"""
 
 
 def nb_scored(spark, d):
-    data = stratified_split(churn_features(spark, d))
+    # user-grain table, checkpointed: the fit, the scoring and the metrics all
+    # read it without recomputing the sessions underneath
+    data = materialize(stratified_split(churn_features(spark, d)))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     out = gaussian_nb(train, test, FEATURES, "churn")
     return round_doubles(out.select("user_id", "churn", "probability", "prediction"))
