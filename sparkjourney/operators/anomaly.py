@@ -8,9 +8,10 @@ threshold is strict (a count equal to the percentile is not a spike).
 
 Isolation Forest (not in Spark ML) is built from Spark primitives:
 
-1. sampling: every row picks the trees it belongs to with a hash of
-   (key, tree, seed) -- deterministic whatever the partitioning -- with an
-   oversampling rate, and ``explode`` emits one row per (tree, row) picked;
+1. sampling: one hash of the key selects the few candidate rows, and each
+   candidate picks its trees with a hash of (key, tree, seed) --
+   deterministic whatever the partitioning -- at an oversampling rate;
+   ``explode`` emits one row per (tree, row) picked;
 2. fitting: ``groupBy(tree).applyInPandas`` keeps the ``sample`` rows with
    the smallest hashes and grows one small tree with NumPy.  Each group
    holds about twice ``sample`` rows whatever the table size;
@@ -129,14 +130,20 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, tree
                      contamination: float = 0.02, seed: int = 42, oversample: float = 2.0) -> DataFrame:
     """Add ``anomaly_score`` (higher = more isolated) and ``anomaly`` (-1 / 1)."""
     cols = list(cols)
-    n_rows = df.select(F.count(F.lit(1))).scalar()
-    rate = F.least(F.lit(1.0), F.lit(oversample * sample) / n_rows)
-    def h(t):
-        return F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    picked = (df.select(key, *[F.col(c).cast("double").alias(c) for c in cols],
-                        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-              .withColumn("_h", h(F.col("tree")))
-              .where(F.col("_h") < rate))
+    # per-tree inclusion rate (oversampled; each tree keeps its `sample` smallest hashes)
+    base = with_scalar(df, "_n", df.agg(F.count(F.lit(1)).alias("n")))
+    rate = F.least(F.lit(1.0), F.lit(oversample * sample) / F.col("_n")["n"])
+    # one hash per row picks the candidates (rate of being in any tree), then
+    # only candidates hash per tree: per-tree rate stays `rate`, and rows that
+    # can't be sampled never expand
+    cand = F.least(F.lit(1.0), F.lit(float(trees)) * rate)
+
+    def h(*salt):
+        return F.pmod(F.xxhash64(F.col(key), *salt, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    members = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < rate / cand)
+    picked = (base.where(h(F.lit(-1)) < cand)
+              .select(key, *[F.col(c).cast("double").alias(c) for c in cols], F.explode(members).alias("tree"))
+              .withColumn("_h", h(F.col("tree"))))
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +188,9 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, tree
             yield out
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = df.mapInPandas(score, schema)
+    # scored once: the cut-off and the flags both read the checkpoint
+    from sparkjourney.session import materialize
+    scored = materialize(df.mapInPandas(score, schema))
     cut = scored.select(F.percentile_approx("anomaly_score", F.lit(1.0 - contamination), 100000)).scalar()
     return scored.withColumn("anomaly", F.when(F.col("anomaly_score") > cut, F.lit(-1)).otherwise(F.lit(1)))
 

@@ -56,22 +56,21 @@ def user_features(sessions: DataFrame, user: str = S.USER, ts: str = S.TS, event
     over the user's sessions), event count, distinct product count, days
     since last purchase (NULL for users who never bought) and recency.
 
-    Session duration is first reduced to one row per session (partial
-    aggregation), then averaged per user, so each session weighs once.
+    One grouped pass over the sessionized events: each session is counted and
+    its duration averaged once, through the event flagged
+    ``is_session_start`` (no per-session pre-aggregation, no join).
     """
     ref = reference_time(sessions, ts) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
-    per_session = (sessions.groupBy(user, S.SESSION)
-                   .agg(F.max("session_duration").alias("_dur")))
+    first = F.col("is_session_start")
     per_user = (sessions.groupBy(user)
-                .agg(F.countDistinct(S.SESSION).alias("frequency"),
+                .agg(F.count_if(first).alias("frequency"),
                      F.coalesce(F.sum(amount), F.lit(0.0)).alias("monetary"),
+                     F.avg(F.when(first, F.col("session_duration"))).alias("session_duration"),
                      F.count(F.lit(1)).alias("event_count"),
                      F.countDistinct(product).alias("product_count"),
                      F.max(ts).alias("_last"),
                      F.max(F.when(F.col(event) == F.lit(purchase), F.col(ts))).alias("_last_buy")))
-    dur = per_session.groupBy(user).agg(F.avg("_dur").alias("session_duration"))
-    return (per_user.join(dur, user).withColumn("_ref", ref)
+    return (per_user.withColumn("_ref", ref)
             .select(user, "frequency", "monetary", "session_duration", "event_count", "product_count",
                     whole_days_between(F.col("_last_buy"), F.col("_ref")).alias("days_since_last_purchase"),
                     whole_days_between(F.col("_last"), F.col("_ref")).alias("recency")))
-

@@ -40,8 +40,10 @@ _B = "_bucket"
 
 def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: int = 3600,
                user: str = S.USER, ts: str = S.TS, order: str = S.EVENT_ID) -> DataFrame:
-    """Add ``gap_seconds, gap_hours, session_id, session_start, session_end,
-    session_duration`` to every event with a non-NULL user and time."""
+    """Add ``gap_seconds, gap_hours, session_id, is_session_start,
+    session_start, session_end, session_duration`` to every event with a
+    non-NULL user and time (exactly one event per session has
+    ``is_session_start``)."""
     gap = float(gap_seconds)
     # the bucket filter is implied by ts IS NOT NULL; stating it keeps both
     # uses of `e` identical, so the shuffle by (user, bucket) runs once and
@@ -83,6 +85,7 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
                       .when(F.col("_next_entry_start").isNull() | (F.col("_next_entry_start") == 1), F.col("_bmax"))))
     b = b.select(
         user, _B, "_nstarts",
+        (F.col("_first_bucket") | (F.col("_entry_start") == 1)).alias("_opens"),
         F.coalesce(F.col("_entry_gap"), F.lit(0.0)).alias("_entry_gap"),
         (F.coalesce(F.sum(F.col("_entry_start") + F.col("_nstarts")).over(before), F.lit(0))
          + F.col("_entry_start")).alias("_offset"),
@@ -102,6 +105,7 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
         gap_s.alias("gap_seconds"),
         (gap_s / F.lit(3600.0)).alias("gap_hours"),
         (F.col("_offset") + F.col("_lsid")).cast("bigint").alias(S.SESSION),
+        ((F.col("_start") == 1) | (F.col("_gap").isNull() & F.col("_opens"))).alias("is_session_start"),
         start.alias("session_start"),
         end.alias("session_end"),
         seconds_between(start, end).alias("session_duration"),

@@ -75,6 +75,8 @@ def test_bucket_split_equals_per_user_window(spark, seed, bucket):
     assert (got["session_id"].to_numpy() == want["session_id"].to_numpy()).all()
     assert np.allclose(got["gap_seconds"], want["gap_seconds"])
     assert np.allclose(got["session_duration"], want["session_duration"])
+    starts = got.groupby(["user_id", "session_id"])["is_session_start"].sum()
+    assert (starts == 1).all()
 
 
 def test_session_ids_start_at_zero_and_never_decrease(spark):
