@@ -29,10 +29,14 @@ def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts:
     * monetary: sum of amounts, 0 when all are NULL.
     """
     ref = reference_time(events, ts) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    # sessionized input flags one event per session: counting flags avoids
+    # the two-phase distinct aggregation
+    freq = (F.count_if("is_session_start") if session_col == S.SESSION and "is_session_start" in events.columns
+            else F.countDistinct(session_col))
     return (events.where(F.col(user).isNotNull())
             .groupBy(user)
             .agg(F.max(ts).alias("_last"),
-                 F.countDistinct(session_col).alias("frequency"),
+                 freq.alias("frequency"),
                  F.coalesce(F.sum(amount), F.lit(0.0)).alias("monetary"))
             .select(user, whole_days_between(F.col("_last"), ref).alias("recency"), "frequency", "monetary"))
 

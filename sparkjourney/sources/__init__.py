@@ -2,7 +2,7 @@
 
 from sparkjourney.sources.readers import (  # noqa: F401
     read_table, read_clickstream_csv, bind_events, bind_orders, bind_order_lines,
-    clickstream_to_events,
+    clickstream_to_events, with_defaults, require_columns,
 )
 from sparkjourney.sources.writers import (  # noqa: F401
     write_stage, write_by_cluster, export_cluster, save_model, load_model,

@@ -90,3 +90,20 @@ def clickstream_to_events(raw: DataFrame, ts_format: str = "parts") -> DataFrame
         F.col("EventType").alias(S.EVENT), F.col("ProductID").alias(S.PRODUCT),
         F.col("Amount").alias(S.AMOUNT))
         .where(F.col(S.TS).isNotNull()))
+
+
+def with_defaults(df: DataFrame, columns, value=0) -> DataFrame:
+    """Add each missing column as a constant (opt-in; a missing input column
+    otherwise fails fast when an operator selects it)."""
+    for c in columns:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(value))
+    return df
+
+
+def require_columns(df: DataFrame, columns) -> DataFrame:
+    """Fail fast with the list of missing columns."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}; have {df.columns}")
+    return df
