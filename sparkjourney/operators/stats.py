@@ -5,11 +5,9 @@ a single row out) used through scalar subqueries (``DataFrame.scalar()``):
 Spark runs the subquery once and ships the value to the tasks, with no
 cross join, and under AQE the subquery reuses the main plan's shuffles.
 
-Exact percentiles use ``percentile``, whose aggregation state is a map of
-*distinct value -> count*.  For the measures described here (whole days,
-event counts) that map is bounded by the value range, not by the row count.
-Pass ``exact=False`` to use the sketch-based ``percentile_approx`` for
-continuous measures with unbounded distinct values.
+Exact percentiles come from ``operators.quantiles`` (a distributed sort
+with per-range offsets), never from a single task holding a whole column;
+``exact=False`` uses the sketch-based ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -40,15 +38,30 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", populati
     return out.drop("_st")
 
 
+def _pname(p: float) -> str:
+    return f"p{int(round(p * 100))}"
+
+
 def describe(df: DataFrame, col: str, probs: Sequence[float] = DESCRIBE_PROBS, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, requested percentiles (linear), max -- one row."""
-    pctl = (F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])) if exact
-            else F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 100000))
-    agg = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                 F.min(col).cast("double").alias("min"), pctl.alias("_p"), F.max(col).cast("double").alias("max"))
-    return agg.select("count", "mean", "std", "min",
-                      *[F.col("_p")[i].cast("double").alias(f"p{int(round(p * 100))}") for i, p in enumerate(probs)],
-                      "max")
+    """count, mean, std (n-1), min, requested percentiles (linear), max -- one row.
+
+    ``exact=True`` takes the percentiles from the distributed order
+    statistics of ``operators.quantiles`` (no task holds the whole column);
+    ``exact=False`` from a ``percentile_approx`` sketch.
+    """
+    moments = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                     F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
+    if exact:
+        from sparkjourney.operators.quantiles import exact_quantiles
+        qt = exact_quantiles(df, col, probs).agg(
+            *[F.max(F.when(F.col("q") == F.lit(float(p)), F.col("quantile"))).alias(_pname(p)) for p in probs])
+        out = with_scalar(moments, "_q", qt)
+        pcols = [F.col("_q")[_pname(p)].alias(_pname(p)) for p in probs]
+    else:
+        sketch = F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 100000)
+        out = with_scalar(moments, "_q", df.agg(sketch.alias("p")))
+        pcols = [F.col("_q")["p"][i].cast("double").alias(_pname(p)) for i, p in enumerate(probs)]
+    return out.select("count", "mean", "std", "min", *pcols, "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -105,11 +118,17 @@ def box_stats(df: DataFrame, label: str, cols: Sequence[str], whisker: float = 1
                      F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
                                          for c in cols])).alias("kv")) \
         .select("label", "kv.feature", "kv.x").where(F.col("x").isNotNull())
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    p = F.percentile("x", probs) if exact else F.percentile_approx("x", probs, 100000)
-    q = (long.groupBy("label", "feature").agg(p.alias("_q"))
-         .select("label", "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    if exact:
+        from sparkjourney.operators.quantiles import exact_quantiles
+        qs = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["label", "feature"])
+        q = qs.groupBy("label", "feature").agg(
+            *[F.max(F.when(F.col("q") == F.lit(v), F.col("quantile"))).alias(n)
+              for v, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    else:
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        q = (long.groupBy("label", "feature").agg(F.percentile_approx("x", probs, 100000).alias("_q"))
+             .select("label", "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                     F.col("_q")[2].alias("q3")))
     fence = whisker * (F.col("q3") - F.col("q1"))
     j = long.join(q, ["label", "feature"])
     inside_lo = F.col("x") >= F.col("q1") - fence
