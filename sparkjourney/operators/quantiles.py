@@ -13,8 +13,10 @@ work is a distributed sort instead:
    rows whose cumulative count interval contains the rank; linear
    interpolation between them gives exactly ``percentile``/``quantile_cont``.
 
-Groups are meant to be few (labels x features); the per-group tables
-(cut points, totals, targets) are broadcast with that bound.
+The per-group tables (cut points, range totals, target ranks) have
+``groups x buckets`` rows.  They carry no broadcast hint: AQE measures them
+at run time and broadcasts them when they are small (few groups, as for
+labels x features), and falls back to a shuffle join otherwise.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def grouped_running_totals(df: DataFrame, groups: Sequence[str], order_col: str,
     key = F.col(order_col).cast("double")
     if groups:
         cuts = df.groupBy(*groups).agg(sketch)
-        x = df.join(F.broadcast(cuts), groups)
+        x = df.join(cuts, groups)
     else:
         x = with_scalar(df, "_cs", df.agg(sketch)).withColumn("_cuts", F.col("_cs")["_cuts"]).drop("_cs")
     x = x.withColumn("_rb", F.size(F.filter("_cuts", lambda b: b < key))).drop("_cuts")
@@ -46,7 +48,7 @@ def grouped_running_totals(df: DataFrame, groups: Sequence[str], order_col: str,
     before = W.partitionBy(*groups).orderBy("_rb").rowsBetween(W.unboundedPreceding, -1)
     off = tot.select(*groups, "_rb",
                      *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    out = local.join(F.broadcast(off), [*groups, "_rb"])
+    out = local.join(off, [*groups, "_rb"])
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(c + suffix) for c in cols])
 
 
@@ -62,7 +64,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     tg = (n.select(*groups, "_n", qs)
           .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
           .withColumn("_r0", F.floor("_h")).withColumn("_r1", F.ceil("_h")))
-    j = cum.join(F.broadcast(tg), groups) if groups else with_scalar(
+    j = cum.join(tg, groups) if groups else with_scalar(
         cum, "_tg", tg.agg(F.collect_list(F.struct("q", "_h", "_r0", "_r1")).alias("t"))) \
         .select("*", F.explode(F.col("_tg")["t"]).alias("_t")).select("*", "_t.*").drop("_tg", "_t")
     lo = F.col("_c_cum") - F.col("_c")
