@@ -12,6 +12,7 @@ from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
 from sparkjourney.sources.profile import null_profile
 from sparkjourney.sources.readers import read_table
+from sparkjourney.streaming.sessions import stream_session_stats
 
 
 @query("timestamp_from_parts", f"""
@@ -72,3 +73,13 @@ def q_standardized(spark, d):
     for c in ["event_id", "ts", "user_id", "event_type", "value", "props"]))
 def q_null_profile(spark, d):
     return null_profile(read_table(spark, d, "events"), only_positive=False)
+
+
+@query("session_windows", f"""
+  SELECT user_id, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS n_events,
+         round(date_diff('microsecond', MIN(ts), MAX(ts)) / 1e6, 6) AS session_duration
+  FROM ({t.SQL_SESSIONS}) GROUP BY user_id, session_id""")
+def q_session_windows(spark, d):
+    """The streaming session operator (``session_window``) run as a batch job:
+    same sessions as the window-based sessionizer."""
+    return round_doubles(stream_session_stats(t.events(spark, d)))
