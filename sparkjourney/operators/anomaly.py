@@ -200,7 +200,7 @@ def rfm_anomalies(rfm_df: DataFrame, cols: Sequence[str] = ("recency", "frequenc
     """Isolation Forest on standardized RFM; returns rfm + anomaly_score + anomaly."""
     from sparkjourney.operators.stats import standardize
 
-    z = standardize(rfm_df, list(cols))
+    z = standardize(rfm_df, list(cols), fit="row")
     zc = [c + "_z" for c in cols]
     out = isolation_forest(z, zc, trees=trees, sample=sample, contamination=contamination, seed=seed)
     return out.drop(*zc)

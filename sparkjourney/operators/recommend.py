@@ -20,8 +20,7 @@ user x product matrix and never a pivot over products.
 * Hybrid: full outer join of both scores (missing side -> 0), top n.
 
 The seed defaults to the smallest purchasing user id (the first row of the
-analysis' user x product matrix) and is a scalar subquery, so nothing is
-collected.
+analysis' user x product matrix), resolved once to a literal.
 """
 
 from __future__ import annotations
@@ -39,8 +38,10 @@ def purchase_counts(events: DataFrame, purchase: str = S.PURCHASE, user: str = S
 
 
 def default_seed(counts: DataFrame, user: str = S.USER) -> Column:
-    """Smallest purchasing user id, as a scalar-subquery column."""
-    return counts.select(F.min(user)).scalar()
+    """Smallest purchasing user id, resolved once to a literal (one small
+    aggregate job), so every use of the seed is a constant in the plans."""
+    from sparkjourney.functions.scalar import fit_row
+    return F.lit(fit_row(counts.select(F.min(user).alias("s")))["s"]).cast("bigint")
 
 
 def _seed_items(counts: DataFrame, seed: Column, user: str, product: str) -> DataFrame:

@@ -16,18 +16,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.functions.scalar import with_scalar, fit_row
 
 DESCRIBE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", population: bool = True) -> DataFrame:
+def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", population: bool = True,
+                fit: str = "subquery") -> DataFrame:
     """Add ``<c><suffix> = (c - mean) / std`` for each column; zero variance -> 0.
 
     ``population=True`` divides by the population std (as the analysis'
     scaler does); Spark ML's ``StandardScaler`` divides by the sample std.
+
+    ``fit='subquery'`` keeps the statistics in the plan (one pass shared with
+    the upstream shuffles: right for large event-grain input used once);
+    ``fit='row'`` fetches them as literals (right for a materialized,
+    user-grain input that is later grouped on the z-scores, where a subquery
+    would be copied into every reference).
     """
     std = F.stddev_pop if population else F.stddev_samp
+    if fit == "row":
+        st = fit_row(df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols]))
+        out = df
+        for c in cols:
+            m, s = st[c]["m"], st[c]["s"]
+            z = (F.col(c) - F.lit(m)) / F.lit(s) if (s is not None and s > 0) else F.lit(0.0)
+            out = out.withColumn(c + suffix, z.cast("double"))
+        return out
     # one scalar subquery: Spark runs it once and, under AQE, it shares the
     # upstream shuffle with the main plan (a separate fit job would not)
     stats = df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols])

@@ -8,6 +8,7 @@ from sparkjourney.operators.anomaly import (
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.profiles import events_rfm
 from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.session import materialize
 from sparkjourney.schema import EVENTS_SPIKE_TYPES
 
 _IN = ", ".join(f"'{s}'" for s in EVENTS_SPIKE_TYPES)
@@ -53,7 +54,7 @@ def q_spike_share(spark, d):
 
 
 def rfm_iforest(spark, d):
-    return rfm_anomalies(events_rfm(spark, d), contamination=0.02, trees=100, sample=256, seed=42)
+    return rfm_anomalies(materialize(events_rfm(spark, d)), contamination=0.02, trees=100, sample=256, seed=42)
 
 
 @query("rfm_anomalies")

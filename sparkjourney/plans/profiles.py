@@ -6,6 +6,7 @@ from sparkjourney.operators.rfm import rfm, churn_label, churn_counts, user_feat
 from sparkjourney.operators.stats import describe, histogram, correlation, box_stats
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.session import materialize
 
 # Churn thresholds of the registered queries.  Order recency spans years
 # (median about half a year), event recency spans days (30 days of events).
@@ -76,7 +77,7 @@ def q_rfm_events(spark, d):
          round(quantile_cont(recency, 0.99), 6) AS p99, CAST(MAX(recency) AS DOUBLE) AS max
   FROM ({SQL_RFM_ORDERS})""")
 def q_recency_describe(spark, d):
-    return round_doubles(describe(orders_rfm(spark, d), "recency"))
+    return round_doubles(describe(materialize(orders_rfm(spark, d)), "recency"))
 
 
 @query("recency_histogram", f"""
@@ -88,7 +89,7 @@ def q_recency_describe(spark, d):
          CAST(COALESCE(c.n, 0) AS BIGINT) AS n
   FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 30)) g CROSS JOIN b LEFT JOIN c ON g.bin = c.bin""")
 def q_recency_histogram(spark, d):
-    return round_doubles(histogram(orders_rfm(spark, d), "recency", bins=30))
+    return round_doubles(histogram(materialize(orders_rfm(spark, d)), "recency", bins=30))
 
 
 @query("churn_counts", f"""
@@ -129,4 +130,4 @@ def q_feature_correlation(spark, d):
   WHERE x IS NOT NULL
   GROUP BY l.label, l.feature, q1, median, q3""")
 def q_box_by_churn(spark, d):
-    return round_doubles(box_stats(churn_features(spark, d), "churn", _FEATS))
+    return round_doubles(box_stats(materialize(churn_features(spark, d)), "churn", _FEATS))

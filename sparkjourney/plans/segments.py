@@ -13,6 +13,7 @@ from sparkjourney.operators.segments import (
 from sparkjourney.operators.stats import standardize
 from sparkjourney.plans.profiles import events_rfm, SQL_RFM_EVENTS
 from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.session import materialize
 
 # Centres in standardized (recency, frequency, monetary) space for the
 # SQL-checked assignment: 0 recent/frequent/high spend, 1 average,
@@ -22,7 +23,8 @@ SEGMENT_CENTRES = [(-0.5, 1.0, 1.0), (0.0, 0.0, 0.0), (1.0, -1.0, -1.0)]
 
 def fixed_segments(spark, d):
     """Events RFM -> z-scores -> nearest fixed centre: (user, recency, frequency, monetary, cluster, distance)."""
-    z = standardize(events_rfm(spark, d), list(RFM_COLS))
+    # user-grain RFM, checkpointed: the scaler fit and the assignment read it once each
+    z = standardize(materialize(events_rfm(spark, d)), list(RFM_COLS), fit="row")
     seg = nearest_centroid(z, [c + "_z" for c in RFM_COLS], SEGMENT_CENTRES)
     return seg.select(S.USER, *RFM_COLS, "cluster", "distance")
 
