@@ -60,7 +60,8 @@ def bind_order_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias(S.PRODUCT),
                          F.col("l_linenumber"))
     return (li.join(o, "o_orderkey")
-            .select((F.col("o_orderkey") * 8 + F.col("l_linenumber")).alias(S.EVENT_ID),
+            # line numbers are small (1..7 in the generator); x1000 keeps ids unique
+            .select((F.col("o_orderkey") * 1000 + F.col("l_linenumber")).alias(S.EVENT_ID),
                     S.USER, S.TS, F.lit(S.PURCHASE).alias(S.EVENT), S.PRODUCT,
                     F.lit(None).cast("double").alias(S.AMOUNT),
                     F.col("o_orderkey").alias(S.SESSION)))
