@@ -161,7 +161,7 @@ def evaluate(pred: DataFrame, label: str = "churn") -> DataFrame:
 
 
 def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence[str] = FEATURES,
-                models: Sequence[str] | None = None, test_pct: int = 20, seed: int = 42):
+                models: Sequence[str] | None = None, test_pct: int = 20, seed: int = 42, parallelism: int = 4):
     """Fit every model on the train split and score the test split.
 
     Returns (metrics rows [(model, accuracy, precision, recall, f1, roc_auc)],
@@ -172,16 +172,20 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
     data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
     data = materialize(with_weights(data, label))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    zoo = model_zoo(features, label, seed)
-    rows, fitted = [], {}
-    for name, (pipe, balance) in zoo.items():
-        if models and name not in models:
-            continue
+    from concurrent.futures import ThreadPoolExecutor
+
+    zoo = [(n, p, b) for n, (p, b) in model_zoo(features, label, seed).items() if not models or n in models]
+
+    def fit_one(item):
+        name, pipe, balance = item
         m = pipe.fit(balance_by_replication(train, label) if balance else train)
         r = evaluate(m.transform(test), label).first()
-        rows.append((name, *[float(v) if v is not None else None for v in r]))
-        fitted[name] = m
-    return rows, fitted
+        return (name, *[float(v) if v is not None else None for v in r]), m
+
+    # independent fits on the same checkpointed table, submitted concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(zoo)))) as pool:
+        done = list(pool.map(fit_one, zoo))
+    return [r for r, _ in done], {r[0]: m for r, m in done}
 
 
 def feature_importance(forest_pipeline_model, features: Sequence[str] = FEATURES) -> list[tuple[str, float]]:

@@ -109,27 +109,32 @@ def pca_variance(model) -> list[tuple[int, float, float]]:
 
 
 def kmeans_sweep(features: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 3, seed: int = 42,
-                 max_iter: int = 30):
+                 max_iter: int = 30, parallelism: int = 4):
     """Fit K-means for each k (best of ``n_init`` seeds by training cost).
 
     Returns (rows, models): rows are (k, inertia, silhouette) with the
     silhouette from ``ClusteringEvaluator`` (squared Euclidean, linear time).
+    The fits are independent Spark jobs and are submitted ``parallelism`` at
+    a time (as ``CrossValidator(parallelism=...)`` does); each is seeded, so
+    the result does not depend on the order they finish in.
     """
+    from concurrent.futures import ThreadPoolExecutor
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows, models = [], {}
-    for k in ks:
+    def fit_k(k):
+        ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
         best = None
         for i in range(n_init):
             m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(features)
             if best is None or m.summary.trainingCost < best.summary.trainingCost:
                 best = m
         sil = ev.evaluate(best.transform(features))
-        rows.append((int(k), float(best.summary.trainingCost), float(sil)))
-        models[int(k)] = best
-    return rows, models
+        return (int(k), float(best.summary.trainingCost), float(sil)), best
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(fit_k, list(ks)))
+    return [r for r, _ in done], {r[0]: m for r, m in done}
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:
