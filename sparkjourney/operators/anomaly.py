@@ -73,9 +73,10 @@ def spike_share(events: DataFrame, spikes: DataFrame, user: str = S.USER) -> Dat
     n_spike = spikes.select(F.countDistinct(user).alias("n"))
     total = F.col("_t")["total"]
     one = with_scalar(n_spike, "_t", events.select(F.countDistinct(user).alias("total")))
-    rows = F.array(F.struct(F.lit("Normal Users").alias("category"), (total - F.col("n")).alias("users"),
+    normal_label, spike_label = S.SPIKE_SHARE_LABELS
+    rows = F.array(F.struct(F.lit(normal_label).alias("category"), (total - F.col("n")).alias("users"),
                             total.alias("_total")),
-                   F.struct(F.lit("Event Spike Anomalies").alias("category"), F.col("n").alias("users"),
+                   F.struct(F.lit(spike_label).alias("category"), F.col("n").alias("users"),
                             total.alias("_total")))
     return (one.select(F.inline(rows)).withColumn("share", F.col("users") / F.col("_total"))
             .drop("_total"))

@@ -23,7 +23,7 @@ from sparkjourney import schema as S
 from sparkjourney.functions.scalar import null_safe, pct
 from sparkjourney.functions.time import minutes_between
 
-ARROW = " → "
+ARROW = S.TRANSITION_ARROW
 
 
 def stage_times(events: DataFrame, stages: Sequence[str], user: str = S.USER, event: str = S.EVENT,

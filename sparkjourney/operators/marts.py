@@ -65,10 +65,10 @@ def summary_totals(summary: DataFrame, user: str = S.USER) -> DataFrame:
 def snapshot_shares(summary: DataFrame) -> DataFrame:
     """(dimension, value, users, share) for cluster, churn status and both anomaly flags."""
     dims = [
-        ("cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))),
-        ("churn", relabel("churn", {0: "Active", 1: "Churned"})),
-        ("rfm_anomaly", relabel("rfm_anomaly", {True: "Anomaly", False: "Normal"})),
-        ("event_anomaly", relabel("event_anomaly", {True: "Spike Detected", False: "Normal"})),
+        ("cluster", F.concat(F.lit(S.CLUSTER_LABEL_PREFIX), F.col("cluster").cast("string"))),
+        ("churn", relabel("churn", S.CHURN_LABELS)),
+        ("rfm_anomaly", relabel("rfm_anomaly", S.RFM_ANOMALY_LABELS)),
+        ("event_anomaly", relabel("event_anomaly", S.EVENT_ANOMALY_LABELS)),
     ]
     long = summary.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value"))
                                               for d, v in dims])).alias("kv")).select("kv.*")
@@ -81,6 +81,6 @@ def snapshot_shares(summary: DataFrame) -> DataFrame:
 def anomaly_counts(rfm_anomalies: DataFrame, spikes: DataFrame) -> DataFrame:
     """(kind, users) for RFM anomalies and event-spike users."""
     a = rfm_anomalies.where(F.col("anomaly") == -1).agg(F.count(F.lit(1)).alias("users")) \
-        .select(F.lit("RFM Anomalies").alias("kind"), "users")
-    b = spikes.agg(F.count(F.lit(1)).alias("users")).select(F.lit("Event Spikes").alias("kind"), "users")
+        .select(F.lit(S.ANOMALY_KIND_LABELS[0]).alias("kind"), "users")
+    b = spikes.agg(F.count(F.lit(1)).alias("users")).select(F.lit(S.ANOMALY_KIND_LABELS[1]).alias("kind"), "users")
     return a.unionByName(b)

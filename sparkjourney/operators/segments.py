@@ -19,16 +19,8 @@ from sparkjourney.functions.scalar import lookup
 
 RFM_COLS = ("recency", "frequency", "monetary")
 
-# Cluster id -> marketing action, as in the analysis.
-MARKETING_ACTIONS = {
-    0: "VIP Customers: Exclusive discounts & early sales access.",
-    1: "Loyal Customers: Personalized product recommendations.",
-    2: "At-Risk Customers: Win-back campaigns with incentives.",
-    3: "Big Spenders: Premium upselling opportunities.",
-    4: "New/Inactive Users: Engagement & onboarding initiatives.",
-}
-# Fixed value: the action texts that mean "churned" in the summary tables.
-CHURN_ACTION_PATTERN = "Win-Back|At-Risk"
+MARKETING_ACTIONS = S.MARKETING_ACTIONS
+CHURN_ACTION_PATTERN = S.CHURN_ACTION_PATTERN
 
 
 def nearest_centroid(df: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[float]],

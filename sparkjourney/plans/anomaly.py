@@ -9,7 +9,7 @@ from sparkjourney.plans import tables as t
 from sparkjourney.plans.profiles import events_rfm
 from sparkjourney.plans.registry import query, round_doubles
 from sparkjourney.session import materialize
-from sparkjourney.schema import EVENTS_SPIKE_TYPES
+from sparkjourney.schema import EVENTS_SPIKE_TYPES, SPIKE_SHARE_LABELS
 
 _IN = ", ".join(f"'{s}'" for s in EVENTS_SPIKE_TYPES)
 SQL_SPIKES = f"""
@@ -46,9 +46,9 @@ def q_suspicious_timeline(spark, d):
 @query("spike_share", f"""
   WITH n AS (SELECT COUNT(DISTINCT user_id) AS total FROM events),
   s AS (SELECT COUNT(DISTINCT user_id) AS k FROM ({SQL_SPIKES}))
-  SELECT 'Normal Users' AS category, total - k AS users, round((total - k) / total, 6) AS share FROM n, s
+  SELECT '{SPIKE_SHARE_LABELS[0]}' AS category, total - k AS users, round((total - k) / total, 6) AS share FROM n, s
   UNION ALL
-  SELECT 'Event Spike Anomalies', k, round(k / total, 6) FROM n, s""")
+  SELECT '{SPIKE_SHARE_LABELS[1]}', k, round(k / total, 6) FROM n, s""")
 def q_spike_share(spark, d):
     return round_doubles(spike_share(t.events(spark, d), spikes(spark, d)))
 

@@ -34,9 +34,30 @@ CLICKSTREAM_CSV_SCHEMA = T.StructType([
     T.StructField("Day", T.IntegerType(), True),
 ])
 
-# The funnel stages and spike event types of the analysis.
+# ---------------------------------------------------------------------------
+# Must equal the analysis' values for the same results.
+# Funnel stages and spike event types of the clickstream export.
 CLICKSTREAM_STAGES = ["login", "page_view", "product_view", "click", "add_to_cart", "purchase"]
 CLICKSTREAM_SPIKE_TYPES = ["click", "login"]
+# Cluster id -> marketing action.
+MARKETING_ACTIONS = {
+    0: "VIP Customers: Exclusive discounts & early sales access.",
+    1: "Loyal Customers: Personalized product recommendations.",
+    2: "At-Risk Customers: Win-back campaigns with incentives.",
+    3: "Big Spenders: Premium upselling opportunities.",
+    4: "New/Inactive Users: Engagement & onboarding initiatives.",
+}
+# Action texts that mean "churned" (matched case-insensitively).
+CHURN_ACTION_PATTERN = "Win-Back|At-Risk"
+# Labels of the summary tables.
+SPIKE_SHARE_LABELS = ("Normal Users", "Event Spike Anomalies")
+CHURN_LABELS = {0: "Active", 1: "Churned"}
+RFM_ANOMALY_LABELS = {True: "Anomaly", False: "Normal"}
+EVENT_ANOMALY_LABELS = {True: "Spike Detected", False: "Normal"}
+ANOMALY_KIND_LABELS = ("RFM Anomalies", "Event Spikes")
+CLUSTER_LABEL_PREFIX = "Cluster "
+TRANSITION_ARROW = " → "
+# ---------------------------------------------------------------------------
 
 # The same roles on the driver's `events` table (signup plays login,
 # view plays page/product view).
