@@ -52,3 +52,20 @@ def test_hot_user_with_a_third_of_events(spark):
     g = got.select("event_id", "session_id").toPandas().set_index("event_id")["session_id"]
     assert (g.loc[p["event_id"]].to_numpy() == want.to_numpy()).all()
     assert (users == 0).sum() > n / 4
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark):
+    names = ["funnel_dropoff", "time_by_segment", "hybrid_top10", "event_spikes", "recency_describe",
+             "box_by_churn", "roc_points", "user_features"]
+
+    def snapshot():
+        return {n: sorted(tuple(r) for r in Q[n](spark, SMOKE).collect()) for n in names}
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    base = snapshot()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        other = snapshot()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert base == other
