@@ -58,12 +58,15 @@ def spike_threshold(events: DataFrame, types: Sequence[str], q: float = 0.95) ->
 
 
 def suspicious_timeline(events: DataFrame, spikes: DataFrame, n_users: int = 3, user: str = S.USER,
-                        event: str = S.EVENT, ts: str = S.TS) -> DataFrame:
-    """All events of the ``n_users`` lowest user ids among the spikes, in time order.
+                        event: str = S.EVENT, ts: str = S.TS, order: str = "user") -> DataFrame:
+    """All events of ``n_users`` spike users, in time order.
 
-    The chosen ids are an ``n_users``-row table (broadcast, fixed bound).
+    ``order='user'`` picks the lowest user ids (what the analysis does),
+    ``order='count'`` the largest spike counts (ties: lower id).  The chosen
+    ids are an ``n_users``-row table (broadcast, fixed bound).
     """
-    chosen = F.broadcast(spikes.select(user).orderBy(user).limit(n_users))
+    keys = [F.asc(user)] if order == "user" else [F.desc("event_count"), F.asc(user)]
+    chosen = F.broadcast(spikes.orderBy(*keys).limit(n_users).select(user))
     return (events.join(chosen, user, "left_semi").select(user, event, ts)
             .orderBy(user, ts))
 

@@ -131,3 +131,13 @@ def funnel_by(flags: DataFrame, groups: DataFrame, stages: Sequence[str], group_
     stages = list(stages)
     return (flags.join(groups.select(user, group_col), user, "inner")
             .groupBy(group_col).agg(*[F.count_if(F.col(s)).alias(s) for s in stages]))
+
+
+def transitions_wide(long: DataFrame, group_col: str = "cluster", value: str = "avg_hours") -> DataFrame:
+    """(group, "<a> → <b>"...) -- the per-group transition table in wide form.
+
+    Pivot over the transition labels present (a handful: stages - 1), one
+    grouped aggregate.
+    """
+    labels = [r[1] for r in long.select("step", "transition").distinct().orderBy("step").collect()]
+    return long.groupBy(group_col).pivot("transition", labels).agg(F.first(value))

@@ -31,6 +31,9 @@ def test_timeline_lowest_ids_all_types(spark):
     spikes = spark.createDataFrame([(9, 3), (5, 3), (7, 3)], "user_id long, event_count long")
     got = [(r.user_id, r.event_type) for r in suspicious_timeline(ev, spikes, n_users=2).collect()]
     assert got == [(5, "click"), (5, "view")]
+    by_count = spark.createDataFrame([(9, 5), (5, 3), (2, 4)], "user_id long, event_count long")
+    got = [r.user_id for r in suspicious_timeline(ev, by_count, n_users=2, order="count").collect()]
+    assert got == [2, 9]
 
 
 def test_isolation_forest_flags_outliers_at_rate(spark):
