@@ -19,8 +19,8 @@ SESSION = "session_id"
 
 EVENT_COLUMNS = (EVENT_ID, USER, TS, EVENT, PRODUCT, AMOUNT)
 
-# Schema of the clickstream CSV export the analysis was written for
-# (columns the analysis reads; SessionID is always re-derived).
+# Columns of the clickstream CSV export that the analysis reads, with their
+# types (SessionID is optional: it is always re-derived).
 CLICKSTREAM_CSV_SCHEMA = T.StructType([
     T.StructField("UserID", T.LongType(), True),
     T.StructField("SessionID", T.LongType(), True),
@@ -28,7 +28,6 @@ CLICKSTREAM_CSV_SCHEMA = T.StructType([
     T.StructField("EventType", T.StringType(), True),
     T.StructField("ProductID", T.StringType(), True),
     T.StructField("Amount", T.DoubleType(), True),
-    T.StructField("Outcome", T.StringType(), True),
     T.StructField("Year", T.IntegerType(), True),
     T.StructField("Month", T.IntegerType(), True),
     T.StructField("Day", T.IntegerType(), True),

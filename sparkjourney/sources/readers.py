@@ -68,8 +68,19 @@ def bind_order_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def read_clickstream_csv(spark: SparkSession, path: str, schema=S.CLICKSTREAM_CSV_SCHEMA) -> DataFrame:
-    """The clickstream CSV export, read with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The clickstream CSV export, columns matched by header name.
+
+    Spark applies an explicit CSV schema by position, so the file is read as
+    strings by header (one pass, no inference) and the used columns are cast
+    by name to ``schema``'s types (unparseable values -> NULL).  Columns of
+    ``schema`` missing from the file fail fast.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns and f.name not in ("SessionID",)]
+    if missing:
+        raise ValueError(f"clickstream CSV lacks columns {missing}; has {raw.columns}")
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns
+                        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def clickstream_to_events(raw: DataFrame, ts_format: str = "parts") -> DataFrame:

@@ -16,7 +16,12 @@ CSV = """UserID,SessionID,Timestamp,EventType,ProductID,Amount,Outcome,Year,Mont
 4,9,00:01.0,page_view,prod_3,,,,1,2
 """
 
-CSV_FULL = """UserID,SessionID,Timestamp,EventType,ProductID,Amount,Outcome,Year,Month,Day
+CSV_FULL = """Day,Month,Year,Amount,ProductID,EventType,Timestamp,UserID
+1,1,2024,,,login,2024-01-01 21:26:04.358965,9
+1,1,2024,,,login,not a time,9
+"""
+
+CSV_EXTRA_COLUMN = """UserID,SessionID,Timestamp,EventType,ProductID,Amount,Outcome,Year,Month,Day
 9,1,2024-01-01 21:26:04.358965,login,,,,2024,1,1
 9,1,not a time,login,,,,2024,1,1
 """
@@ -37,9 +42,17 @@ def test_clickstream_csv_parts_drop_bad_times(spark):
     assert set(ev.columns) >= {"event_id", "user_id", "ts", "event_type", "product_id", "amount"}
 
 
+def test_clickstream_csv_missing_column_fails(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        read_clickstream_csv(spark, _write("UserID,EventType\n1,login\n"))
+
+
 def test_clickstream_csv_full_timestamps(spark):
-    ev = clickstream_to_events(read_clickstream_csv(spark, _write(CSV_FULL)), ts_format="full")
-    assert [str(r.ts) for r in ev.collect()] == ["2024-01-01 21:26:04.358965"]
+    # columns in another order, and an extra column: matched by header name
+    for text in (CSV_FULL, CSV_EXTRA_COLUMN):
+        ev = clickstream_to_events(read_clickstream_csv(spark, _write(text)), ts_format="full")
+        assert [(r.user_id, str(r.ts)) for r in ev.collect()] == [(9, "2024-01-01 21:26:04.358965")]
 
 
 def test_write_by_cluster_and_pruned_read(spark):
