@@ -53,12 +53,17 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
          .where(F.col(_B).isNotNull()))
 
     wb = W.partitionBy(user, _B).orderBy(ts, order)
-    e = (e.withColumn("_gap", seconds_between(F.lag(ts).over(wb), F.col(ts)))
-         .withColumn("_start", F.coalesce((F.col("_gap") > F.lit(gap)).cast("int"), F.lit(0)))
-         .withColumn("_lsid", F.sum("_start").over(wb.rowsBetween(W.unboundedPreceding, W.currentRow))))
-    ws = W.partitionBy(user, _B, "_lsid")
-    e = (e.withColumn("_smin", F.min(ts).over(ws))
-         .withColumn("_smax", F.max(ts).over(ws)))
+    running = wb.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = wb.rowsBetween(1, W.unboundedFollowing)
+    e = (e.withColumn("_prev", F.lag(ts).over(wb))
+         .withColumn("_gap", seconds_between(F.col("_prev"), F.col(ts)))
+         .withColumn("_start", F.coalesce((F.col("_gap") > F.lit(gap)).cast("int"), F.lit(0))))
+    # all frames share the (user, bucket, ts) ordering, so one sort serves them:
+    # local session number, start of the current local segment (latest start
+    # so far), end of it (time before the next start in the bucket)
+    e = (e.withColumn("_lsid", F.sum("_start").over(running))
+         .withColumn("_smin", F.last(F.when(F.col("_start") == 1, F.col(ts)), ignorenulls=True).over(running))
+         .withColumn("_smax", F.first(F.when(F.col("_start") == 1, F.col("_prev")), ignorenulls=True).over(ahead)))
 
     # per-(user, bucket) summary; same partitioning as `e`, so no exchange
     b = e.groupBy(user, _B).agg(
