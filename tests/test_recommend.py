@@ -69,3 +69,13 @@ def test_hybrid_one_sided_scores_and_disjoint_from_owned(spark):
     got = {r.product_id: (r.collab_score, r.cooccur_score, r.hybrid_score) for r in h.collect()}
     assert "A" not in got
     assert got["B"] == (1.0, 1.0, 2.0) and got["C"] == (1.0, 0.0, 1.0)
+
+
+def test_hot_product_bought_by_most_users(spark):
+    rng = np.random.default_rng(9)
+    baskets = {u: ["HOT"] * int(rng.integers(1, 4)) + [f"p{int(x)}" for x in rng.integers(0, 30, rng.integers(0, 5))]
+               for u in range(120)}
+    c = _counts(spark, baskets)
+    for seed in (0, 7):
+        got = {r.product_id: r.cooccur_score for r in cooccurrence_scores(c, F.lit(seed)).collect()}
+        assert got == _brute_cooc(baskets, seed)
