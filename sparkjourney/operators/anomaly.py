@@ -90,6 +90,14 @@ def spike_share(events: DataFrame, spikes: DataFrame, user: str = S.USER) -> Dat
 _EULER = 0.5772156649015329
 
 
+def _ship_by_value() -> None:
+    """Serialize this module's worker-side helpers by value, so Python workers
+    need only NumPy/pandas, not this package on their path."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _c(n):
     """Average path length of an unsuccessful BST search over n points."""
     n = np.asarray(n, dtype=float)
@@ -133,6 +141,7 @@ def _tree_nodes_schema():
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, trees: int = 100, sample: int = 256,
                      contamination: float = 0.02, seed: int = 42, oversample: float = 2.0) -> DataFrame:
     """Add ``anomaly_score`` (higher = more isolated) and ``anomaly`` (-1 / 1)."""
+    _ship_by_value()
     cols = list(cols)
     # per-tree inclusion rate (oversampled; each tree keeps its `sample` smallest hashes)
     base = with_scalar(df, "_n", df.agg(F.count(F.lit(1)).alias("n")))
