@@ -11,6 +11,13 @@ emit the last event time) and there is no per-user session ordinal.
 Rows arrive with TIMESTAMP_NTZ times; Spark's event-time operators need
 TIMESTAMP, so the time is reinterpreted in UTC first (no shift when the
 session time zone is UTC).
+
+Start the returned streams with a ``checkpointLocation`` on shared storage:
+offsets and the session state live there, so a restarted query (or lost
+executors) resume exactly where they stopped, e.g.
+``stream_session_stats(ev).writeStream.outputMode("append")
+.option("checkpointLocation", f"{shared}/sessions").format("parquet")
+.start(f"{shared}/sessions_out")``.
 """
 
 from __future__ import annotations
