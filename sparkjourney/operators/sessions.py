@@ -104,7 +104,9 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
     start = F.when(F.col("_lsid") == 0, F.col("_open_start")).otherwise(F.col("_smin"))
     end = F.when(F.col("_lsid") == F.col("_nstarts"), F.col("_close_end")).otherwise(F.col("_smax"))
     gap_s = F.coalesce(F.col("_gap"), F.col("_entry_gap"))
-    keep = [c for c in events.columns]
+    produced = {"gap_seconds", "gap_hours", S.SESSION, "is_session_start", "session_start", "session_end",
+                "session_duration"}
+    keep = [c for c in events.columns if c not in produced]  # re-sessionizing replaces these
     return out.select(
         *keep,
         gap_s.alias("gap_seconds"),

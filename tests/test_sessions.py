@@ -106,3 +106,14 @@ def test_shuffle_partitions_do_not_change_sessions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert base == other
+
+
+def test_resessionizing_replaces_session_columns(spark):
+    from sparkjourney.plans import tables as t
+    from conftest import SMOKE
+    once = t.sessions(spark, SMOKE)
+    twice = sessionize(once)
+    assert len(twice.columns) == len(set(twice.columns)) == len(once.columns)
+    a = sorted(tuple(r) for r in once.select("event_id", "session_id").collect())
+    b = sorted(tuple(r) for r in twice.select("event_id", "session_id").collect())
+    assert a == b
