@@ -20,9 +20,13 @@ def reference_time(events: DataFrame, ts: str = S.TS):
 
 
 def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts: str = S.TS,
-        amount: str = S.AMOUNT, as_of=None) -> DataFrame:
+        amount: str = S.AMOUNT, as_of=None, grain: str = "user") -> DataFrame:
     """(user, recency, frequency, monetary), one row per user.
 
+    ``grain='event'`` instead attaches the user's RFM to each of its events
+    (a left equi-join on the user; on a hot user AQE's skew-join handling
+    splits the event side, and a small RFM table is broadcast at run time).
+
     * recency: whole days from the user's last event to ``as_of`` (default:
       the latest event time of the whole table);
     * frequency: distinct sessions;
@@ -33,12 +37,17 @@ def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts:
     # the two-phase distinct aggregation
     freq = (F.count_if("is_session_start") if session_col == S.SESSION and "is_session_start" in events.columns
             else F.countDistinct(session_col))
-    return (events.where(F.col(user).isNotNull())
-            .groupBy(user)
-            .agg(F.max(ts).alias("_last"),
-                 freq.alias("frequency"),
-                 F.coalesce(F.sum(amount), F.lit(0.0)).alias("monetary"))
-            .select(user, whole_days_between(F.col("_last"), ref).alias("recency"), "frequency", "monetary"))
+    per_user = (events.where(F.col(user).isNotNull())
+                .groupBy(user)
+                .agg(F.max(ts).alias("_last"),
+                     freq.alias("frequency"),
+                     F.coalesce(F.sum(amount), F.lit(0.0)).alias("monetary"))
+                .select(user, whole_days_between(F.col("_last"), ref).alias("recency"), "frequency", "monetary"))
+    if grain == "user":
+        return per_user
+    if grain == "event":
+        return events.join(per_user, user, "left")
+    raise ValueError(f"grain must be 'user' or 'event', not {grain!r}")
 
 
 def churn_label(rfm_df: DataFrame, days: int = 7, recency: str = "recency", name: str = "churn") -> DataFrame:

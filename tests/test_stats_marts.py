@@ -73,3 +73,12 @@ def test_null_profile_positive_only(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
     assert {r.column: r.null_count for r in null_profile(df).collect()} == {"a": 1, "b": 2}
     assert null_profile(df.where(F.col("a") == 3)).count() == 0
+
+
+def test_rfm_event_grain(spark):
+    import datetime as dt
+    ref = dt.datetime(2024, 1, 10)
+    ev = spark.createDataFrame([(1, 1, ref, 1.0, 0), (2, 1, ref, 2.0, 1), (3, 2, ref, None, 0)],
+                               "event_id long, user_id long, ts timestamp_ntz, amount double, session_id long")
+    got = {r.event_id: (r.frequency, r.monetary) for r in rfm(ev, grain="event").collect()}
+    assert got == {1: (2, 3.0), 2: (2, 3.0), 3: (1, 0.0)}
