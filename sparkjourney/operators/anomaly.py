@@ -43,7 +43,8 @@ def event_counts(events: DataFrame, types: Sequence[str], user: str = S.USER, ev
             .groupBy(user).agg(F.count(F.lit(1)).alias("event_count")))
 
 
-def event_spikes(events: DataFrame, types: Sequence[str], q: float = 0.95, user: str = S.USER,
+def event_spikes(events: DataFrame, types: Sequence[str] = tuple(S.CLICKSTREAM_SPIKE_TYPES), q: float = 0.95,
+                 user: str = S.USER,
                  event: str = S.EVENT) -> DataFrame:
     """(user, event_count) of users whose count is strictly above the q-quantile
     (linear interpolation) of the per-user counts."""

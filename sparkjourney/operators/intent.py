@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkjourney import schema as S
 
 
-def view_counts(events: DataFrame, view: str = S.EVENTS_VIEW, user: str = S.USER, product: str = S.PRODUCT,
+def view_counts(events: DataFrame, view: str = "product_view", user: str = S.USER, product: str = S.PRODUCT,
                 event: str = S.EVENT) -> DataFrame:
     """(user, product, view_count)."""
     return (events.where((F.col(event) == F.lit(view)) & F.col(user).isNotNull() & F.col(product).isNotNull())
@@ -26,7 +26,7 @@ def top_product_per_user(counts: DataFrame, user: str = S.USER, product: str = S
     return best.select(user, F.col("b.p").alias(product), (-F.col("b.neg")).alias(count))
 
 
-def high_intent(events: DataFrame, view: str = S.EVENTS_VIEW, n: int = 10) -> DataFrame:
+def high_intent(events: DataFrame, view: str = "product_view", n: int = 10) -> DataFrame:
     """Top-n users by their most-viewed product's view count (ties: smaller user id)."""
     top = top_product_per_user(view_counts(events, view))
     return top.orderBy(F.desc("view_count"), F.asc(S.USER)).limit(n)

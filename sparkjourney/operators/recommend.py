@@ -103,11 +103,20 @@ def hybrid_scores(collab: DataFrame, cooc: DataFrame, n: int | None = 10, produc
 
 
 def recommend(events: DataFrame, seed: Column | None = None, neighbours: int = 5, n: int = 10,
-              purchase: str = S.PURCHASE) -> DataFrame:
-    """Top-n hybrid recommendations for one user (default: smallest purchasing id)."""
+              purchase: str = S.PURCHASE, similarity: str = "sparse", factors: int = 20) -> DataFrame:
+    """Top-n hybrid recommendations for one user (default: smallest purchasing id).
+
+    ``similarity='sparse'`` ranks neighbours by cosine of purchase counts,
+    ``'svd'`` by cosine of ``factors`` truncated-SVD user factors.
+    """
     counts = purchase_counts(events, purchase)
     seed = default_seed(counts) if seed is None else seed
-    nb = user_neighbours(counts, seed, neighbours)
+    if similarity == "sparse":
+        nb = user_neighbours(counts, seed, neighbours)
+    elif similarity == "svd":
+        nb = svd_neighbours(counts, neighbours, factors, seed)
+    else:
+        raise ValueError(f"similarity must be 'sparse' or 'svd', not {similarity!r}")
     return hybrid_scores(collab_scores(counts, nb, seed), cooccurrence_scores(counts, seed), n)
 
 

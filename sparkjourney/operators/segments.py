@@ -100,7 +100,7 @@ def pca_variance(model) -> list[tuple[int, float, float]]:
     return out
 
 
-def kmeans_sweep(features: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 3, seed: int = 42,
+def kmeans_sweep(features: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42,
                  max_iter: int = 30, parallelism: int = 4):
     """Fit K-means for each k (best of ``n_init`` seeds by training cost).
 
@@ -134,7 +134,7 @@ def choose_k(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("silhouette"), F.asc("k")).limit(1)
 
 
-def segment(rfm_df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 3, pca_k: int = 3,
+def segment(rfm_df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, pca_k: int = 3,
             seed: int = 42):
     """RFM -> scaled -> PCA -> K-means sweep -> best k -> re-ranked clusters.
 

@@ -79,3 +79,14 @@ def test_hot_product_bought_by_most_users(spark):
     for seed in (0, 7):
         got = {r.product_id: r.cooccur_score for r in cooccurrence_scores(c, F.lit(seed)).collect()}
         assert got == _brute_cooc(baskets, seed)
+
+
+def test_recommend_both_similarities(spark):
+    from sparkjourney.operators.recommend import recommend
+    from sparkjourney.plans import tables as t
+    from conftest import SMOKE
+    ev = t.events(spark, SMOKE)
+    for sim in ("sparse", "svd"):
+        out = recommend(ev, similarity=sim, n=10).collect()
+        assert 0 < len(out) <= 10
+        assert all(r.hybrid_score == r.collab_score + r.cooccur_score for r in out)
