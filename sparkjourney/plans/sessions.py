@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkjourney import schema as S
 from sparkjourney.functions.time import timestamp_from_parts
-from sparkjourney.operators.sessions import session_stats, event_features
+from sparkjourney.operators.sessions import session_stats, event_features, preprocess
 from sparkjourney.operators.stats import standardize
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
@@ -83,3 +83,19 @@ def q_session_windows(spark, d):
     """The streaming session operator (``session_window``) run as a batch job:
     same sessions as the window-based sessionizer."""
     return round_doubles(stream_session_stats(t.events(spark, d)))
+
+
+@query("preprocessed", f"""
+  WITH s AS (SELECT *, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour_of_day,
+                    CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS made_purchase
+             FROM ({t.SQL_SESSIONS}))
+  SELECT event_id, user_id, ts, event_type, round(gap_seconds, 6) AS gap_seconds, round(gap_hours, 6) AS gap_hours,
+         session_id, round(session_duration, 6) AS session_duration, weekday, hour_of_day, made_purchase,
+  {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 6) AS {c}_z" for c in _Z)}
+  FROM s""")
+def q_preprocessed(spark, d):
+    """The whole preprocessing stage: sessions, event features, z-scores in new columns."""
+    p = preprocess(t.events(spark, d), scale_cols=_Z)
+    return round_doubles(p.select(S.EVENT_ID, S.USER, S.TS, S.EVENT, "gap_seconds", "gap_hours", S.SESSION,
+                                  "session_duration", "weekday", "hour_of_day", "made_purchase",
+                                  *[c + "_z" for c in _Z]))
