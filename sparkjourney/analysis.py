@@ -6,7 +6,7 @@ output once under ``out_dir`` (parquet by default).  The event-grain stage
 downstream, so the sessionization runs once and later stages start from a
 written table in the shared output folder rather than from a long lineage.
 
-Outputs (one directory each): preprocessed, rfm, customer_marketing_actions,
+Outputs (one directory each): preprocessed, feature_scaler, rfm, customer_marketing_actions,
 clusters (partitioned by cluster), cluster_profile, action_counts,
 funnel_flags, funnel_summary, funnel_dropoff, time_to_convert,
 time_to_convert_by_cluster, user_funnel_table, recommendations, high_intent,
@@ -28,8 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkjourney import schema as S
 from sparkjourney.operators import anomaly, churn, funnel, intent, marts, recommend, rfm as rfm_ops, segments
 from sparkjourney.operators.sessions import preprocess
+from sparkjourney.operators.stats import scaler_stats
 from sparkjourney.sources.writers import write_stage, write_by_cluster
 
+SCALE_COLS = ("session_duration", "gap_seconds", "hour_of_day", "weekday")
+
 
 @dataclass
 class AnalysisConfig:
@@ -66,12 +69,15 @@ def run_analysis(events: DataFrame, out_dir: str, config: AnalysisConfig | None
         paths[name] = f"{out}/{name}"
         write_stage(df, paths[name], fmt=fmt)
 
-    # 1. event grain: sessions + features, written once and read back
-    pre = preprocess(events, gap_seconds=cfg.gap_seconds,
-                     scale_cols=("session_duration", "gap_seconds", "hour_of_day", "weekday"))
+    # 1. event grain: sessions + features, written once and read back; the
+    #    scaler is fitted on the written table (a scan and one aggregate, not a
+    #    second sessionization) and stored as one row -- z-scores are a cheap
+    #    transform (`apply_scaler`) wherever they are needed
+    pre = preprocess(events, gap_seconds=cfg.gap_seconds)
     paths["preprocessed"] = f"{out}/preprocessed"
     write_stage(pre, paths["preprocessed"], fmt="parquet")
     sessions = spark.read.parquet(paths["preprocessed"])
+    put("feature_scaler", scaler_stats(sessions, list(SCALE_COLS)))
 
     # 2. user grain: RFM, segments, actions
     prof = rfm_ops.rfm(sessions)

@@ -57,6 +57,23 @@ def _pname(p: float) -> str:
     return f"p{int(round(p * 100))}"
 
 
+def scaler_stats(df: DataFrame, cols: Sequence[str], population: bool = True) -> DataFrame:
+    """One row: ``<c>_mean`` and ``<c>_std`` per column (a fitted scaler)."""
+    std = F.stddev_pop if population else F.stddev_samp
+    return df.agg(*[x for c in cols for x in (F.avg(c).alias(f"{c}_mean"), std(c).alias(f"{c}_std"))])
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
+    """Add ``<c><suffix>`` from a ``scaler_stats`` row (zero std -> 0)."""
+    st = fit_row(stats)
+    out = df
+    for c in cols:
+        m, s = st[f"{c}_mean"], st[f"{c}_std"]
+        z = (F.col(c) - F.lit(m)) / F.lit(s) if (s is not None and s > 0) else F.lit(0.0)
+        out = out.withColumn(c + suffix, z.cast("double"))
+    return out
+
+
 def describe(df: DataFrame, col: str, probs: Sequence[float] = DESCRIBE_PROBS, exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, requested percentiles (linear), max -- one row.
 

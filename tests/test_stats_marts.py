@@ -82,3 +82,11 @@ def test_rfm_event_grain(spark):
                                "event_id long, user_id long, ts timestamp_ntz, amount double, session_id long")
     got = {r.event_id: (r.frequency, r.monetary) for r in rfm(ev, grain="event").collect()}
     assert got == {1: (2, 3.0), 2: (2, 3.0), 3: (1, 0.0)}
+
+
+def test_scaler_stats_roundtrip(spark):
+    from sparkjourney.operators.stats import scaler_stats, apply_scaler
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0)], "id int, x double, c double")
+    a = {r.id: (r.x_z, r.c_z) for r in apply_scaler(df, scaler_stats(df, ["x", "c"]), ["x", "c"]).collect()}
+    b = {r.id: (r.x_z, r.c_z) for r in standardize(df, ["x", "c"]).collect()}
+    assert a == b == {1: (-1.0, 0.0), 2: (1.0, 0.0)}
