@@ -1,8 +1,8 @@
 """Stage funnel: first time per stage, progression flags, drop-off, time to convert.
 
 One pass builds the user x stage matrix of first times: a grouped aggregate
-with an explicit pivot value list (no extra job to discover values, and an
-absent stage becomes an all-NULL column instead of an error).  Partial
+with one conditional ``min`` per stage (the pivot, with its value list
+given, so an absent stage becomes an all-NULL column instead of an error).  Partial
 aggregation runs before the shuffle by user, so heavy users cost one partial
 row per task.  Everything after that works on one row per user, and the
 summaries are single-row aggregates unpivoted into one row per stage.
@@ -28,10 +28,16 @@ ARROW = S.TRANSITION_ARROW
 
 def stage_times(events: DataFrame, stages: Sequence[str], user: str = S.USER, event: str = S.EVENT,
                 ts: str = S.TS) -> DataFrame:
-    """(user, <stage>...) first time per stage, for users with any stage event."""
+    """(user, <stage>...) first time per stage, for users with any stage event.
+
+    One conditional ``min`` per stage in a single grouped aggregate: the
+    user x stage matrix in one shuffle (``pivot`` with a value list would
+    aggregate by (user, stage) first and shuffle twice).  A stage with no
+    events is an all-NULL column.
+    """
     stages = list(stages)
     return (events.where(F.col(event).isin(stages) & F.col(user).isNotNull() & F.col(ts).isNotNull())
-            .groupBy(user).pivot(event, stages).agg(F.min(ts)))
+            .groupBy(user).agg(*[F.min(F.when(F.col(event) == F.lit(s), F.col(ts))).alias(s) for s in stages]))
 
 
 def funnel_flags(times: DataFrame, stages: Sequence[str], user: str = S.USER) -> DataFrame:

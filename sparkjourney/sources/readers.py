@@ -36,7 +36,8 @@ def bind_events(events: DataFrame) -> DataFrame:
 def bind_orders(orders: DataFrame) -> DataFrame:
     """Driver ``orders`` table -> canonical events, one purchase event per order.
 
-    An order is one session, so ``session_id`` is the order key.
+    An order is one session, so ``session_id`` is the order key and every row
+    starts its session (session counts are then plain counts, no distinct).
     """
     return orders.select(
         F.col("o_orderkey").alias(S.EVENT_ID),
@@ -46,6 +47,7 @@ def bind_orders(orders: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias(S.PRODUCT),
         F.col("o_totalprice").alias(S.AMOUNT),
         F.col("o_orderkey").alias(S.SESSION),
+        F.lit(True).alias("is_session_start"),
     )
 
 
