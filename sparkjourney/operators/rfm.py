@@ -15,10 +15,22 @@ from sparkjourney.functions.time import whole_days_between
 
 
 def reference_time(events: DataFrame, ts: str = S.TS):
-    """Global latest event time as a scalar-subquery column."""
+    """Global latest event time as a scalar-subquery column.
+
+    Pass the raw event scan rather than a derived frame: the subquery then
+    reads one column of the source (``max`` over a pruned scan) instead of
+    re-running the derivation.
+    """
     return events.select(F.max(ts)).scalar()
 
 
+def _as_of(events: DataFrame, as_of, ts: str):
+    from pyspark.sql import Column
+    if as_of is None:
+        return reference_time(events, ts)
+    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+
+
 def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts: str = S.TS,
         amount: str = S.AMOUNT, as_of=None, grain: str = "user") -> DataFrame:
     """(user, recency, frequency, monetary), one row per user.
@@ -27,12 +39,13 @@ def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts:
     (a left equi-join on the user; on a hot user AQE's skew-join handling
     splits the event side, and a small RFM table is broadcast at run time).
 
-    * recency: whole days from the user's last event to ``as_of`` (default:
-      the latest event time of the whole table);
+    * recency: whole days from the user's last event to ``as_of`` (a
+      timestamp, a column such as ``reference_time(raw_events)``, or by
+      default the latest event time of ``events``);
     * frequency: distinct sessions;
     * monetary: sum of amounts, 0 when all are NULL.
     """
-    ref = reference_time(events, ts) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    ref = _as_of(events, as_of, ts)
     # sessionized input flags one event per session: counting flags avoids
     # the two-phase distinct aggregation
     freq = (F.count_if("is_session_start") if session_col == S.SESSION and "is_session_start" in events.columns
@@ -73,7 +86,7 @@ def user_features(sessions: DataFrame, user: str = S.USER, ts: str = S.TS, event
     its duration averaged once, through the event flagged
     ``is_session_start`` (no per-session pre-aggregation, no join).
     """
-    ref = reference_time(sessions, ts) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    ref = _as_of(sessions, as_of, ts)
     first = F.col("is_session_start")
     per_user = (sessions.groupBy(user)
                 .agg(F.count_if(first).alias("frequency"),
