@@ -109,7 +109,8 @@ def recommend(events: DataFrame, seed: Column | None = None, neighbours: int = 5
     ``similarity='sparse'`` ranks neighbours by cosine of purchase counts,
     ``'svd'`` by cosine of ``factors`` truncated-SVD user factors.
     """
-    counts = purchase_counts(events, purchase)
+    from sparkjourney.session import materialize
+    counts = materialize(purchase_counts(events, purchase))  # read by every branch below
     seed = default_seed(counts) if seed is None else seed
     if similarity == "sparse":
         nb = user_neighbours(counts, seed, neighbours)

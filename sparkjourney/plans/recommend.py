@@ -11,6 +11,7 @@ from sparkjourney.operators.recommend import (
 )
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
+from sparkjourney.session import materialize
 
 SQL_COUNTS = f"""
   SELECT user_id, product_id, COUNT(*) AS n FROM ({t.SQL_EVENTS})
@@ -44,7 +45,9 @@ SQL_COOC = f"""
 
 
 def counts(spark, d):
-    return purchase_counts(t.events(spark, d))
+    # (user, product) counts feed every branch (seed, norms, dots, neighbours,
+    # scores): checkpointed once, far smaller than the events
+    return materialize(purchase_counts(t.events(spark, d)))
 
 
 @query("user_neighbours", f"SELECT seed_user, neighbour, round(similarity, 6) AS similarity, rank FROM ({SQL_SIM})")
