@@ -64,9 +64,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     tg = (n.select(*groups, "_n", qs)
           .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
           .withColumn("_r0", F.floor("_h")).withColumn("_r1", F.ceil("_h")))
-    j = cum.join(tg, groups) if groups else with_scalar(
-        cum, "_tg", tg.agg(F.collect_list(F.struct("q", "_h", "_r0", "_r1")).alias("t"))) \
-        .select("*", F.explode(F.col("_tg")["t"]).alias("_t")).select("*", "_t.*").drop("_tg", "_t")
+    if groups:
+        j = cum.join(tg, groups)
+    else:
+        # keep only the value rows holding a target rank (at most 2 per
+        # probability), then pair them with the targets
+        t = tg.agg(F.collect_list(F.struct("q", "_h", "_r0", "_r1")).alias("t"),
+                   F.flatten(F.collect_list(F.array("_r0", "_r1"))).alias("r"))
+        hit = F.exists(F.col("_tg")["r"], lambda r: (F.col("_c_cum") - F.col("_c") <= r) & (r < F.col("_c_cum")))
+        j = (with_scalar(cum, "_tg", t).where(hit)
+             .select("*", F.explode(F.col("_tg")["t"]).alias("_t")).select("*", "_t.*").drop("_tg", "_t"))
     lo = F.col("_c_cum") - F.col("_c")
     hit0 = (lo <= F.col("_r0")) & (F.col("_r0") < F.col("_c_cum"))
     hit1 = (lo <= F.col("_r1")) & (F.col("_r1") < F.col("_c_cum"))
