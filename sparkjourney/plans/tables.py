@@ -1,4 +1,11 @@
-"""Bound inputs for the registered queries (driver tables -> canonical frames)."""
+"""Bound inputs for the registered queries (driver tables -> canonical frames).
+
+The ``SQL_*`` fragments state the same bindings for the DuckDB oracles:
+``SQL_EVENTS`` is ``bind_events`` and ``SQL_SESSIONS`` is the plain per-user
+window sessionizer (lag, running count of gaps over 1800 s, min/max per
+session), i.e. the textbook form that the bucket-split ``sessionize`` must
+reproduce exactly.
+"""
 
 from __future__ import annotations
 
