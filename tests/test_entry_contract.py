@@ -18,7 +18,9 @@ def test_contract_from_another_directory(tmp_path):
     assert n_q > n_s > 40
 
 
-def test_names_have_no_pipeline_or_numbered_ops():
+def test_library_queries_do_not_need_the_llm_subpackage(monkeypatch):
     import __spark_entry__ as E
-    for name in E.queries():
-        assert "pipeline" not in name and not name.startswith("op")
+    from sparkjourney.plans import QUERIES
+    monkeypatch.setattr(E, "_llm", lambda: None)
+    assert set(E.queries()) == set(QUERIES)
+    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
