@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
 import sys
@@ -71,11 +72,27 @@ def shipped(spark: SparkSession, model):
 BROADCAST_IDS = 1_000_000
 
 
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = cut(ids.select(F.col("doc_id").alias("_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["_id"], how)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not among ``ids``; null ids stay."""
-    ids = cut(ids.select(F.col("doc_id").alias("_gone")))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
+    return _among(docs, ids, "left_anti")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``."""
+    return _among(docs, ids, "left_semi")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of frames no longer
+    referenced, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def by_batch(docs: DataFrame, change) -> DataFrame:

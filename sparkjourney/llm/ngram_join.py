@@ -10,20 +10,19 @@ shingles on either side, a link needs 9 * common >= 4 * (n_x + n_y), so at most
    their first n // 5 + 1 shingles, so the documents that share such a shingle
    form the first regions.
 3. Pivots: in each region the member with the smallest hash is the pivot, and
-   every member's distance to it is computed exactly.  Members whose pivot is
-   the same form that pivot's Voronoi region, with every boundary document
-   replicated into each region whose pivot it met.  Members within 0.2 are
+   every member's distance to it is computed exactly.  Members within 0.2 are
    linked, and whatever is already connected needs no more tests.
-4. A region of at most ``LEAF`` unresolved members joins directly.  A larger one
-   is cut into size bands, and each band joins recursively around its pivot p.
-   With i = |x & p|: two members with i < 0.8 n share so many shingles outside p
-   that one lies among the first n // 5 + 1 of each one's shingles outside p.
-   A member with i >= 0.8 n (core) can link only to members with i >= 0.48 n
-   (near), by the triangle inequality; near members stand for their difference
-   E = x ^ p, and a link shares so many elements of E that one lies in a prefix
-   (``_window``).  Those shingles are the keys of the next, smaller regions,
-   with new pivots.  What the region had in common was in the pivot and is gone,
-   and the pivot itself drops out, so the recursion ends.
+4. A region of at most ``LEAF`` unresolved members joins directly.  Larger ones are
+   cut into size bands; those with the same pivot form its Voronoi region, with
+   every boundary document replicated into each region whose pivot it met, and join
+   recursively around a centre c: the shingles that most of a few members hold.
+   Let E = x ^ c, i = |x & c| and g = n / 9 - |E|.  By the triangle inequality x
+   and y are linked if g_x + g_y >= 0, so all such members are linked to the one
+   with the largest g.  Any other linked pair shares elements outside c or of E:
+   if i < 0.8 n for both, one lies among the first n // 5 + 1 of each one's
+   shingles outside c; otherwise both have i >= 0.48 n (near) and one lies in a
+   prefix of each E (``_window``).  These are the keys of the next, smaller regions:
+   what the region had in common is in c and gone.
 
 No step forms all pairs of a large group, no candidate is capped, and links
 and components stay in Spark.
@@ -38,14 +37,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import Memo, cut, texts, without
+from sparkjourney.llm.common import Memo, cut, only, release, texts, without
 from sparkjourney.llm.components import components
 
 WORDS = 5
-LEAF = 32
+LEAF = 256
+#: About so many members give a region's centre.
+SAMPLED = 48
 #: One document in so many is sampled to learn which shingles are frequent; this
 #: only orders shingles (any order is exact) and is a fixed share of the input.
-SAMPLE = 32
+SAMPLE = 16
 SAMPLE_COUNT = 3
 #: At most so many frequent shingles are kept, in a bit map of at most 4 MB.
 FREQUENT = 1 << 20
@@ -133,70 +134,92 @@ def _pruned(pairs: DataFrame, sig: DataFrame) -> DataFrame:
                 ok[i] = 9 * (len(x) + len(y) - 2 * common) <= nx + ny
             yield b.loc[ok, ["a", "b"]]
 
+    sig = only(sig, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     x = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
     y = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "kx", "ky").mapInPandas(keep, "a long, b long")
 
 
-def _window(own: int, n: int, n_pivot: int, linked: bool) -> int:
-    """How many of the ``own`` elements of E = x ^ pivot, in order, must be keys.
+def _window(own: int, n: int) -> int:
+    """How many of the ``own`` elements of E, in order, must be keys.  A linked pair
+    with differences E and F shares at least t = (|E| + |F| - D) / 2 of them, with
+    D = (n_x + n_y) / 9 <= n_x / 4; |F| >= |E| - D by the triangle inequality, so
+    t >= |E| - n_x // 4; and t > 0, as the pair is not linked through the centre alone."""
+    return own - max(1, own - n // 4) + 1 if own else 0
 
-    A linked pair (x, y) with differences E and F shares at least
-    t = (|E| + |F| - D) / 2 of them, D = (n_x + n_y) / 9 <= n_x / 4, and
-    |F| >= |E| - D by the triangle inequality, so t >= |E| - n_x // 4.  If the
-    pivot links x but not y, |F| > (n_y + n_p) / 9, so t > (9|E| + n_p - n_x) / 18.
-    If it links both, they need no test."""
-    t = max(1, own - n // 4)
-    if linked:
-        t = max(t, (9 * own + n_pivot - n) // 18 + 1)
-    return max(0, own - t + 1)
 
-
-def _next_keys(x: np.ndarray, pivot: np.ndarray, common: int, linked: bool):
-    """Keys of a member in its pivot's region: shingles outside the pivot unless
-    the member is core, elements of the difference if it is near."""
+def _next_keys(x: np.ndarray, centre: np.ndarray):
+    """|E|, and the keys of a member in its region: shingles outside the centre
+    unless the member holds 0.8 of its own in it, elements of E if it is near."""
     n, outside, apart = len(x), x[:0], x[:0]
+    common = len(np.intersect1d(x, centre, assume_unique=True))
+    own = n + len(centre) - 2 * common
     if 5 * common < 4 * n:
-        outside = np.setdiff1d(x, pivot, assume_unique=True)[:n // WORDS + 1]
+        outside = np.setdiff1d(x, centre, assume_unique=True)[:n // WORDS + 1]
     if 25 * common >= 12 * n:
-        apart = np.setxor1d(x, pivot, assume_unique=True)
-        apart = apart[:_window(len(apart), n, len(pivot), linked)]
-    return outside, apart
-
+        apart = np.setxor1d(x, centre, assume_unique=True)[:_window(own, n)]
+    return own, outside, apart
 
-def _verified(pairs: DataFrame, docs: DataFrame, bits, differences: bool) -> DataFrame:
-    """Exact test of the pairs (a, b) on whole sets, remade from the texts of the
-    documents involved.  With ``differences`` (rows carry ``rid``; b is the pivot):
-    also the keys of a's difference from b."""
-    sets_of = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
 
+def _sets(docs: DataFrame, ids: DataFrame, bits) -> DataFrame:
+    """(doc_id, s): whole ordered sets of the documents among ``ids``, remade from their texts."""
     def remake(batches):
         memo, often = _word_memo(), bits.value
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "s": [_ordered(shingle_hashes(t, memo), often) for t in b["text"]]})
 
+    return cut(only(docs, ids).mapInPandas(remake, "doc_id long, s array<long>"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, bits) -> DataFrame:
+    """The pairs (a, b) that are linked: exact test on whole sets."""
     def test(batches):
         for b in batches:
-            linked, outside, apart = np.zeros(len(b), bool), [], []
+            linked = np.zeros(len(b), bool)
             for i, (x, y) in enumerate(zip(b["sx"], b["sy"])):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = 9 * common >= 4 * (len(x) + len(y))
-                if differences:
-                    keys = _next_keys(x, y, common, linked[i])
-                    outside.append(keys[0])
-                    apart.append(keys[1])
-            if differences:
-                yield pd.DataFrame({"rid": b["rid"], "a": b["a"], "b": b["b"], "linked": linked,
-                                    "outside": outside, "apart": apart})
-            else:
-                yield b.loc[linked, ["a", "b"]]
-
-    sets = sets_of.mapInPandas(remake, "doc_id long, s array<long>")
-    rid = ["rid"] if differences else []
-    met = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sx")), "a")
-           .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sy")), "b").select(*rid, "a", "b", "sx", "sy"))
-    return met.mapInPandas(test, "rid long, a long, b long, linked boolean, outside array<long>, apart array<long>"
-                           if differences else "a long, b long")
+                linked[i] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+            yield b.loc[linked, ["a", "b"]]
+
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
+    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sx")), "a")
+            .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sy")), "b").select("a", "b", "sx", "sy")
+            .mapInPandas(test, "a long, b long"))
+
+
+def _around_centres(region: DataFrame, docs: DataFrame, bits) -> tuple[DataFrame, DataFrame]:
+    """Links, and the next regions' rows (rid, key, doc_id, n), of regions (rid, doc_id)."""
+    sets = _sets(docs, region.select("doc_id"), bits)
+    few = region.join(region.groupBy("rid").agg(F.count("*").alias("members")), "rid").where(
+        F.pmod(F.xxhash64("doc_id", "rid"), F.col("members")) < SAMPLED)
+
+    def centre(group: pd.DataFrame) -> pd.DataFrame:
+        found, times = np.unique(np.concatenate(group["s"].tolist()), return_counts=True)
+        return pd.DataFrame({"rid": group["rid"].iloc[:1], "centre": [found[2 * times > len(group)]]})
+
+    def place(batches):
+        for b in batches:
+            made = [_next_keys(x, c if c is not None else x[:0]) for x, c in zip(b["s"], b["centre"])]
+            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "n": [len(x) for x in b["s"]], "own": [m[0] for m in made],
+                                "outside": [m[1] for m in made], "apart": [m[2] for m in made]})
+
+    # a region's centre needs about SAMPLED sets, whatever its size; any set is an exact centre
+    centres = few.join(sets, "doc_id").groupBy("rid").applyInPandas(centre, "rid long, centre array<long>")
+    placed = cut(region.join(sets, "doc_id").join(centres, "rid", "left").select("rid", "doc_id", "s", "centre")
+                 .mapInPandas(place, "rid long, doc_id long, n long, own long, outside array<long>, apart array<long>")
+                 .withColumn("g", F.col("n") - 9 * F.col("own")))
+    best = placed.groupBy("rid").agg(F.max(F.struct("g", "doc_id")).alias("best")).select("rid", F.col("best.g").alias("most"), F.col("best.doc_id").alias("hub"))
+    known = placed.join(best, "rid").withColumn("linked", F.col("g") + F.col("most") >= 0)
+    links = known.where("linked and doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    # of a linked member, E shares more than (most - g) / 18 elements with any that is not
+    spare = F.when(F.col("linked"), F.greatest(F.col("own") - F.floor((F.col("most") - F.col("g")) / 18), F.lit(0))).otherwise(F.col("own"))
+    rest = known.where("not linked and size(apart) > 0").select("rid").distinct()
+    outside = known.select(F.xxhash64("rid", F.lit("outside")).alias("rid"), F.explode("outside").alias("key"), "doc_id", "n")
+    apart = known.join(rest, "rid", "left_semi").select(
+        F.xxhash64("rid", F.lit("apart")).alias("rid"),
+        F.explode(F.slice("apart", F.lit(1), F.least(F.size("apart"), spare.cast("int")))).alias("key"), "doc_id", "n")
+    rows = outside.unionByName(apart)
+    shared = rows.groupBy("rid", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    return links, rows.join(shared, ["rid", "key"])
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,6 +235,24 @@ def _pivots(rows: DataFrame) -> DataFrame:
         F.min(F.struct(F.xxhash64("rid", "doc_id").alias("h"), "doc_id", "n"))["n"].alias("pivot_n"))
 
 
+def _direct(leaf: DataFrame, large: DataFrame) -> DataFrame:
+    """Unconnected pairs (a, b) within the leaf regions whose sizes allow a link.
+
+    Over the first regions (rows with ``last``, the last key of a member's n // 5 + 1)
+    a pair's shared keys are counted: those met here, and at most as many more as
+    either has in large regions.  The member with the smaller last key, say x, has
+    all its keys where both are complete, so at least n_x // 5 + 1 - shared of its
+    shingles are not in y; a link allows n_x - 4 (n_x + n_y) / 9.  Exact: drops no link."""
+    elsewhere = large.groupBy("doc_id").agg(F.count("*").alias("more"))
+    leaf = leaf.join(elsewhere, "doc_id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    side = lambda doc, s: leaf.select("rid", "key", F.col("doc_id").alias(doc), *[F.col(c).alias(c + s) for c in ("n", "component", "last", "more")])
+    met = (side("a", "x").join(side("b", "y"), ["rid", "key"]).where("a < b and componentx <> componenty").where(_sizes_fit("nx", "ny"))
+           .groupBy("a", "b", "nx", "ny", "lastx", "lasty", "morex", "morey").agg(F.count("*").alias("shared")))
+    first = F.when(F.col("lastx") <= F.col("lasty"), F.col("nx")).otherwise(F.col("ny"))
+    missing = F.floor(first / WORDS) + 1 - F.col("shared") - F.least("morex", "morey")
+    return met.where(F.col("lastx").isNull() | F.col("lasty").isNull() | (9 * missing <= 9 * first - 4 * (F.col("nx") + F.col("ny")))).select("a", "b").distinct()
+
+
 def _sizes_fit(x: str, y: str):
     return (5 * F.least(x, y) >= 4 * F.greatest(x, y))
 
@@ -220,46 +261,39 @@ def link_table(docs: DataFrame, sig: DataFrame, bits) -> DataFrame:
     """Links (a, b) between representatives that connect what the join connects:
     every linked pair is listed or its two documents are connected by listed links."""
     spark = docs.sparkSession
-    keys = sig.where("n > 0").select("doc_id", "n", F.explode("keys").alias("key"))
+    keys = sig.select("doc_id", "n", F.element_at("keys", -1).alias("last"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n")
+    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n", "last")
                .withColumn("component", F.col("doc_id")))
+    release(spark)
     # first pivots: one star a region, pruned by the first shingles before whole sets move
     star = (rows.join(_pivots(rows), ["rid", "key"]).where("doc_id <> pivot").where(_sizes_fit("n", "pivot_n"))
             .select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = cut(_verified(cut(_pruned(star, sig)), docs, bits, False))
+    links = cut(_verified(cut(_pruned(star, sig)), docs, bits))
     while True:
+        release(spark)
         rows = _labelled(rows.drop("component"), links)
         stat = cut(_pivots(rows).where("open"))
         if stat.isEmpty():
             return links
         rows = cut(rows.join(stat, ["rid", "key"]))
         leaf, large = rows.where(F.col("size") <= LEAF), rows.where(F.col("size") > LEAF)
-        x = leaf.select("rid", "key", F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        y = leaf.select("rid", "key", F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        direct = (x.join(y, ["rid", "key"]).where("a < b and cx <> cy").where(_sizes_fit("nx", "ny"))
-                  .select("a", "b").distinct())
-        links = cut(links.unionByName(_verified(cut(_pruned(direct, sig)), docs, bits, False)))
+        direct = _direct(leaf, large)
+        links = cut(links.unionByName(_verified(cut(_pruned(direct, sig)), docs, bits)))
         if large.isEmpty():
             return links
         # a size band and the next one hold every pair whose sizes allow a link
         band = F.floor(F.log("n") / F.log(F.lit(1.26)))
-        banded = cut(large.drop("open", "pivot", "pivot_n", "size").withColumn("band", F.explode(F.array(band, band + 1)))
+        banded = cut(large.drop("open", "pivot", "pivot_n", "size", "last").withColumn("band", F.explode(F.array(band, band + 1)))
                      .withColumn("key", F.xxhash64("key", "band")).drop("band"))
-        region = (banded.join(_pivots(banded).where("open"), ["rid", "key"]).where("doc_id <> pivot")
-                  .select(F.xxhash64("rid", "pivot").alias("rid"), F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "n")
-                  .distinct())
-        tested = cut(_verified(region.drop("n"), docs, bits, True))
-        links = cut(links.unionByName(tested.where("linked").select("a", "b")))
-        # where the pivot links every near member, their differences need no join
-        unsettled = tested.where("not linked and size(apart) > 0").select("rid").distinct()
-        sizes = region.select(F.col("a").alias("doc_id"), "n").distinct()
-        outside = tested.select(F.xxhash64("rid", F.lit("outside")).alias("rid"), F.explode("outside").alias("key"), F.col("a").alias("doc_id"))
-        apart = (tested.join(unsettled, "rid", "left_semi")
-                 .select(F.xxhash64("rid", F.lit("apart")).alias("rid"), F.explode("apart").alias("key"), F.col("a").alias("doc_id")))
-        rows = outside.unionByName(apart)
-        shared = rows.groupBy("rid", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-        rows = cut(rows.join(shared, ["rid", "key"]).join(sizes, "doc_id"))
+        # first regions with the same pivot are one; a later region stays by itself, as what all its
+        # members share (or lack) is in (or out of) its centre and cannot be a key again: the recursion ends
+        region = cut(banded.join(_pivots(banded).where("open"), ["rid", "key"])
+                     .select(F.when(F.col("rid") == 0, F.xxhash64("rid", "pivot")).otherwise(F.xxhash64("rid", "key")).alias("rid"), "doc_id")
+                     .distinct())
+        more, rows = _around_centres(region, docs, bits)
+        links = cut(links.unionByName(more))
+        rows = cut(rows.withColumn("last", F.lit(None).cast("long")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -275,8 +309,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(_frequent(docs))
     sig = cut(_signatures(docs, bits))
     classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    reps = sig.join(classes, "digest").where("doc_id = node").select("doc_id", "n", "keys")
-    links = link_table(docs, reps.where("n > 0"), bits)
+    reps = cut(sig.join(classes, "digest").where("doc_id = node").select("doc_id", "n", "keys"))
+    links = link_table(docs, reps, bits)
     comp = components(links)
     named = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (sig.select("doc_id", "n", "digest").join(named, "digest", "left")
