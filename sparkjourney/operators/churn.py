@@ -170,8 +170,9 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
     from sparkjourney.session import materialize
 
     data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
-    data = materialize(with_weights(data, label))
-    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    data = materialize(data)
+    # balanced weights come from the train labels alone
+    train, test = with_weights(data.where(F.col("split") == "train"), label), data.where(F.col("split") == "test")
     from concurrent.futures import ThreadPoolExecutor
 
     zoo = [(n, p, b) for n, (p, b) in model_zoo(features, label, seed).items() if not models or n in models]
@@ -237,8 +238,10 @@ def network_loss_history(features_df: DataFrame, label: str = "churn", features:
                          test_pct: int = 20, seed: int = 42) -> list[tuple[int, float]]:
     """(iteration, training loss) of the multilayer perceptron, trained on the
     balanced train split (Spark keeps the training objective only)."""
+    from sparkjourney.session import materialize
+
     data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
-    train = data.where(F.col("split") == "train")
+    train = materialize(data.where(F.col("split") == "train"))
     pipe, _ = model_zoo(features, label, seed)["Neural Network"]
     m = pipe.fit(balance_by_replication(train, label))
     hist = m.stages[-1].summary().objectiveHistory

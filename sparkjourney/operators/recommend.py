@@ -142,7 +142,7 @@ def svd_neighbours(counts: DataFrame, k: int = 5, factors: int = 20, seed: Colum
     ent = counts.join(idx, product).select(user, "_pidx", F.col("n").cast("double"))
     mat = CoordinateMatrix(ent.rdd.map(lambda r: MatrixEntry(int(r[0]), int(r[1]), float(r[2]))))
     n_prod = idx.count()
-    kk = max(1, min(factors, n_prod - 1))
+    kk = max(1, min(factors, n_prod))
     svd = mat.toIndexedRowMatrix().computeSVD(kk, computeU=True)
     sigma = [float(v) for v in svd.s.toArray()]
     u = svd.U.rows.map(lambda r: (int(r.index), [float(x) * s for x, s in zip(r.vector.toArray(), sigma)]))

@@ -7,7 +7,7 @@ reader, so binding costs nothing at scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkjourney import schema as S
 from sparkjourney.functions.time import timestamp_from_parts, parse_timestamp
@@ -69,6 +69,16 @@ def bind_order_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                     F.col("o_orderkey").alias(S.SESSION)))
 
 
+def _parsed(field: T.StructField):
+    """The column's text as its type; integers may be written as whole floats (``2024.0``)."""
+    text = F.col(field.name)
+    value = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        value = F.coalesce(value, F.when(number == F.floor(number), number.try_cast(field.dataType)))
+    return value
+
+
 def read_clickstream_csv(spark: SparkSession, path: str, schema=S.CLICKSTREAM_CSV_SCHEMA) -> DataFrame:
     """The clickstream CSV export, columns matched by header name.
 
@@ -81,7 +91,7 @@ def read_clickstream_csv(spark: SparkSession, path: str, schema=S.CLICKSTREAM_CS
     missing = [f.name for f in schema.fields if f.name not in raw.columns and f.name not in ("SessionID",)]
     if missing:
         raise ValueError(f"clickstream CSV lacks columns {missing}; has {raw.columns}")
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns
+    return raw.select(*[_parsed(f).alias(f.name) if f.name in raw.columns
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -29,7 +29,8 @@ from sparkjourney.functions.time import seconds_between
 
 
 def _event_time(ts: str):
-    return F.to_utc_timestamp(F.col(ts).cast("timestamp"), "UTC")
+    """The wall-clock time as an instant, whatever the session's time zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{ts}` AS TIMESTAMP_NTZ)))")
 
 
 def stream_session_stats(events: DataFrame, gap_seconds: int = 1800, watermark: str = "2 hours",

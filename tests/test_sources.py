@@ -79,3 +79,15 @@ def test_profile_and_model_roundtrip(spark):
     path = tempfile.mkdtemp(prefix="sj-model-", dir="/tmp") + "/m"
     save_model(m, path)
     assert PipelineModel.load(path).transform(df).count() == 2
+
+
+def test_csv_integers_written_as_floats(spark, tmp_path):
+    from sparkjourney.sources.readers import clickstream_to_events, read_clickstream_csv
+    from sparkjourney import schema as S
+    names = [f.name for f in S.CLICKSTREAM_CSV_SCHEMA.fields]
+    row = {"UserID": "7.0", "Year": "2024.0", "Month": "1.0", "Day": "2.0", "Timestamp": "10:20.5", "EventType": "click", "ProductID": "p", "Amount": "1"}
+    half = row | {"Year": "2024.5"}
+    lines = [",".join(names)] + [",".join(r.get(n, "") for n in names) for r in (row, half)]
+    (tmp_path / "c.csv").write_text("\n".join(lines))
+    got = clickstream_to_events(read_clickstream_csv(spark, str(tmp_path / "c.csv"))).collect()
+    assert len(got) == 1 and got[0][S.USER] == 7

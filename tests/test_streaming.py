@@ -51,3 +51,15 @@ def test_stream_event_counts_total(spark):
     total = got.groupBy("user_id", "window_start").agg(F.max("event_count").alias("n")).agg(F.sum("n")).first()[0]
     want = spark.read.parquet(f"{SMOKE}/events.parquet").where(F.col("event_type").isin("click", "signup")).count()
     assert total == want
+
+
+def test_sessions_do_not_depend_on_the_time_zone(spark):
+    from sparkjourney.streaming.sessions import stream_session_stats
+    df = spark.sql("SELECT 1L AS user_id, t AS ts FROM VALUES (TIMESTAMP_NTZ'2024-03-10 01:50:00'), (TIMESTAMP_NTZ'2024-03-10 03:10:00') AS v(t)")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert stream_session_stats(df).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
