@@ -55,11 +55,11 @@ def levels(host: Column) -> tuple[Column, Column]:
     return tail(keep), tail(keep - 1)
 
 
-def _shrunk(level: DataFrame, parent: DataFrame, key: str, up: str) -> DataFrame:
+def _shrunk(level: DataFrame, parent: DataFrame | float, key: str, up: str = "") -> DataFrame:
     """Posterior mean of the bad share of each ``key``: counts (key, up, n, k) and
-    parent means (up, m).  With spread S = sum n (k / n - m)^2 / (m (1 - m)) over K
+    parent means (up, m), or one mean for all.  With spread S = sum n (k / n - m)^2 / (m (1 - m)) over K
     members, the beta-binomial correlation is (S - K) / (N - sum n^2 / N)."""
-    both = level.join(parent, up)
+    both = level.withColumn("m", F.lit(parent)) if isinstance(parent, float) else level.join(parent, up)
     share = F.col("k") / F.greatest(F.col("n"), F.lit(1))
     fit = both.where("n > 0").agg(
         F.sum(F.col("n") * F.pow(share - F.col("m"), 2) / (F.col("m") * (1 - F.col("m")))).alias("s"),
@@ -90,9 +90,7 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     domains = summed(hosts, "domain", "suffix")
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
     overall = (whole["k"] + 0.5) / (whole["n"] + 1.0)
-    suffixes = summed(domains, "suffix").withColumn("every", F.lit(1))
-    top = suffixes.select("every").distinct().withColumn("m", F.lit(overall))
-    by_suffix = _shrunk(suffixes, top, "suffix", "every").select("suffix", "m")
+    by_suffix = _shrunk(summed(domains, "suffix"), float(overall), "suffix").select("suffix", "m")
     by_domain = _shrunk(domains, by_suffix, "domain", "suffix").select("domain", "m")
     return _shrunk(hosts.drop("suffix"), by_domain, "host", "domain")
 
