@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits) -> DataFrame:
 
 
 def _around_centres(region: DataFrame, docs: DataFrame, bits) -> tuple[DataFrame, DataFrame]:
-    """Links, and the next regions' rows (rid, key, doc_id, n), of regions (rid, doc_id)."""
+    """Links, and the next regions' rows (rid, key, doc_id, n, own, pos), of regions (rid, doc_id)."""
     sets = _sets(docs, region.select("doc_id"), bits)
     few = region.join(region.groupBy("rid").agg(F.count("*").alias("members")), "rid").where(
         F.pmod(F.xxhash64("doc_id", "rid"), F.col("members")) < SAMPLED)
@@ -213,10 +213,10 @@ def _around_centres(region: DataFrame, docs: DataFrame, bits) -> tuple[DataFrame
     # of a linked member, E shares more than (most - g) / 18 elements with any that is not
     spare = F.when(F.col("linked"), F.greatest(F.col("own") - F.floor((F.col("most") - F.col("g")) / 18), F.lit(0))).otherwise(F.col("own"))
     rest = known.where("not linked and size(apart) > 0").select("rid").distinct()
-    outside = known.select(F.xxhash64("rid", F.lit("outside")).alias("rid"), F.explode("outside").alias("key"), "doc_id", "n")
+    outside = known.select(F.xxhash64("rid", F.lit("outside")).alias("rid"), "doc_id", "n", F.col("n").alias("own"), F.posexplode("outside").alias("pos", "key"))
     apart = known.join(rest, "rid", "left_semi").select(
-        F.xxhash64("rid", F.lit("apart")).alias("rid"),
-        F.explode(F.slice("apart", F.lit(1), F.least(F.size("apart"), spare.cast("int")))).alias("key"), "doc_id", "n")
+        F.xxhash64("rid", F.lit("apart")).alias("rid"), "doc_id", "n", "own",
+        F.posexplode(F.slice("apart", F.lit(1), F.least(F.size("apart"), spare.cast("int")))).alias("pos", "key"))
     rows = outside.unionByName(apart)
     shared = rows.groupBy("rid", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     return links, rows.join(shared, ["rid", "key"])
@@ -235,22 +235,18 @@ def _pivots(rows: DataFrame) -> DataFrame:
         F.min(F.struct(F.xxhash64("rid", "doc_id").alias("h"), "doc_id", "n"))["n"].alias("pivot_n"))
 
 
-def _direct(leaf: DataFrame, large: DataFrame) -> DataFrame:
-    """Unconnected pairs (a, b) within the leaf regions whose sizes allow a link.
+def _direct(leaf: DataFrame) -> DataFrame:
+    """Unconnected pairs (a, b) that meet in a leaf region early enough to be linked.
 
-    Over the first regions (rows with ``last``, the last key of a member's n // 5 + 1)
-    a pair's shared keys are counted: those met here, and at most as many more as
-    either has in large regions.  The member with the smaller last key, say x, has
-    all its keys where both are complete, so at least n_x // 5 + 1 - shared of its
-    shingles are not in y; a link allows n_x - 4 (n_x + n_y) / 9.  Exact: drops no link."""
-    elsewhere = large.groupBy("doc_id").agg(F.count("*").alias("more"))
-    leaf = leaf.join(elsewhere, "doc_id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    side = lambda doc, s: leaf.select("rid", "key", F.col("doc_id").alias(doc), *[F.col(c).alias(c + s) for c in ("n", "component", "last", "more")])
-    met = (side("a", "x").join(side("b", "y"), ["rid", "key"]).where("a < b and componentx <> componenty").where(_sizes_fit("nx", "ny"))
-           .groupBy("a", "b", "nx", "ny", "lastx", "lasty", "morex", "morey").agg(F.count("*").alias("shared")))
-    first = F.when(F.col("lastx") <= F.col("lasty"), F.col("nx")).otherwise(F.col("ny"))
-    missing = F.floor(first / WORDS) + 1 - F.col("shared") - F.least("morex", "morey")
-    return met.where(F.col("lastx").isNull() | F.col("lasty").isNull() | (9 * missing <= 9 * first - 4 * (F.col("nx") + F.col("ny")))).select("a", "b").distinct()
+    ``pos`` is a key's place in its member's ordered list: the set itself, what it has outside
+    the centre (``own`` = n for both), or E (``own`` = |E|).  All before the first shared key of
+    a pair is in one list only, which a link allows for (own_x - own_y + (n_x + n_y) / 9) / 2
+    elements of x's list.  The lists are cut from the front, so a pair that shares any key
+    shares its first one.  Exact: drops no link."""
+    side = lambda doc, s: leaf.select("rid", "key", F.col("doc_id").alias(doc), *[F.col(c).alias(c + s) for c in ("n", "component", "pos", "own")])
+    early = lambda x, y: 18 * F.col("pos" + x) <= 9 * (F.col("own" + x) - F.col("own" + y)) + F.col("nx") + F.col("ny")
+    met = side("a", "x").join(side("b", "y"), ["rid", "key"]).where("a < b and componentx <> componenty")
+    return met.where(_sizes_fit("nx", "ny")).where(early("x", "y")).where(early("y", "x")).select("a", "b").distinct()
 
 
 def _sizes_fit(x: str, y: str):
@@ -261,9 +257,9 @@ def link_table(docs: DataFrame, sig: DataFrame, bits) -> DataFrame:
     """Links (a, b) between representatives that connect what the join connects:
     every linked pair is listed or its two documents are connected by listed links."""
     spark = docs.sparkSession
-    keys = sig.select("doc_id", "n", F.element_at("keys", -1).alias("last"), F.explode("keys").alias("key"))
+    keys = sig.select("doc_id", "n", F.col("n").alias("own"), F.posexplode("keys").alias("pos", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n", "last")
+    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n", "own", "pos")
                .withColumn("component", F.col("doc_id")))
     release(spark)
     # first pivots: one star a region, pruned by the first shingles before whole sets move
@@ -278,13 +274,13 @@ def link_table(docs: DataFrame, sig: DataFrame, bits) -> DataFrame:
             return links
         rows = cut(rows.join(stat, ["rid", "key"]))
         leaf, large = rows.where(F.col("size") <= LEAF), rows.where(F.col("size") > LEAF)
-        direct = _direct(leaf, large)
+        direct = _direct(leaf)
         links = cut(links.unionByName(_verified(cut(_pruned(direct, sig)), docs, bits)))
         if large.isEmpty():
             return links
         # a size band and the next one hold every pair whose sizes allow a link
         band = F.floor(F.log("n") / F.log(F.lit(1.26)))
-        banded = cut(large.drop("open", "pivot", "pivot_n", "size", "last").withColumn("band", F.explode(F.array(band, band + 1)))
+        banded = cut(large.drop("open", "pivot", "pivot_n", "size", "own", "pos").withColumn("band", F.explode(F.array(band, band + 1)))
                      .withColumn("key", F.xxhash64("key", "band")).drop("band"))
         # first regions with the same pivot are one; a later region stays by itself, as what all its
         # members share (or lack) is in (or out of) its centre and cannot be a key again: the recursion ends
@@ -293,7 +289,7 @@ def link_table(docs: DataFrame, sig: DataFrame, bits) -> DataFrame:
                      .distinct())
         more, rows = _around_centres(region, docs, bits)
         links = cut(links.unionByName(more))
-        rows = cut(rows.withColumn("last", F.lit(None).cast("long")))
+        rows = cut(rows)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
