@@ -27,9 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: what several later jobs read is computed once, and
-    a lost executor costs no recomputation of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    a lost executor costs no recomputation of it.  The shuffle files behind it go at once."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()
+    del df
+    release(spark)
+    return kept
 
 
 def texts(docs: DataFrame) -> DataFrame:

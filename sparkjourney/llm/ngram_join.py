@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import Memo, cut, only, release, texts, without
+from sparkjourney.llm.common import Memo, cut, only, texts, without
 from sparkjourney.llm.components import components
 
 WORDS = 5
@@ -256,18 +256,15 @@ def _sizes_fit(x: str, y: str):
 def link_table(docs: DataFrame, sig: DataFrame, bits) -> DataFrame:
     """Links (a, b) between representatives that connect what the join connects:
     every linked pair is listed or its two documents are connected by listed links."""
-    spark = docs.sparkSession
-    keys = sig.select("doc_id", "n", F.col("n").alias("own"), F.posexplode("keys").alias("pos", "key"))
+    keys = sig.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n", "own", "pos")
+    rows = cut(keys.join(shared, "key").select(F.lit(0).cast("long").alias("rid"), "key", "doc_id", "n", F.col("n").alias("own"), "pos")
                .withColumn("component", F.col("doc_id")))
-    release(spark)
     # first pivots: one star a region, pruned by the first shingles before whole sets move
     star = (rows.join(_pivots(rows), ["rid", "key"]).where("doc_id <> pivot").where(_sizes_fit("n", "pivot_n"))
             .select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
     links = cut(_verified(cut(_pruned(star, sig)), docs, bits))
     while True:
-        release(spark)
         rows = _labelled(rows.drop("component"), links)
         stat = cut(_pivots(rows).where("open"))
         if stat.isEmpty():
@@ -304,12 +301,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     bits = spark.sparkContext.broadcast(_frequent(docs))
     sig = cut(_signatures(docs, bits))
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    classes = cut(sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     reps = cut(sig.join(classes, "digest").where("doc_id = node").select("doc_id", "n", "keys"))
+    sig = cut(sig.select("doc_id", "n", "digest"))
     links = link_table(docs, reps, bits)
     comp = components(links)
     named = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return (sig.select("doc_id", "n", "digest").join(named, "digest", "left")
+    return (sig.join(named, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id")))
 
