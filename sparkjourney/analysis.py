@@ -43,7 +43,7 @@ class AnalysisConfig:
     gap_seconds: float = 1800.0
     churn_days: int = 7
     ks: tuple = tuple(range(2, 11))
-    n_init: int = 3
+    n_init: int = 10
     spike_q: float = 0.95
     contamination: float = 0.02
     timeline_users: int = 3

@@ -8,18 +8,19 @@ threshold is strict (a count equal to the percentile is not a spike).
 
 Isolation Forest (not in Spark ML) is built from Spark primitives:
 
-1. sampling: one hash of the key selects the few candidate rows, and each
-   candidate picks its trees with a hash of (key, tree, seed) --
-   deterministic whatever the partitioning -- at an oversampling rate;
-   ``explode`` emits one row per (tree, row) picked;
+1. sampling: every tree takes every row at the same rate r, independently of
+   the other trees, whatever the table's size.  One hash of the key says which
+   tree is the row's first (geometric in r), and most rows have none; only the
+   others hash (key, tree, seed) for the trees after it.  Deterministic under
+   any partitioning; ``explode`` emits one row per (tree, row) picked;
 2. fitting: ``groupBy(tree).applyInPandas`` keeps the ``sample`` rows with
    the smallest hashes and grows one small tree with NumPy.  Each group
    holds about twice ``sample`` rows whatever the table size;
 3. scoring: the forest (trees x at most 2*sample-1 nodes: a fixed bound) is
    shipped to the tasks and ``mapInPandas`` computes path lengths for whole
    Arrow batches at once;
-4. the cut-off is the ``1 - contamination`` quantile of the scores, taken
-   with ``percentile_approx`` (a bounded sketch) through a scalar subquery.
+4. the cut-off is the exact ``1 - contamination`` quantile of the scores
+   (``exact_quantiles``, a distributed sort), through a scalar subquery.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkjourney import schema as S
 from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.operators.quantiles import exact_quantiles
 
 
 # --------------------------------------------------------------------------- spikes
@@ -69,7 +71,7 @@ def suspicious_timeline(events: DataFrame, spikes: DataFrame, n_users: int = 3,
     keys = [F.asc(user)] if order == "user" else [F.desc("event_count"), F.asc(user)]
     chosen = F.broadcast(spikes.orderBy(*keys).limit(n_users).select(user))
     return (events.join(chosen, user, "left_semi").select(user, event, ts)
-            .orderBy(user, ts))
+            .orderBy(user, ts, *[c for c in (S.EVENT_ID,) if c in events.columns]))
 
 
 def spike_share(events: DataFrame, spikes: DataFrame, user: str = S.USER) -> DataFrame:
@@ -147,17 +149,17 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, tree
     # per-tree inclusion rate (oversampled; each tree keeps its `sample` smallest hashes)
     base = with_scalar(df, "_n", df.agg(F.count(F.lit(1)).alias("n")))
     rate = F.least(F.lit(1.0), F.lit(oversample * sample) / F.col("_n")["n"])
-    # one hash per row picks the candidates (rate of being in any tree), then
-    # only candidates hash per tree: per-tree rate stays `rate`, and rows that
-    # can't be sampled never expand
-    cand = F.least(F.lit(1.0), F.lit(float(trees)) * rate)
 
     def h(*salt):
         return F.pmod(F.xxhash64(F.col(key), *salt, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    members = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < rate / cand)
-    picked = (base.where(h(F.lit(-1)) < cand)
+    # rows whose first tree lies beyond the last are in none and never expand
+    base = base.withColumn("_r", rate).withColumn("_first", F.when(F.col("_r") >= 1, F.lit(0.0)).otherwise(
+        F.floor(F.log1p(-h(F.lit(-1))) / F.log1p(-F.col("_r")))))
+    members = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                       lambda t: (t == F.col("_first")) | ((t > F.col("_first")) & (h(t) < F.col("_r"))))
+    picked = (base.where(F.col("_first") < trees)
               .select(key, *[F.col(c).cast("double").alias(c) for c in cols], F.explode(members).alias("tree"))
-              .withColumn("_h", h(F.col("tree"))))
+              .withColumn("_h", h(F.col("tree"), F.lit("order"))))
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,7 +207,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, tree
     # scored once: the cut-off and the flags both read the checkpoint
     from sparkjourney.session import materialize
     scored = materialize(df.mapInPandas(score, schema))
-    cut = scored.select(F.percentile_approx("anomaly_score", F.lit(1.0 - contamination), 100000)).scalar()
+    cut = exact_quantiles(scored, "anomaly_score", [1.0 - contamination]).select("quantile").scalar()
     return scored.withColumn("anomaly", F.when(F.col("anomaly_score") > cut, F.lit(-1)).otherwise(F.lit(1)))
 
 

@@ -24,6 +24,9 @@ from sparkjourney import schema as S
 from sparkjourney.operators.metrics import class_report, roc_auc
 from sparkjourney.functions.scalar import with_scalar, fit_row
 
+#: Spark's deepest tree, for "unbounded".
+UNBOUNDED_DEPTH = 30
+
 FEATURES = ("frequency", "monetary", "session_duration", "event_count", "product_count")
 
 
@@ -110,15 +113,18 @@ def _scaler():
     return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
 
 
-def balance_by_replication(train: DataFrame, label: str = "churn") -> DataFrame:
-    """Replicate the minority-class rows ``round(n_major / n_minor)`` times
-    (for estimators without a weight column)."""
+def balance_by_replication(train: DataFrame, label: str = "churn", key: str = S.USER) -> DataFrame:
+    """Replicate the minority-class rows ``n_major / n_minor`` times (for
+    estimators without a weight column): the whole part for every row, and one
+    copy more for the share of keys, by hash, that the fraction asks for."""
     cnt = train.agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
     t = with_scalar(train, "_c", cnt)
     n1, n0 = F.col("_c")["n1"], F.col("_c")["n0"]
     minority = F.when(n1 < n0, F.lit(1)).otherwise(F.lit(0))
-    factor = F.greatest(F.lit(1), F.round(F.greatest(n0, n1) / F.greatest(F.least(n0, n1), F.lit(1))).cast("int"))
-    reps = F.when(F.col(label) == minority, factor).otherwise(F.lit(1))
+    ratio = F.greatest(n0, n1) / F.greatest(F.least(n0, n1), F.lit(1))
+    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    factor = F.floor(ratio) + (share < ratio - F.floor(ratio)).cast("int")
+    reps = F.when(F.col(label) == minority, factor.cast("int")).otherwise(F.lit(1))
     return t.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps))).drop("_rep", "_c")
 
 
@@ -132,8 +138,9 @@ def model_zoo(features: Sequence[str], label: str = "churn", seed: int = 42) ->
     raw = dict(featuresCol="raw_features", labelCol=label)
     scaled = dict(featuresCol="features", labelCol=label)
     return {
-        "Random Forest": (Pipeline(stages=[asm, RandomForestClassifier(numTrees=100, seed=seed, **raw)]), False),
-        "Gradient Boosted Trees": (Pipeline(stages=[asm, GBTClassifier(seed=seed, **raw)]), False),
+        "Random Forest": (Pipeline(stages=[asm, RandomForestClassifier(numTrees=100, maxDepth=UNBOUNDED_DEPTH, seed=seed, **raw)]), False),
+        "Gradient Boosted Trees": (Pipeline(stages=[asm, GBTClassifier(
+            maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, **raw)]), False),
         "Naive Bayes": (Pipeline(stages=[asm, NaiveBayes(modelType="gaussian", **raw)]), False),
         "SVM": (Pipeline(stages=[asm, _scaler(), LinearSVC(weightCol="weight", **scaled)]), False),
         "Neural Network": (Pipeline(stages=[asm, _scaler(), MultilayerPerceptronClassifier(
@@ -195,7 +202,7 @@ def feature_importance(forest_pipeline_model, features: Sequence[str] = FEATURES
     return sorted(zip(list(features), map(float, imp)), key=lambda t: (-t[1], t[0]))
 
 
-def forest_grid(label: str = "churn", seed: int = 42, trees=(100, 200), depths=(30, 10, 20),
+def forest_grid(label: str = "churn", seed: int = 42, trees=(100, 200), depths=(UNBOUNDED_DEPTH, 10, 20),
                 min_instances=(2, 5, 10), subsets=("sqrt", "log2")):
     """Random-forest estimator and its parameter grid (depth 30 stands for
     'unbounded', Spark's maximum)."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkjourney import schema as S
 from sparkjourney.functions.scalar import threshold_flag
 from sparkjourney.functions.time import whole_days_between
+from sparkjourney.operators.sessions import session_totals
 
 
 def reference_time(events: DataFrame, ts: str = S.TS):
@@ -63,6 +64,21 @@ def rfm(events: DataFrame, session_col: str = S.SESSION, user: str = S.USER, ts:
     raise ValueError(f"grain must be 'user' or 'event', not {grain!r}")
 
 
+def rfm_of_events(events: DataFrame, gap_seconds: float = 1800.0, user: str = S.USER, ts: str = S.TS,
+                  as_of=None) -> DataFrame:
+    """``rfm(sessionize(events))`` at user grain from ``session_totals``: one shuffle of the events."""
+    ref = _as_of(events, as_of, ts)
+    return (session_totals(events, gap_seconds, user=user, ts=ts)
+            .select(user, whole_days_between(F.col("last_ts"), ref).alias("recency"), "frequency", "monetary"))
+
+
+def recency(events: DataFrame, user: str = S.USER, ts: str = S.TS, as_of=None) -> DataFrame:
+    """(user, recency) alone: one partial aggregate, no sessions and no shuffle of events."""
+    ref = _as_of(events, as_of, ts)
+    return (events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).groupBy(user).agg(F.max(ts).alias("_last"))
+            .select(user, whole_days_between(F.col("_last"), ref).alias("recency")))
+
+
 def churn_label(rfm_df: DataFrame, days: int = 7, recency: str = "recency", name: str = "churn") -> DataFrame:
     """``churn = 1`` when recency >= ``days`` (NULL recency -> 0)."""
     return rfm_df.withColumn(name, threshold_flag(recency, days))
@@ -96,6 +112,27 @@ def user_features(sessions: DataFrame, user: str = S.USER, ts: str = S.TS, event
                      F.countDistinct(product).alias("product_count"),
                      F.max(ts).alias("_last"),
                      F.max(F.when(F.col(event) == F.lit(purchase), F.col(ts))).alias("_last_buy")))
+    return _features(per_user, ref, user)
+
+
+def features_of_events(events: DataFrame, gap_seconds: float = 1800.0, user: str = S.USER, ts: str = S.TS,
+                       product: str = S.PRODUCT, as_of=None) -> DataFrame:
+    """``user_features(sessionize(events))`` from ``session_totals``.
+
+    The events are shuffled once; distinct products are counted in two steps
+    (partial rows per (user, product), then per user) and joined at user grain.
+    """
+    ref = _as_of(events, as_of, ts)
+    products = (events.where(F.col(user).isNotNull() & F.col(ts).isNotNull() & F.col(product).isNotNull())
+                .select(user, product).distinct().groupBy(user).agg(F.count(F.lit(1)).alias("_products")))
+    per_user = (session_totals(events, gap_seconds, user=user, ts=ts).join(products, user, "left")
+                .withColumn("session_duration", F.col("session_seconds") / F.col("frequency"))
+                .withColumn("product_count", F.coalesce("_products", F.lit(0).cast("bigint")))
+                .withColumnsRenamed({"last_ts": "_last", "last_purchase_ts": "_last_buy"}))
+    return _features(per_user, ref, user)
+
+
+def _features(per_user: DataFrame, ref, user: str) -> DataFrame:
     return (per_user.withColumn("_ref", ref)
             .select(user, "frequency", "monetary", "session_duration", "event_count", "product_count",
                     whole_days_between(F.col("_last_buy"), F.col("_ref")).alias("days_since_last_purchase"),

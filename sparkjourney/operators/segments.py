@@ -53,7 +53,7 @@ def marketing_actions(seg: DataFrame, actions: dict = MARKETING_ACTIONS, cluster
 
 
 def action_counts(actions: DataFrame, col: str = "marketing_action") -> DataFrame:
-    """(marketing_action, customer_count), largest first; NULL actions dropped."""
+    """(marketing_action, customer_count); NULL actions dropped."""
     return (actions.where(F.col(col).isNotNull()).groupBy(col)
             .agg(F.count(F.lit(1)).alias("customer_count")))
 
@@ -80,7 +80,10 @@ def scaled_features(rfm_df: DataFrame, cols: Sequence[str] = RFM_COLS, pca_k: in
     from pyspark.ml.feature import VectorAssembler, PCA, StandardScaler
     from sparkjourney.operators.stats import standardize
 
-    z = standardize(rfm_df, list(cols))
+    from sparkjourney.session import materialize
+
+    # the scaler and the PCA fit both read it: what lies below runs once
+    z = standardize(materialize(rfm_df), list(cols), fit="row")
     stages = [VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol="zvec")]
     if pca_k:
         stages.append(PCA(k=pca_k, inputCol="zvec", outputCol="features"))
@@ -101,7 +104,7 @@ def pca_variance(model) -> list[tuple[int, float, float]]:
 
 
 def kmeans_sweep(features: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42,
-                 max_iter: int = 30, parallelism: int = 4):
+                 max_iter: int = 300, parallelism: int = 4):
     """Fit K-means for each k (best of ``n_init`` seeds by training cost).
 
     Returns (rows, models): rows are (k, inertia, silhouette) with the

@@ -119,6 +119,36 @@ def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: i
     )
 
 
+def session_totals(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: int = 3600, user: str = S.USER,
+                   ts: str = S.TS, event: str = S.EVENT, amount: str = S.AMOUNT, purchase: str = S.PURCHASE) -> DataFrame:
+    """What a user's sessions add up to, without forming them: (user, frequency,
+    session_seconds, event_count, monetary, last_ts, last_purchase_ts).
+
+    A user has one session more than gaps over the limit, and the durations of
+    its sessions add up to its gaps within the limit.  Both are sums over gaps,
+    so the events are shuffled once by (user, bucket), where all inner gaps and
+    the bucket's totals are found; the gap into a bucket is a lag over the
+    user's bucket rows.  No per-event state is carried and nothing joins back.
+    """
+    gap = F.lit(float(gap_seconds))
+    e = (events.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+         .withColumn(_B, F.floor(epoch_seconds(ts) / F.lit(int(bucket_seconds)))))
+    e = e.withColumn("_gap", seconds_between(F.lag(ts).over(W.partitionBy(user, _B).orderBy(ts)), F.col(ts)))
+    b = e.groupBy(user, _B).agg(
+        F.min(ts).alias("_bmin"), F.max(ts).alias("_bmax"), F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("_gap") > gap).alias("_starts"),
+        F.sum(F.when(F.col("_gap") <= gap, F.col("_gap"))).alias("_inside"),
+        F.sum(amount).alias("_amount"),
+        F.max(F.when(F.col(event) == F.lit(purchase), F.col(ts))).alias("_buy"))
+    b = b.withColumn("_entry", seconds_between(F.lag("_bmax").over(W.partitionBy(user).orderBy(_B)), F.col("_bmin")))
+    inside = F.coalesce("_inside", F.lit(0.0)) + F.when(F.col("_entry") <= gap, F.col("_entry")).otherwise(F.lit(0.0))
+    return b.groupBy(user).agg(
+        (F.sum("_starts") + F.count_if(F.col("_entry") > gap) + F.lit(1)).alias("frequency"),
+        F.sum(inside).alias("session_seconds"), F.sum("_n").alias("event_count"),
+        F.coalesce(F.sum("_amount"), F.lit(0.0)).alias("monetary"),
+        F.max("_bmax").alias("last_ts"), F.max("_buy").alias("last_purchase_ts"))
+
+
 def session_stats(sessions: DataFrame, user: str = S.USER, ts: str = S.TS) -> DataFrame:
     """One row per (user, session): start, end, duration in seconds, event count.
 

@@ -12,7 +12,7 @@ from sparkjourney.operators.churn import (
     network_loss_history,
 )
 from sparkjourney.operators.metrics import confusion, class_report, roc_points, roc_auc
-from sparkjourney.plans.profiles import churn_features, SQL_CHURN_FEATURES
+from sparkjourney.plans.profiles import churn_features, churn_labels, SQL_CHURN_FEATURES
 from sparkjourney.plans.registry import query, round_doubles
 from sparkjourney.session import materialize
 
@@ -57,14 +57,14 @@ def nb_scored(spark, d):
 
 @query("stratified_split", f"SELECT user_id, churn, split FROM ({SQL_SPLIT})")
 def q_stratified_split(spark, d):
-    return stratified_split(churn_features(spark, d)).select("user_id", "churn", "split")
+    return stratified_split(churn_labels(spark, d)).select("user_id", "churn", "split")
 
 
 @query("class_weights", f"""
   WITH t AS (SELECT churn, COUNT(*) AS n FROM ({SQL_SPLIT}) WHERE split = 'train' GROUP BY churn)
   SELECT churn, n, round((SELECT SUM(n) FROM t) / ((SELECT COUNT(*) FROM t) * n), 6) AS weight FROM t""")
 def q_class_weights(spark, d):
-    tr = stratified_split(churn_features(spark, d)).where(F.col("split") == "train")
+    tr = stratified_split(churn_labels(spark, d)).where(F.col("split") == "train")
     return round_doubles(class_weights(tr, "churn"))
 
 

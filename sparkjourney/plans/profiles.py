@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkjourney.operators.rfm import rfm, churn_label, churn_counts, user_features, reference_time
+from sparkjourney.operators.rfm import (
+    rfm, churn_label, churn_counts, reference_time, rfm_of_events, features_of_events, recency,
+)
 from sparkjourney.operators.stats import describe, histogram, correlation, box_stats
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
@@ -52,13 +54,22 @@ def orders_rfm(spark, d):
 
 def events_rfm(spark, d):
     # reference time from the raw event scan (same value, no re-derivation)
-    return rfm(t.sessions(spark, d), as_of=reference_time(t.events(spark, d)))
+    return rfm_of_events(t.events(spark, d), as_of=reference_time(t.events(spark, d)))
+
+
+def event_features_of_users(spark, d):
+    return features_of_events(t.events(spark, d), as_of=reference_time(t.events(spark, d)))
 
 
 def churn_features(spark, d):
-    """Per-user model features on the sessionized events, labelled."""
-    feats = user_features(t.sessions(spark, d), as_of=reference_time(t.events(spark, d)))
-    return churn_label(feats, days=EVENTS_CHURN_DAYS)
+    """Per-user model features of the events, labelled."""
+    return churn_label(event_features_of_users(spark, d), days=EVENTS_CHURN_DAYS)
+
+
+def churn_labels(spark, d):
+    """(user, recency, churn): what the label alone needs."""
+    ev = t.events(spark, d)
+    return churn_label(recency(ev, as_of=reference_time(ev)), days=EVENTS_CHURN_DAYS)
 
 
 @query("rfm_orders", f"SELECT user_id, recency, frequency, round(monetary, 6) AS monetary FROM ({SQL_RFM_ORDERS})")
@@ -109,7 +120,7 @@ _FEATS = ["frequency", "monetary", "session_duration", "event_count", "product_c
          event_count, product_count, days_since_last_purchase, recency
   FROM ({SQL_USER_FEATURES})""")
 def q_user_features(spark, d):
-    return round_doubles(user_features(t.sessions(spark, d), as_of=reference_time(t.events(spark, d))))
+    return round_doubles(event_features_of_users(spark, d))
 
 
 @query("feature_correlation", "\nUNION ALL\n".join(

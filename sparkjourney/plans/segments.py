@@ -86,15 +86,13 @@ def q_pca_variance(spark, d):
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, d):
     _, feats = scaled_features(events_rfm(spark, d), RFM_COLS, pca_k=3)
-    rows, _ = kmeans_sweep(materialize(feats), range(2, 11), n_init=3)
+    rows, _ = kmeans_sweep(materialize(feats), range(2, 11))
     best = sorted(rows, key=lambda r: (-r[2], r[0]))[0][0]  # best silhouette, smallest k on ties
     return spark.createDataFrame([(*r, r[0] == best) for r in rows],
                                  "k int, inertia double, silhouette double, chosen boolean")
 
 
-# Registered sweeps keep the best of 3 seeds per k (the library default is
-# the analysis' 10); Spark's k-means|| start makes further seeds rarely matter.
 @query("segments")
 def q_segments(spark, d):
-    seg, _, _ = segment(events_rfm(spark, d), n_init=3)
+    seg, _, _ = segment(events_rfm(spark, d))
     return seg
