@@ -1,8 +1,9 @@
 """HTML extraction by site template removal.
 
 Each element's subtree is hashed (tag, attributes, text, children); Spark counts
-on how many pages of a host each hash occurs.  Subtrees that recur on at least
-``SHARE`` of a host's pages (and on ``LEAST`` of them) are its template and are
+on how many distinct pages of a host (by the hash of the page without elements
+that are named as something else, so copies of a page count once) each hash occurs.  Subtrees that recur on at least ``SHARE`` of
+a host's distinct pages (and on ``LEAST`` of them) are its template and are
 deleted, as are elements whose tag, role, class or id names them as something
 other than the article.  What is left of the article (of the body, without one)
 is the main text.  Paragraphs, headings and the like inside an article are never
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 import pandas as pd
 import xxhash
@@ -134,6 +134,20 @@ def _named_away(node: Node) -> bool:
     return False
 
 
+def content(root: Node) -> int:
+    """Hash of the page's tags and text without scripts, menus and whatever else is
+    named away: the same for copies of a page that differ there only."""
+    h, todo = xxhash.xxh64(), [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            h.update(" ".join(node.split()).encode("utf-8", "surrogatepass") + b"\0")
+        elif node is root or not _named_away(node):
+            h.update(f"<{node.tag}\0")
+            todo.extend(reversed(node.children))
+    return h.intdigest() - (1 << 63)
+
+
 def main_text(root: Node, template) -> str:
     """Blocks of the article, in page order, one a line.  Without an article (or
     main) element the whole body counts."""
@@ -189,17 +203,21 @@ def host_of(url):
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): hashes of the host's recurring subtrees.  Their number is
-    at most 1 / SHARE times the mean number of elements a page."""
-    def count(batches):
+    at most 1 / SHARE times the mean number of elements a distinct page."""
+    def subtrees(batches):
         for b in batches:
-            seen, total = Counter(), Counter()
+            seen = {}
             for host, source in zip(b["host"], b["html"]):
-                total[host] += 1
-                seen.update({(host, node.hash) for node, inside in hashed(parse(source)) if removable(node, inside)})
-            rows = [(h, x, n) for (h, x), n in seen.items()] + [(h, None, n) for h, n in total.items()]
-            yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64"), "n": [r[2] for r in rows]})
-
-    counted = pages.where("host <> ''").mapInPandas(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+                root = parse(source)
+                own = sorted({node.hash for node, inside in hashed(root) if removable(node, inside)})
+                key = (host, content(root))
+                seen[key] = min(own, seen.get(key, own))
+            yield pd.DataFrame({"host": [h for h, _ in seen], "page": [x for _, x in seen], "hashes": list(seen.values())})
+
+    distinct = (pages.where("host <> ''").mapInPandas(subtrees, "host string, page long, hashes array<long>")
+                .groupBy("host", "page").agg(F.min("hashes").alias("hashes")))
+    counted = (distinct.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash"))
+               .groupBy("host", "hash").agg(F.count("*").alias("n")))
     total = counted.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counted.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST)).join(total, "host").where(F.col("n") >= F.lit(SHARE) * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
@@ -209,8 +227,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages(page_id, url, html).
 
     Null html counts as empty and gives an empty text; a page without host (null
-    url included) has no template; repeated rows repeat (and count as pages of
-    their host); an empty table gives no rows; other columns are ignored."""
+    url included) has no template; repeated rows repeat (and count as one page
+    of their host); an empty table gives no rows; other columns are ignored."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
 
     def extract(batches):

@@ -133,6 +133,14 @@ def test_templates_recur_on_a_host(spark):
     assert got == {i: f"Text {i} of its own" for i in range(8)} | {9: "alone", 10: ""}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copies = {0: ("<article><div><p>First of many</p></div></article>", "First of many"), 1: ("<div><p>Second, without article</p></div>", "Second, without article")}
+    rows = [(i, f"http://h.example/{i}", f"<body><script>track({i})</script><div>Same box</div>{copies[i % 4 == 3][0]}</body>") for i in range(40)]
+    rows += [(i, f"http://h.example/{i}", f"<body><div>Same box</div><div><p>Text {i}</p></div></body>") for i in range(40, 46)]
+    got = {x.page_id: x.text for x in site_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: copies[i % 4 == 3][1] for i in range(40)} | {i: f"Text {i}" for i in range(40, 46)}
+
+
 def test_language_on_held_out_documents(spark):
     rows = queries.op6_language(spark, SMOKE).join(spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [x for x in rows if x.held_out and x.lang]
