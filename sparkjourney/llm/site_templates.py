@@ -2,9 +2,11 @@
 
 Each element's subtree is hashed (tag, attributes, text, children); Spark counts
 on how many distinct pages of a host (by the hash of the page without elements
-that are named as something else, so copies of a page count once) each hash occurs.  Subtrees that recur on at least ``SHARE`` of
-a host's distinct pages (and on ``LEAST`` of them) are its template and are
-deleted, as are elements whose tag, role, class or id names them as something
+that are named as something else, so copies of a page count once) each hash occurs.  Subtrees that recur on ``needed`` of a
+host's distinct pages are its template and are deleted: a box or menu on a share of
+them that falls as the host grows, since a large host has many sections and
+languages; single lines (``LINES``) and inline elements, which prose may repeat, on
+``SHARE`` of them; neither on fewer than ``LEAST``.  So are elements whose tag, role, class or id names them as something
 other than the article.  What is left of the article (of the body, without one)
 is the main text.  Paragraphs, headings and the like inside an article are never
 taken for template: articles may quote the same passage."""
@@ -25,6 +27,8 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption table tr tbody thead ul ol dl".split())
+#: Text blocks that are one line; the others are boxes of several.
+LINES = TEXT_BLOCKS - frozenset("table tbody thead ul ol dl".split())
 DROPPED = frozenset("nav header footer aside form script style noscript iframe template button select option input textarea "
                     "menu dialog head title svg canvas object embed video audio map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
@@ -106,14 +110,16 @@ def _walk(root: Node) -> list[tuple[Node, bool]]:
 
 
 def hashed(root: Node) -> list[tuple[Node, bool]]:
-    """Sets every subtree's hash, children first, without recursion; gives ``_walk``."""
+    """Sets every subtree's hash, children first, without recursion; gives ``_walk``.
+    The lowest bit tells whether the element is a box."""
     nodes = _walk(root)
     for node, _ in reversed(nodes):
         h = xxhash.xxh64(f"{node.tag} {node.attributes}\0")
         for c in node.children:
             h.update(c.hash.to_bytes(8, "little", signed=True) if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "surrogatepass"))
             h.update(b"\0")
-        node.hash = h.intdigest() - (1 << 63)
+        box = node.tag not in LINES and node.tag not in INLINE
+        node.hash = (h.intdigest() - (1 << 63)) & ~1 | box
     return nodes
 
 
@@ -201,9 +207,16 @@ def host_of(url):
                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def needed(pages, box):
+    """Pages of a host's ``pages`` distinct ones that make a subtree template: boxes
+    need a share of pages ** (-1/3), at most SHARE (1/3 of 27, 1/10 of 1,000, 1/100 of a million)."""
+    half = F.lit(SHARE) * pages
+    return F.greatest(F.lit(float(LEAST)), F.when(box, F.least(half, F.pow(pages.cast("double"), F.lit(2 / 3)))).otherwise(half))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): hashes of the host's recurring subtrees.  Their number is
-    at most 1 / SHARE times the mean number of elements a distinct page."""
+    at most the cube root of the host's distinct pages times the mean number of elements a page."""
     def subtrees(batches):
         for b in batches:
             seen = {}
@@ -219,7 +232,8 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = (distinct.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash"))
                .groupBy("host", "hash").agg(F.count("*").alias("n")))
     total = counted.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counted.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST)).join(total, "host").where(F.col("n") >= F.lit(SHARE) * F.col("pages"))
+    often = (counted.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST)).join(total, "host")
+             .where(F.col("n") >= needed(F.col("pages"), F.col("hash").bitwiseAND(F.lit(1)) == 1)))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
 
 
@@ -233,13 +247,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def extract(batches):
         for b in batches:
-            out = []
-            for source, template in zip(b["html"], b["template"]):
+            out, sets = [], {}
+            for host, source, template in zip(b["host"], b["html"], b["template"]):
+                if host not in sets:
+                    sets[host] = frozenset() if template is None else frozenset(map(int, template))
                 root = parse(source)
                 hashed(root)
-                out.append(main_text(root, frozenset() if template is None else frozenset(map(int, template))))
+                out.append(main_text(root, sets[host]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     # the template table has one short row a host; the join is broadcast only if its size at run time allows it
-    return (pages.join(templates(pages), "host", "left").select("page_id", "url", "html", "template")
+    return (pages.join(templates(pages), "host", "left").select("page_id", "url", "html", "host", "template")
             .mapInPandas(extract, "page_id long, url string, text string, n_chars long"))

@@ -141,6 +141,13 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {i: copies[i % 4 == 3][1] for i in range(40)} | {i: f"Text {i}" for i in range(40, 46)}
 
 
+def test_box_on_a_third_of_a_large_host(spark):
+    box = "<div><p>Box of a section</p></div><ul><li><a href='/a'>Menu</a></ul>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{box if i % 3 == 0 else ''}<div><p>Text {i}</p><p>{'Yes.' if i % 4 == 0 else ''}</p></div></body>") for i in range(120)]
+    got = {x.page_id: x.text for x in site_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: f"Text {i}" + ("\nYes." if i % 4 == 0 else "") for i in range(120)}
+
+
 def test_language_on_held_out_documents(spark):
     rows = queries.op6_language(spark, SMOKE).join(spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [x for x in rows if x.held_out and x.lang]
