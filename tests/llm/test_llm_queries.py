@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -99,6 +100,46 @@ def test_decontamination_finds_windows(spark):
     assert got[11, 1].start == 70 and got[11, 1].similarity == 1.0 and 0.8 <= got[20, 2].similarity < 1
 
 
+def _best_windows(docs, items):
+    """{(doc, item): (start, similarity)} by every window of the item's size."""
+    grams = lambda t: [tuple(w[k:k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))]
+    items = {i: grams(t) for i, t in items}
+    held = Counter(g for own in items.values() for g in set(own))
+    mass = lambda c: sum(n * (1 if held[g] > 1 else 2) for g, n in c.items())
+    out = {}
+    for d, text in docs:
+        for i, own in items.items():
+            rows, own = grams(text), Counter(own)
+            for a in range(len(rows)):
+                window = Counter(rows[a:a + own.total()])
+                common = mass(window & own)
+                whole = mass(window) + mass(own) - common
+                if 100 * common >= 80 * whole and common / whole > out.get((d, i), (0, 0))[1]:
+                    out[d, i] = (a, common / whole)
+    return out
+
+
+def test_partial_quotes_of_long_items(spark):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    shared, refrain = words(20), words(7)
+    items = [(0, words(65)), (1, words(60) + shared + words(70)), (2, shared + words(30)), (3, words(60) + refrain + words(40) + refrain * 3 + words(90)), (4, words(30) * 5)]
+    docs = [(i, words(40) + t + words(25)) for i, t in items]
+    docs += [(10 + i, words(30) + t[:len(t) // 2] + words(90)) for i, t in items] + [(20 + i, words(9) + t[-len(t) // 3:]) for i, t in items]
+    for k, edits in enumerate([1, 2, 3, 4, 5, 6, 8]):
+        for i, t in items:
+            t = list(t)
+            for at in r.sample(range(len(t)), edits):
+                t[at] = "changed"
+            docs.append((100 + 10 * k + i, words(11) + t[:50] + words(k % 3) + t[50:] + words(k)))
+    docs += [(200, items[3][1][:150] + refrain * 9 + items[3][1][150:]), (201, items[4][1] + items[4][1])]
+    docs, items = [(i, " ".join(t)) for i, t in docs], [(i, " ".join(t)) for i, t in items]
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == _best_windows(docs, items)
+    assert {(i, i) for i in range(5)} <= set(got) and not any(d in (10, 11, 13, 20, 21, 23) for d, _ in got)
+
+
 def test_edited_fingerprints(spark):
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text")
     rows = sorted(((x.doc_id, x.text) for x in docs.collect()), reverse=True)
