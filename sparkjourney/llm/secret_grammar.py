@@ -3,9 +3,10 @@
 Three fixed patterns find the base credentials.  The credentials of each pattern
 label a bounded sample, from which a probabilistic automaton is inferred: a
 prefix tree whose states are merged, breadth first, wherever a Hoeffding bound
-finds their outgoing and ending frequencies compatible.  All other long tokens
-with a digit are then scored by their likelihood under the automata against a
-character model of the corpus' words, and what fits a format better than the
+finds their outgoing and ending frequencies compatible.  All other tokens
+as long as the shortest credential that a pattern takes, also around a base span,
+are then scored by their likelihood under the automata against a character model
+of the corpus' words, and what fits a format better than the
 words, at least as well as all but the worst labelled ones, adds ``learned`` spans."""
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import by_batch, cut, shipped, texts
+from sparkjourney.llm.common import Memo, by_batch, cut, shipped, texts
 
 #: Bound of the labelled sample, credentials a kind, and of the documents behind the word model.
 PER_KIND = 300
@@ -29,14 +31,15 @@ KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # of 18 characters or more
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Length of the shortest credential that a base pattern takes, and so of a candidate.
+SHORTEST = 12
+TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 ALPHABET = 66
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, secret) of the base patterns, leftmost non-overlapping per kind."""
-    found = [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
+    found = [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= SHORTEST] if "=" in text or ":" in text else []
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
@@ -44,12 +47,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base) -> list[tuple[int, int, str]]:
-    """Long tokens with a digit that no base span touches."""
+    """Whole tokens of SHORTEST characters or more, but those that base spans cover."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m[0].rstrip(".=-")
-        if len(token) >= 16 and DIGIT.search(token) and not any(s < m.end() and m.start() < e for s, e, *_ in base):
-            out.append((m.start(), m.start() + len(token), token))
+        token, start = m[0].rstrip(".=-"), m.start()
+        if len(token) >= SHORTEST:
+            at, end = start, start + len(token)
+            for s, e, *_ in base:
+                if s <= at < e:
+                    at = e
+            if at < end:
+                out.append((start, end, token))
     return out
 
 
@@ -168,7 +176,7 @@ class Grammar:
         self.words = Words(words)
         self.automata = {k: Automaton(sorted(v)) for k, v in sorted(labelled.items()) if v}
         own = [self.fit(s) for v in labelled.values() for s in v]
-        other = [self.fit(w) for w in words if len(w) >= 12]
+        other = [self.fit(w) for w in words if len(w) >= SHORTEST]
         #: above all ordinary words, and as good as 95 % of the labelled credentials
         self.least = max(np.quantile(own, 0.05), max(other, default=0.0) + 0.5, 0.5) if own else math.inf
 
@@ -176,8 +184,12 @@ class Grammar:
         """Log-likelihood ratio a character of the best format against the words."""
         return (max(a.score(text) for a in self.automata.values()) - self.words.score(text)) / max(1, len(text))
 
+    @cached_property
+    def _known(self) -> Memo:
+        return Memo(lambda text: self.fit(text) >= self.least)
+
     def accepts(self, text: str) -> bool:
-        return bool(self.automata) and self.fit(text) >= self.least
+        return bool(self.automata) and self._known[text]
 
 
 _FOUND = ("doc_id long, base array<struct<start:long,end:long,kind:string,secret:string>>, "
@@ -254,7 +266,7 @@ def all_spans(text: str, grammar: Grammar) -> list[tuple[int, int, str]]:
 
 def redacted(docs: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
     """``docs`` with every secret replaced by a mark of its kind, and n_chars to match; all columns."""
-    load = shipped(docs.sparkSession, infer(docs, cut(scan(docs)), per_kind))
+    load = shipped(docs.sparkSession, infer(docs, cut(scan(docs).select("base")), per_kind))
 
     def change():
         grammar = load()

@@ -216,6 +216,25 @@ def test_grammar_adds_what_fits_a_format_only():
     assert not grammar.accepts("mail8.example.com") and not grammar.accepts("ingortheanststhe")
 
 
+def test_every_long_token_is_scored():
+    r = random.Random(6)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = lambda n, of=alnum: "".join(r.choice(of) for _ in range(n))
+    words = ["".join(r.choice(["the", "ing", "or", "an", "st"]) for _ in range(5)) for _ in range(500)]
+    around = lambda n: [made(8) + made(17, "0123456789abcdef") + made(8) for _ in range(n)]
+    prefixed = lambda n: [made(5) + "AKIA" + made(16, alnum[26:]) + made(5) for _ in range(n)]
+    grammar = secret_grammar.Grammar({"assign": [made(r.randint(12, 30), alnum[:62 - i % 2 * 10]) for i in range(150)] + around(75) + prefixed(75)}, words)
+    for tokens in ([made(13) for _ in range(20)], [made(15) for _ in range(20)], [made(18, alnum[:52]) for _ in range(20)], around(20), prefixed(20)):
+        learned = 0
+        for token in tokens:
+            text = f"ingortheanst {token} password: {made(12)} theing"
+            spans = secret_grammar.all_spans(text, grammar)
+            if (13, 13 + len(token), "learned") in spans:
+                learned += 1
+                assert secret_grammar.redact(text, spans) == "ingortheanst [LEARNED] [ASSIGN] theing"
+        assert learned >= 10
+
+
 def test_url_rules(spark):
     pages = [(1, "http://A.example.com/en/x"), (2, "http://www.example.com/en/x?y"), (3, "https://x.net/fr/1#z"), (4, "https://x.net/de/"),
              (5, None), (6, "no scheme"), (7, "http://com?x")]
