@@ -19,13 +19,13 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney.llm.common import Memo, by_batch, cut, shipped, texts
 
-#: Bound of the labelled sample, credentials a kind, and of the documents behind the word model.
+#: Bound of the labelled sample, credentials a kind.
 PER_KIND = 300
-WORD_DOCUMENTS = 200
 #: The base kinds, in the order of the result, their patterns, and the kind the method adds.
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,6 +34,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Length of the shortest credential that a base pattern takes, and so of a candidate.
 SHORTEST = 12
 TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+WORD = re.compile(r"[A-Za-z.,/_-]{2,}")
 ALPHABET = 66
 
 
@@ -164,6 +165,15 @@ class Words:
             self.pair.update(zip(s, s[1:]))
             self.single.update(s[:-1])
 
+    @classmethod
+    def counted(cls, pairs) -> Words:
+        """From (first, second, number) of character pairs."""
+        words = cls(())
+        for a, b, n in pairs:
+            words.pair[a, b] += n
+            words.single[a] += n
+        return words
+
     def score(self, text: str) -> float:
         text = " " + text
         return sum(math.log((self.pair[a, b] + 0.1) / (self.single[a] + 0.1 * ALPHABET)) for a, b in zip(text, text[1:]))
@@ -172,13 +182,18 @@ class Words:
 class Grammar:
     """Automata by kind, the word model, and the least score of a learned span."""
 
-    def __init__(self, labelled: dict[str, list[str]], words: list[str]):
-        self.words = Words(words)
+    def __init__(self, labelled: dict[str, list[str]], words: list[str] | Words):
+        self.words = words if isinstance(words, Words) else Words(words)
         self.automata = {k: Automaton(sorted(v)) for k, v in sorted(labelled.items()) if v}
         own = [self.fit(s) for v in labelled.values() for s in v]
-        other = [self.fit(w) for w in words if len(w) >= SHORTEST]
-        #: above all ordinary words, and as good as 95 % of the labelled credentials
-        self.least = max(np.quantile(own, 0.05), max(other, default=0.0) + 0.5, 0.5) if own else math.inf
+        #: as good as 95 % of the labelled credentials, and above all ordinary words
+        self.least = max(np.quantile(own, 0.05), 0.5) if own else math.inf
+        if own and not isinstance(words, Words):
+            self.above(max((self.fit(w) for w in words if len(w) >= SHORTEST), default=0.0))
+
+    def above(self, best: float) -> None:
+        """Raises the least score above ``best``, that of the best ordinary word."""
+        self.least = max(self.least, best + 0.5)
 
     def fit(self, text: str) -> float:
         """Log-likelihood ratio a character of the best format against the words."""
@@ -208,16 +223,56 @@ def scan(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInPandas(run, _FOUND)
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, ordinary): the distinct words of all texts outside base spans; a word is
+    ordinary if texts that differ hold it, as a credential stands in one text and its copies."""
+    def run(batches):
+        for b in batches:
+            held = {}
+            for t in b.column("text").to_pylist():
+                at, rest, body = 0, [], xxhash.xxh64(t.encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
+                for start, end, *_ in base_spans(t):
+                    rest.append(t[at:start])
+                    at = max(at, end)
+                for w in set(" ".join([*rest, t[at:]]).split()):
+                    low, high = held.get(w, (body, body))
+                    held[w] = min(low, body), max(high, body)
+            found = [(w, *v) for w, v in held.items() if WORD.fullmatch(w)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("word", "low", "high"), f)) for f in found], schema)
+
+    schema = pa.schema([("word", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+    return (texts(docs).mapInArrow(run, "word string, low long, high long")
+            .groupBy("word").agg((F.min("low") < F.max("high")).alias("ordinary")))
+
+
 def infer(docs: DataFrame, found: DataFrame, per_kind: int = PER_KIND) -> Grammar:
-    """Grammar from at most ``per_kind`` distinct credentials a kind and the words
-    of ``WORD_DOCUMENTS`` documents, those with the smallest hashes."""
+    """Grammar from at most ``per_kind`` distinct credentials a kind and the words of all documents."""
     secrets = found.select(F.explode("base").alias("s")).select("s.kind", "s.secret")
     labelled = {k: [r[0] for r in secrets.where(F.col("kind") == k).groupBy("secret").count()
                     .orderBy(F.xxhash64("secret"), "secret").limit(per_kind).select("secret").collect()] for k in KINDS[:3]}
-    ids = [r[0] for r in docs.select(F.col("doc_id").cast("long").alias("d")).where("d is not null").orderBy(F.xxhash64("d"), "d").limit(WORD_DOCUMENTS).collect()]
-    own = texts(docs).where(F.col("doc_id").isin(ids)).select(F.explode(F.split("text", r"\s+")).alias("w")).where("w rlike '^[A-Za-z.,/_-]{2,}$'")
-    words = [r["w"] for r in own.groupBy("w").count().orderBy(F.xxhash64("w"), "w").limit(20_000).collect()]
-    return Grammar(labelled, words)
+    words = cut(vocabulary(docs))
+
+    def pairs(batches):
+        for b in batches:
+            seen = Words(b.column("word").to_pylist()).pair
+            yield pa.RecordBatch.from_pydict({"a": [k[0] for k in seen], "b": [k[1] for k in seen], "n": list(seen.values())}, schema)
+
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+    # one row a pair of the words' characters
+    counted = words.mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    grammar = Grammar(labelled, Words.counted(counted))
+    if grammar.automata:
+        load = shipped(docs.sparkSession, grammar)
+
+        def best(batches):
+            model = load()
+            for b in batches:
+                fits = [model.fit(token) for w in b["word"] for *_, token in candidates(w, ())]
+                yield pd.DataFrame({"fit": [max(fits)] if fits else []}, dtype="float64")
+
+        top = words.where("ordinary").mapInPandas(best, "fit double").agg(F.max("fit")).first()[0]
+        grammar.above(0.0 if top is None else top)
+    return grammar
 
 
 def find_secrets(docs: DataFrame, per_kind: int = PER_KIND) -> DataFrame:

@@ -235,6 +235,24 @@ def test_every_long_token_is_scored():
         assert learned >= 10
 
 
+def test_word_model_of_all_documents(spark):
+    r = random.Random(7)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    word = lambda parts: "".join(r.choice(parts) for _ in range(3))
+    common = [word(["the", "ingen", "orthan", "anster"]) for _ in range(80)]
+    rare = [word(["bade", "cafe", "fade", "dec"])[:15] for _ in range(30)]  # like a format, but ordinary in some documents
+    key = "faecbdebfcadfbce"[:15]
+    rows = [(i, " ".join([*r.sample(common, 12), f"token = '{hexed(32)}'"])) for i in range(400)]
+    rows += [(i, " ".join([*r.sample(rare, 20), f"number{i}"])) for i in range(400, 412)] + [(500, f"see {key} here"), (501, f"see {key} here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grammar = secret_grammar.infer(docs, secret_grammar.scan(docs))
+    plain = {w for _, t in rows for w in re.sub("token = '[0-9a-f]+", "", t).split() if re.fullmatch("[A-Za-z.,/_-]{2,}", w)}
+    assert grammar.words.pair == secret_grammar.Words(plain).pair
+    assert grammar.least >= max(grammar.fit(w) for w in set(common + rare) if len(w) >= 12) + 0.5
+    learned = {x.doc_id for x in secret_grammar.find_secrets(docs).collect() if any(s.kind == "learned" for s in x.spans)}
+    assert learned <= {500, 501}
+
+
 def test_url_rules(spark):
     pages = [(1, "http://A.example.com/en/x"), (2, "http://www.example.com/en/x?y"), (3, "https://x.net/fr/1#z"), (4, "https://x.net/de/"),
              (5, None), (6, "no scheme"), (7, "http://com?x")]
