@@ -3,12 +3,16 @@
 For every participant of a conversation the dialogue is rendered with that
 speaker as the assistant and the others as named users, with the spans that a
 model should be trained on (the speaker's own texts and their end marks).  Long
-conversations are cut into parts of ``PART`` turns by turn number, so no row or
-group holds a whole conversation of any length."""
+conversations are cut into parts of ``PART`` turns by turn number; where null, tied
+or repeated turn numbers would put more rows into a part, the conversation is cut
+every ``PART`` rows in turn order instead.  So no row or group holds more than
+``PART`` turns, whatever the turn numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from sparkjourney.llm.common import cut
 
 PART = 64
 #: Speakers who instruct and take no part: rendered as themselves, without a perspective.
@@ -16,12 +20,39 @@ NARRATORS = ("system",)
 OPEN, CLOSE, NAMED = "<|im_start|>", "<|im_end|>\n", " name="
 
 
+def _by_rows(turns: DataFrame, part: int) -> DataFrame:
+    """(conv_id, part, turns) with ``part`` rows a part, in turn order.
+
+    Rows are numbered by a two-level running total: equal rows are collapsed to one
+    with their number, ranges of the order are scanned each by itself, and the totals
+    of a conversation's earlier ranges are added."""
+    order = ["turn", "role", "text"]
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(turns.groupBy("conv_id", *order).agg(F.count("*").alias("copies"))
+                 .repartitionByRange(n, "conv_id", *order).withColumn("range", F.spark_partition_id()))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (ranged.groupBy("conv_id", "range").agg(F.sum("copies").alias("rows"))
+              .select(F.col("conv_id").alias("_id"), F.col("range").alias("_range"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")))
+    before = Window.partitionBy("conv_id", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (ranged.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+              .join(totals, (F.col("range") == F.col("_range")) & F.col("conv_id").eqNullSafe(F.col("_id")))
+              .withColumn("first", F.col("offset") + F.col("before")).withColumn("end", F.col("first") + F.col("copies")))
+    cuts = F.sequence(F.floor(F.col("first") / part), F.floor((F.col("end") - 1) / part))
+    # a row's copies within each part that they reach
+    pieces = placed.select("conv_id", *order, "first", "end", F.explode(cuts).alias("part")).select(
+        "conv_id", "part", *order, (F.least("end", (F.col("part") + 1) * part) - F.greatest("first", F.col("part") * part)).cast("int").alias("copies"))
+    made = pieces.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct(*order, "copies"))).alias("rows"))
+    repeat = lambda t: F.array_repeat(F.struct(*[t[c].alias(c) for c in order]), t["copies"])
+    return made.select("conv_id", "part", F.flatten(F.transform("rows", repeat)).alias("turns"))
+
+
 def perspectives(turns: DataFrame, part: int = PART, narrators=NARRATORS) -> DataFrame:
     """(conv_id, speaker, part, n_turns, rendered, spans) per conversation, participant
     and part; spans are (start, end) code points of ``rendered``.
 
     Turns are ordered by number, then speaker, then text; a null number comes first,
-    in part -1; a null role is the speaker ``unknown``; a null text is empty; null
+    in part -1; a conversation with more than ``part`` rows in one part has parts of
+    ``part`` rows each, numbered from 0 in that order; a null role is the speaker ``unknown``; a null text is empty; null
     conv_ids form one conversation; repeated rows are repeated turns; a conversation
     of narrators only has no perspective; an empty table gives no rows; other columns are ignored."""
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"),
@@ -29,7 +60,13 @@ def perspectives(turns: DataFrame, part: int = PART, narrators=NARRATORS) -> Dat
                          F.coalesce(F.floor(F.col("turn").cast("long") / part), F.lit(-1)).cast("long").alias("part"))
     speakers = (turns.where(~F.col("role").isin(*narrators)).select("conv_id", "role").distinct()
                 .select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")))
-    parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    crowded = cut(turns.groupBy("conv_id", "part").count().where(F.col("count") > part).select(F.col("conv_id").alias("_id")).distinct())
+    whole = lambda rows: rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    if crowded.isEmpty():
+        parts = whole(turns)
+    else:
+        same = F.col("conv_id").eqNullSafe(F.col("_id"))
+        parts = whole(turns.join(crowded, same, "left_anti")).unionByName(_by_rows(turns.join(crowded, same, "left_semi"), part))
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     # one segment a turn: its opening mark, its text with the end mark, and whether it is the speaker's own
     segments = F.transform("turns", lambda t: F.struct(

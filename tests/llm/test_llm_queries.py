@@ -277,6 +277,22 @@ def test_perspective_masks(spark):
     assert [ann.rendered[s.start:s.end] for s in ann.spans] == ["hi<|im_end|>\n"]
 
 
+def test_crowded_conversations_are_cut_every_64_rows(spark):
+    rows = [(None, None, "ann", f"null {i % 7}") for i in range(150)] + [(None, 3, "bob", f"tied {i:03}") for i in range(90)] + [(None, 4, "ann", "same")] * 200
+    rows += [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(130)] + [(2, 700, "eve", "far")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(x.conv_id, x.speaker, x.part): x for x in chat_perspectives.perspectives(df).collect()}
+    hot = sorted((r for r in rows if r[0] is None), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    want = {(None, s, p): hot[64 * p:64 * p + 64] for s in ("ann", "bob") for p in range(7)}
+    want |= {(1, s, p): rows[440 + 64 * p:min(570, 504 + 64 * p)] for s in ("ann", "bob") for p in range(3)} | {(2, "eve", 10): rows[-1:]}
+    assert set(got) == set(want)
+    for key, part in want.items():
+        heads = ["assistant" if r[2] == key[1] else f"user name={r[2]}" for r in part]
+        assert got[key].n_turns == len(part) <= 64
+        assert got[key].rendered == "".join(f"<|im_start|>{h}\n{r[3]}<|im_end|>\n" for h, r in zip(heads, part))
+        assert [got[key].rendered[x.start:x.end] for x in got[key].spans] == [f"{r[3]}<|im_end|>\n" for r in part if r[2] == key[1]]
+
+
 _OPERATORS = {
     "bpe": lambda d, s: bpe_stream.token_digests(d, WORD), "counts": lambda d, s: token_counts.token_counts(d, PIECE),
     "fingerprints": lambda d, s: chunk_fingerprint.edited_fingerprints(d), "join": lambda d, s: ngram_join.jaccard_components(d),
