@@ -13,7 +13,8 @@ from sparkjourney.sources import read_table
 
 
 def languages(spark, docs, sf_dir):
-    """Drops documents without a language; a missing ``lang`` is filled in."""
+    """Drops documents without a language; ``lang`` becomes the identified one, which
+    corrects wrong labels and fills in missing ones."""
     return language_id.identified(docs, language_id.fit(docs))
 
 

@@ -155,8 +155,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that have a language (not ``und``), all columns; a null
-    ``lang`` becomes the prediction."""
+    """The rows of ``docs`` that have a language (not ``und``), all columns; ``lang``
+    becomes the prediction, also where a label contradicts it."""
     load = shipped(docs.sparkSession, model)
 
     def change():
@@ -165,8 +165,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         def step(batch, texts):
             got = [fitted.predict(features(t, letter))[0] if t is not None and _LETTER.search(t) else "und" for t in texts]
             at = batch.schema.get_field_index("lang")
-            lang = [g if v is None else v for v, g in zip(batch.column(at).to_pylist(), got)]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(got, batch.schema.field(at).type))
             return batch.filter(pa.array([g != "und" for g in got], pa.bool_()))
 
         return step

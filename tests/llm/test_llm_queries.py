@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMOKE
 from sparkjourney.llm import (bpe_stream, chat_perspectives, chunk_fingerprint, decontaminate, host_reputation, language_id, ngram_join, queries,
@@ -196,6 +197,20 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= x.score <= 1 for x in rows)
 
 
+def test_wrong_labels_are_corrected(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").where("length(text) > 300")
+    true = {x.doc_id: x.lang for x in docs.collect()}
+    langs = sorted({v for v in true.values() if v})
+    wrong = sorted(x.doc_id for x in docs.where(language_id.held_out() & F.col("lang").isNotNull()).collect())  # no training documents
+    other = {i: langs[(langs.index(true[i]) + 1) % len(langs)] for i in wrong}
+    rows = [x.asDict() | {"lang": None if x.doc_id == wrong[0] else other.get(x.doc_id, x.lang)} for x in docs.collect()]
+    rows.append(rows[0] | {"doc_id": -1, "text": "123 456"})
+    df = spark.createDataFrame(rows, docs.schema)
+    got = {x.doc_id: x.lang for x in language_id.identified(df, language_id.fit(df)).collect()}
+    assert set(got) == set(true) and len(wrong) > 5
+    assert np.mean([got[i] == true[i] for i in wrong]) > 0.95
+
+
 def test_secret_spans():
     key = "AKIA" + "Z9" * 8
     text = f"é token: password: abcdefghijkl1 API_KEY = '{'k' * 12}' {key} {'0f' * 10} token=short"
