@@ -5,10 +5,12 @@ and returns a DataFrame; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 
 from sparkjourney.llm import bpe_stream, decontaminate, language_id, ngram_join, secret_grammar
-from sparkjourney.llm.common import cut
+from sparkjourney.llm.common import release, shared_folder
 from sparkjourney.sources import read_table
 
 
@@ -44,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's frame; each stage before it is written as Parquet, into a fresh
+    folder under ``spark.checkpoint.dir``, and read back as the next one's docs."""
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        release(spark)
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -339,6 +339,19 @@ def test_sql_oracle(spark, name):
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
 
 
+def test_stages_are_read_back_from_parquet(spark, monkeypatch):
+    import corpus_pipeline
+    seen = []
+    stage = lambda spark, docs, sf_dir: (seen.append(docs.inputFiles()), docs.withColumn("source", F.lit("x")))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    got = corpus_pipeline.run(spark, SMOKE)
+    top = spark.sparkContext.getCheckpointDir()
+    assert all(f.endswith(".parquet") for files in seen for f in files) and all(files for files in seen)
+    assert [{f.split("/")[-2] for f in files} for files in seen[1:]] == [{"a"}, {"b"}]
+    assert all(f.split(":")[-1].lstrip("/").startswith(top.split(":")[-1].lstrip("/")) for files in seen[1:] for f in files)
+    assert got.count() == spark.read.parquet(f"{SMOKE}/documents.parquet").count()
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
