@@ -8,24 +8,21 @@ Semantics (per user, events ordered by time then ``event_id``):
 * ``session_id``: 0-based running count of session starts per user;
 * ``session_duration``: last minus first event time of the session, seconds.
 
-Scale design.  A plain ``Window.partitionBy(user)`` puts every event of a user
-into one task, so one user holding a third of the rows would serialize a third
-of the job.  Instead the work is split by ``(user, time bucket)``:
-
-1. events are windowed per ``(user, bucket)`` (gap inside the bucket, local
-   running count of starts, local segment bounds);
-2. a per-``(user, bucket)`` summary (a handful of scalars per bucket) is
-   aggregated from the already-partitioned events -- no extra shuffle -- and a
-   window over the *buckets* of a user carries the state across bucket
-   borders (previous bucket end, running start count, open-session start and
-   end). That table has one row per non-empty bucket, never more rows than
-   events, and a hot user only contributes one row per bucket;
-3. the summary is joined back on ``(user, bucket)``; the event side is
-   already hash-partitioned on exactly those keys, so only the small side
-   moves.
-
-The result is exact (identical to the per-user window) for any bucket size;
-``bucket_seconds`` only sets the unit of parallelism for a single user.
+Scale design.  Users are the unit of work: one exchange of the events by user,
+one sort, and windows over it.  A user too large for one task (more events than
+``min_events`` and than twice the even share of a task) is cut into slices of
+consecutive events:
+
+1. a sample of bounded size (``SAMPLED`` rows a range) finds such users and the
+   (time, event) points at which to cut them; all other users are left whole;
+2. the events move once, by (user, slice), and are windowed there;
+3. what a slice needs to know of its neighbours comes from cells: no session
+   breaks within ``gap`` seconds, so (user, slice, time cell of that width) with its
+   first and last time is all that the large users' sessions depend on.  Cells are
+   partial aggregates, so this moves a few rows per task and cell, not events;
+   one row per slice (at most ``ranges`` slices) is broadcast to the events.
+
+The result is that of the plain per-user window, whatever the cuts.
 """
 
 from __future__ import annotations
@@ -34,85 +31,102 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparkjourney import schema as S
 from sparkjourney.functions.time import seconds_between, epoch_seconds, weekday_mon0
+from sparkjourney.session import materialize
 
 _B = "_bucket"
-
-
-def sessionize(events: DataFrame, gap_seconds: float = 1800.0, bucket_seconds: int = 3600,
+_S = "_slice"
+#: Rows sampled per range to find the users to cut and where.
+SAMPLED = 64
+#: A user with fewer events is never cut.
+MIN_EVENTS = 1_000_000
+
+
+def large_users(events: DataFrame, ranges: int, min_events: int, user: str = S.USER, ts: str = S.TS,
+                order: str = S.EVENT_ID) -> DataFrame | None:
+    """(user, cuts) of the users to be cut, or None: at most ``ranges`` cuts in
+    all, each a (time, event) with which a new slice begins."""
+    e = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(user, ts, order)
+    rows = e.count()
+    most = max(min_events, 2 * rows // ranges)
+    if rows <= most:
+        return None
+    step = max(1, rows // (ranges * SAMPLED))  # one row in so many
+    sample = e.where(F.pmod(F.xxhash64(user, ts, order), F.lit(step)) == 0)
+    point = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
+    every = max(1, most // step)  # sampled rows a slice
+    large = (sample.groupBy(user).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(point)).alias("_p"))
+             .where(F.col("_n") * step > most)
+             .select(user, F.filter("_p", lambda p, i: i % every == every - 1).alias("_cuts")))
+    large = materialize(large)
+    return None if large.isEmpty() else large
+
+
+def _sliced(events: DataFrame, large: DataFrame, user: str, ts: str, order: str, how: str) -> DataFrame:
+    here = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
+    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= here)))
+    return events.join(F.broadcast(large), user, how).withColumn(_S, piece).drop("_cuts")
+
+
+def slice_states(events: DataFrame, large: DataFrame, gap_seconds: float, user: str = S.USER, ts: str = S.TS,
+                 order: str = S.EVENT_ID) -> DataFrame:
+    """One row per (large user, slice): the gap into it, the session it begins
+    with, that session's start, the starts inside and the end of its last session."""
+    gap = F.lit(float(gap_seconds))
+    e = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(user, ts, order)
+    width = F.lit(max(1, int(gap_seconds * 1e6)))  # two times in one cell differ by less: no break between them
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    cells = (_sliced(e, large, user, ts, order, "inner")
+             .groupBy(user, _S, (us - F.pmod(us, width)).alias("_cell")).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")))
+    wu = W.partitionBy(user).orderBy(_S, "_cell")
+    cells = (cells.withColumn("_entry", seconds_between(F.lag("_hi").over(wu), F.col("_lo")))
+             .withColumn("_sid", F.sum(F.coalesce((F.col("_entry") > gap).cast("int"), F.lit(0))).over(
+                 wu.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    ws = W.partitionBy(user, "_sid")
+    cells = cells.withColumn("_from", F.min("_lo").over(ws)).withColumn("_to", F.max("_hi").over(ws))
+    first = F.min(F.struct("_cell", "_entry", "_from"))
+    return cells.groupBy(user, _S).agg(
+        F.min("_sid").alias("_offset"), (F.max("_sid") - F.min("_sid")).alias("_inside"),
+        first["_entry"].alias("_entry"), first["_from"].alias("_from"), F.max("_to").alias("_to"))
+
+
+def sessionize(events: DataFrame, gap_seconds: float = 1800.0, ranges: int | None = None, min_events: int = MIN_EVENTS,
                user: str = S.USER, ts: str = S.TS, order: str = S.EVENT_ID) -> DataFrame:
     """Add ``gap_seconds, gap_hours, session_id, is_session_start,
     session_start, session_end, session_duration`` to every event with a
     non-NULL user and time (exactly one event per session has
-    ``is_session_start``)."""
-    gap = float(gap_seconds)
-    # the bucket filter is implied by ts IS NOT NULL; stating it keeps both
-    # uses of `e` identical, so the shuffle by (user, bucket) runs once and
-    # the summary branch reuses it
-    e = (events.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-         .withColumn(_B, F.floor(epoch_seconds(ts) / F.lit(int(bucket_seconds))))
-         .where(F.col(_B).isNotNull()))
-
-    wb = W.partitionBy(user, _B).orderBy(ts, order)
-    running = wb.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = wb.rowsBetween(1, W.unboundedFollowing)
-    e = (e.withColumn("_prev", F.lag(ts).over(wb))
-         .withColumn("_gap", seconds_between(F.col("_prev"), F.col(ts)))
-         .withColumn("_start", F.coalesce((F.col("_gap") > F.lit(gap)).cast("int"), F.lit(0))))
-    # all frames share the (user, bucket, ts) ordering, so one sort serves them:
-    # local session number, start of the current local segment (latest start
-    # so far), end of it (time before the next start in the bucket)
-    e = (e.withColumn("_lsid", F.sum("_start").over(running))
-         .withColumn("_smin", F.last(F.when(F.col("_start") == 1, F.col(ts)), ignorenulls=True).over(running))
-         .withColumn("_smax", F.first(F.when(F.col("_start") == 1, F.col("_prev")), ignorenulls=True).over(ahead)))
-
-    # per-(user, bucket) summary; same partitioning as `e`, so no exchange
-    b = e.groupBy(user, _B).agg(
-        F.min(ts).alias("_bmin"), F.max(ts).alias("_bmax"),
-        F.max("_lsid").alias("_nstarts"),
-        F.max(F.when(F.col("_lsid") == 0, F.col(ts))).alias("_seg0_end"),
-        F.max(F.when(F.col("_start") == 1, F.col(ts))).alias("_last_local_start"),
-    )
-    wu = W.partitionBy(user).orderBy(_B)
-    before = wu.rowsBetween(W.unboundedPreceding, -1)
-    after = wu.rowsBetween(1, W.unboundedFollowing)
-    b = (b.withColumn("_prev_bmax", F.lag("_bmax").over(wu))
-         .withColumn("_entry_gap", seconds_between(F.col("_prev_bmax"), F.col("_bmin")))
-         .withColumn("_entry_start", F.coalesce((F.col("_entry_gap") > F.lit(gap)).cast("int"), F.lit(0)))
-         .withColumn("_first_bucket", F.col("_prev_bmax").isNull())
-         .withColumn("_next_entry_start", F.lead("_entry_start").over(wu)))
-    # start of the newest session begun in the bucket, end of the session the
-    # bucket's first event belongs to when that session closes in the bucket
-    b = (b.withColumn("_last_start_ts", F.coalesce(
-            F.col("_last_local_start"),
-            F.when(F.col("_first_bucket") | (F.col("_entry_start") == 1), F.col("_bmin"))))
-         .withColumn("_first_end_ts",
-                     F.when(F.col("_nstarts") > 0, F.col("_seg0_end"))
-                      .when(F.col("_next_entry_start").isNull() | (F.col("_next_entry_start") == 1), F.col("_bmax"))))
-    b = b.select(
-        user, _B, "_nstarts",
-        (F.col("_first_bucket") | (F.col("_entry_start") == 1)).alias("_opens"),
-        F.coalesce(F.col("_entry_gap"), F.lit(0.0)).alias("_entry_gap"),
-        (F.coalesce(F.sum(F.col("_entry_start") + F.col("_nstarts")).over(before), F.lit(0))
-         + F.col("_entry_start")).alias("_offset"),
-        F.when(F.col("_first_bucket") | (F.col("_entry_start") == 1), F.col("_bmin"))
-         .otherwise(F.last("_last_start_ts", ignorenulls=True).over(before)).alias("_open_start"),
-        F.when(F.col("_next_entry_start").isNull() | (F.col("_next_entry_start") == 1), F.col("_bmax"))
-         .otherwise(F.first("_first_end_ts", ignorenulls=True).over(after)).alias("_close_end"),
-    )
-
-    out = e.join(b, [user, _B], "inner")
-    start = F.when(F.col("_lsid") == 0, F.col("_open_start")).otherwise(F.col("_smin"))
-    end = F.when(F.col("_lsid") == F.col("_nstarts"), F.col("_close_end")).otherwise(F.col("_smax"))
-    gap_s = F.coalesce(F.col("_gap"), F.col("_entry_gap"))
+    ``is_session_start``).  ``ranges`` (default: the shuffle partitions) and
+    ``min_events`` say which users are cut, not what comes out."""
+    gap = F.lit(float(gap_seconds))
+    e = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+    ranges = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = large_users(events, ranges, min_events, user, ts, order)
+    by = [user] if large is None else [user, _S]
+    if large is not None:
+        e = _sliced(e, large, user, ts, order, "left")
+    wb = W.partitionBy(*by).orderBy(ts, order)
+    e = (e.withColumn("_gap", seconds_between(F.lag(ts).over(wb), F.col(ts)))
+         .withColumn("_start", F.coalesce((F.col("_gap") > gap).cast("int"), F.lit(0)))
+         .withColumn("_lsid", F.sum("_start").over(wb.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    ws = W.partitionBy(*by, "_lsid")
+    e = e.withColumn("_lo", F.min(ts).over(ws)).withColumn("_hi", F.max(ts).over(ws))
+    start, end, session, into, opens = F.col("_lo"), F.col("_hi"), F.col("_lsid"), F.lit(0.0), F.lit(True)
+    if large is not None:
+        e = e.join(F.broadcast(slice_states(events, large, gap_seconds, user, ts, order)), by, "left")
+        start = F.when(F.col("_lsid") == 0, F.coalesce("_from", "_lo")).otherwise(start)
+        end = F.when(F.col("_lsid") == F.coalesce("_inside", F.lit(-1)), F.col("_to")).otherwise(end)
+        session = session + F.coalesce("_offset", F.lit(0))
+        into = F.coalesce("_entry", F.lit(0.0))
+        opens = F.coalesce(F.col("_entry") > gap, F.lit(True))
+    gap_s = F.coalesce(F.col("_gap"), into)
     produced = {"gap_seconds", "gap_hours", S.SESSION, "is_session_start", "session_start", "session_end",
                 "session_duration"}
     keep = [c for c in events.columns if c not in produced]  # re-sessionizing replaces these
-    return out.select(
+    return e.select(
         *keep,
         gap_s.alias("gap_seconds"),
         (gap_s / F.lit(3600.0)).alias("gap_hours"),
-        (F.col("_offset") + F.col("_lsid")).cast("bigint").alias(S.SESSION),
-        ((F.col("_start") == 1) | (F.col("_gap").isNull() & F.col("_opens"))).alias("is_session_start"),
+        session.cast("bigint").alias(S.SESSION),
+        ((F.col("_start") == 1) | (F.col("_gap").isNull() & opens)).alias("is_session_start"),
         start.alias("session_start"),
         end.alias("session_end"),
         seconds_between(start, end).alias("session_duration"),
@@ -169,16 +183,17 @@ def event_features(events: DataFrame, ts: str = S.TS, event: str = S.EVENT,
             .withColumn("made_purchase", F.coalesce((F.col(event) == F.lit(purchase)).cast("int"), F.lit(0))))
 
 
-def preprocess(events: DataFrame, gap_seconds: float = 1800.0, scale_cols=(),
-               bucket_seconds: int = 3600) -> DataFrame:
+def preprocess(events: DataFrame, gap_seconds: float = 1800.0, scale_cols=(), **cut) -> DataFrame:
     """Sessionize + per-event features (+ z-scores of ``scale_cols`` as ``<c>_z``).
 
     Raw values are kept; standardized values go to new columns so later
-    stages never read a z-score as if it were seconds or days.
+    stages never read a z-score as if it were seconds or days.  With
+    ``scale_cols`` the stage is written once (``materialize``) and the sums for
+    the z-scores are observed while it is written.
     """
     from sparkjourney.operators.stats import standardize
 
-    out = event_features(sessionize(events, gap_seconds=gap_seconds, bucket_seconds=bucket_seconds))
+    out = event_features(sessionize(events, gap_seconds=gap_seconds, **cut))
     if scale_cols:
-        out = standardize(out, list(scale_cols))
+        out = standardize(out, list(scale_cols), fit="observed")
     return out

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import logging
+import tempfile
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
-
-log = logging.getLogger(__name__)
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,16 +59,29 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return d
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints.  A local session without one gets a
+    scratch folder; on a cluster ``spark.checkpoint.dir`` must be set."""
+    master = spark.sparkContext.master
+    local = master.startswith("local") and not master.startswith("local-cluster")
+    found = ensure_checkpoint_dir(spark) or (local and ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="sparkjourney-")))
+    if not found:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return found
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a DataFrame that several jobs reuse.
 
-    Uses a reliable ``checkpoint()`` into the shared checkpoint folder, so a
+    A reliable ``checkpoint()`` into the shared checkpoint folder, so a
     lost executor does not force recomputation of the whole upstream plan.
-    Without a configured folder it falls back to a replicated persist, which
-    still survives executor loss through lineage recomputation.
     """
-    spark = df.sparkSession
-    if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=eager)
-    log.warning("no spark.checkpoint.dir configured; persisting instead of checkpointing")
-    return df.persist(StorageLevel.MEMORY_AND_DISK_2)
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def materialize_observed(df: DataFrame, aggregates: dict) -> tuple[DataFrame, dict]:
+    """``materialize`` and, from the same pass, the named aggregates of all rows."""
+    seen = Observation()
+    kept = materialize(df.observe(seen, *[c.alias(name) for name, c in aggregates.items()]))
+    return kept, seen.get

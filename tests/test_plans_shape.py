@@ -15,10 +15,25 @@ def _final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sessionize_shuffles_events_once_by_user_and_bucket(spark):
-    plan = _final_plan(Q["sessionize"](spark, SMOKE))
-    assert "hashpartitioning(user_id" in plan and "_bucket" in plan
-    assert "ReusedExchange" in plan  # the summary branch reuses the event shuffle
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("+- == Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_sessionize_shuffles_events_once(spark):
+    ev = spark.read.parquet(f"{SMOKE}/events.parquet")
+    assert ["user_id" in x for x in _exchanges(sessionize(ev))] == [True]
+    cut = sessionize(ev, ranges=200, min_events=1)
+    moved = _exchanges(cut)
+    assert sum("_slice" in x and "_cell" not in x for x in moved) >= 1  # the events, by (user, slice)
+    raw = [x for x in moved if "_cell" not in x and "_sid" not in x and "partial" not in x]
+    assert len([x for x in raw if "_slice" in x]) <= 2  # the other one holds a row per slice
+    assert cut.count() == sessionize(ev).count()
+
+
+def test_z_scores_read_the_written_stage(spark):
+    plan = _final_plan(Q["standardized"](spark, SMOKE))
+    assert "Window" not in plan and "ExistingRDD" in plan
 
 
 def test_funnel_scan_pushes_filter_and_prunes_columns(spark):
@@ -48,7 +63,7 @@ def test_hot_user_with_a_third_of_events(spark):
     p = pdf.sort_values(["user_id", "ts", "event_id"])
     gap = p.groupby("user_id")["ts"].diff().dt.total_seconds().fillna(0.0)
     want = (gap > 1800).astype(int).groupby(p["user_id"]).cumsum()
-    got = sessionize(spark.createDataFrame(pdf, "event_id long, user_id long, ts timestamp_ntz, event_type string"))
+    got = sessionize(spark.createDataFrame(pdf, "event_id long, user_id long, ts timestamp_ntz, event_type string"), ranges=20, min_events=10)
     g = got.select("event_id", "session_id").toPandas().set_index("event_id")["session_id"]
     assert (g.loc[p["event_id"]].to_numpy() == want.to_numpy()).all()
     assert (users == 0).sum() > n / 4

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkjourney.operators.sessions import sessionize, session_stats, event_features
+from sparkjourney.operators.sessions import large_users, sessionize, session_stats, slice_states, event_features
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, event_type string"
 T0 = dt.datetime(2024, 1, 1, 10, 0, 0)
@@ -58,25 +58,43 @@ def _pandas_sessions(pdf, gap=1800.0):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("bucket", [60, 900, 1800, 3600, 86400])
-def test_bucket_split_equals_per_user_window(spark, seed, bucket):
-    """The (user, time bucket) split must not change any result."""
+@pytest.mark.parametrize("ranges,gap", [(1, 1800.0), (3, 1800.0), (16, 1800.0), (16, 0.0), (150, 60.0)])
+def test_cut_users_equal_per_user_window(spark, seed, ranges, gap):
+    """Cutting users into slices must not change any result."""
     rng = np.random.default_rng(seed)
     n = 400
     users = rng.integers(0, 4, n)
     # bursts and long pauses so sessions cross bucket borders in every way
-    steps = rng.choice([5.0, 60.0, 1200.0, 1800.0, 1801.0, 4000.0, 90000.0], size=n)
+    steps = rng.choice([0.0, 5.0, 60.0, 1200.0, 1800.0, 1801.0, 4000.0, 90000.0], size=n, p=[.3, .1, .1, .1, .1, .1, .1, .1])
     ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(steps) + rng.integers(0, 3, n), unit="s")
     pdf = pd.DataFrame({"event_id": np.arange(n, dtype="int64"), "user_id": users.astype("int64"),
                         "ts": ts, "event_type": "x"})
-    want = _pandas_sessions(pdf)
-    got = sessionize(spark.createDataFrame(pdf, SCHEMA), bucket_seconds=bucket).toPandas().set_index("event_id")
+    pdf.loc[100:140, "ts"] = pdf.loc[100, "ts"]  # many events at one time
+    want = _pandas_sessions(pdf, gap)
+    df = spark.createDataFrame(pdf, SCHEMA)
+    assert (large_users(df, ranges, 1) is None) == (ranges < 8)
+    got = sessionize(df, gap, ranges, 1).toPandas().set_index("event_id")
     got = got.loc[want.index]
     assert (got["session_id"].to_numpy() == want["session_id"].to_numpy()).all()
     assert np.allclose(got["gap_seconds"], want["gap_seconds"])
     assert np.allclose(got["session_duration"], want["session_duration"])
     starts = got.groupby(["user_id", "session_id"])["is_session_start"].sum()
     assert (starts == 1).all()
+    spans = got.groupby(["user_id", "session_id"])
+    assert (spans["session_start"].nunique() == 1).all() and (spans["session_end"].nunique() == 1).all()
+    assert (got["session_start"] == spans["ts"].transform("min")).all() and (got["session_end"] == spans["ts"].transform("max")).all()
+
+
+def test_a_hot_user_inside_one_hour_is_split(spark):
+    """A third of all events is one user's, within one hour."""
+    hot = spark.range(30_000).selectExpr("id AS event_id", "-1L AS user_id", "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, id * 0.1) AS ts", "'a' AS event_type")
+    rest = spark.range(60_000).selectExpr("100000 + id AS event_id", "id % 3000 AS user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id * 5) AS ts", "'a' AS event_type")
+    ev = hot.union(rest)
+    large = large_users(ev, 50, 100)
+    assert [r.user_id for r in large.collect()] == [-1] and 5 < len(large.first()._cuts) <= 50
+    out = sessionize(ev, ranges=50, min_events=100)
+    assert tuple(out.where("user_id = -1").selectExpr("count(*)", "max(session_id)", "sum(int(is_session_start))", "max(session_duration)").first()) == (30000, 0, 1, 2999.9)
+    assert slice_states(ev, large, 1800.0).count() == len(large.first()._cuts) + 1
 
 
 def test_session_ids_start_at_zero_and_never_decrease(spark):
