@@ -1,10 +1,13 @@
 """Churn modelling: user-level split, class weights, naive Bayes, Spark ML models.
 
 Grain: one row per user (never per event), and the train/test split is by
-user key, so no user can sit on both sides.  The split is a hash of the key
-(md5 -> 32-bit bucket): deterministic, independent of partitioning, no
-shuffle, and independent of the label, so each class is split in the same
-proportion in expectation.
+user key, so no user can sit on both sides.  Both splits order users by the md5
+of the key, so they are deterministic and independent of partitioning.
+``stratified_split`` takes a share of the hash's values: no shuffle, and each
+class is split in the same proportion in expectation.
+``stratified_split_exact``, which the models use, takes the exact share of every
+class: the hash at the wanted rank is selected by ranges (``select_ranks``), so
+no class is sorted and none is one task.
 
 Gaussian naive Bayes is written in closed form: one aggregate pass fits the
 class priors, per-class means and variances (variance smoothing of
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney import schema as S
 from sparkjourney.operators.metrics import class_report, roc_auc
+from sparkjourney.operators.quantiles import few, select_ranks
 from sparkjourney.functions.scalar import with_scalar, fit_row
 
 #: Spark's deepest tree, for "unbounded".
@@ -41,6 +45,34 @@ def stratified_split(df: DataFrame, key: str = S.USER, test_pct: int = 20, name:
     return df.withColumn(name, F.when(hash_bucket(key) < test_pct, F.lit("test")).otherwise(F.lit("train")))
 
 
+def split_hash(key):
+    """The first 60 bits of md5 of the key's text."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+def stratified_split_exact(df: DataFrame, label: str = "churn", key: str = S.USER, test_pct: int = 20,
+                           name: str = "split") -> DataFrame:
+    """Add ``split``: of every label's n rows, the n * ``test_pct`` / 100 (rounded
+    half up) with the smallest hashes of the key are 'test', the others 'train'.
+
+    Rows of one key stay together (so does, on a tie of 60 bits, the other key);
+    rows with a NULL key are 'train'.  ``df`` is read four times: materialize it."""
+    size = F.floor(F.col("n") * F.lit(test_pct / 100.0) + F.lit(0.5))
+    cut = select_ranks(df.withColumn("_h", split_hash(key)), "_h", [size - 1], [label])
+    cut = few(cut.select(F.col(label).alias("_label"), F.col("value").alias("_cut")), 2)
+    return (df.join(cut, F.col(label).eqNullSafe(F.col("_label")), "left")
+            .withColumn(name, F.when(split_hash(key) <= F.col("_cut"), F.lit("test")).otherwise(F.lit("train")))
+            .drop("_label", "_cut"))
+
+
+def _split(features_df: DataFrame, label: str, test_pct: int) -> DataFrame:
+    """The models' input: one materialized table with the exact split."""
+    from sparkjourney.session import materialize
+
+    split = stratified_split_exact(materialize(features_df.drop("split")), label, test_pct=test_pct)
+    return binary_label(materialize(split), label)
+
+
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
     """(label, n, weight) with balanced weights ``n_total / (n_classes * n_class)``."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -174,10 +206,7 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
     Returns (metrics rows [(model, accuracy, precision, recall, f1, roc_auc)],
     fitted models by name).
     """
-    from sparkjourney.session import materialize
-
-    data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
-    data = materialize(data)
+    data = _split(features_df, label, test_pct)
     # balanced weights come from the train labels alone
     train, test = with_weights(data.where(F.col("split") == "train"), label), data.where(F.col("split") == "test")
     from concurrent.futures import ThreadPoolExecutor
@@ -224,9 +253,8 @@ def tune_forest(features_df: DataFrame, label: str = "churn", features: Sequence
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
-    from sparkjourney.session import materialize
 
-    data = materialize(stratified_split(binary_label(features_df, label)))
+    data = _split(features_df, label, 20)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     rf, grid = forest_grid(label, seed, **(grid_kwargs or {}))
     cv = CrossValidator(estimator=Pipeline(stages=[_assembler(features), rf]), estimatorParamMaps=grid,
@@ -245,10 +273,7 @@ def network_loss_history(features_df: DataFrame, label: str = "churn", features:
                          test_pct: int = 20, seed: int = 42) -> list[tuple[int, float]]:
     """(iteration, training loss) of the multilayer perceptron, trained on the
     balanced train split (Spark keeps the training objective only)."""
-    from sparkjourney.session import materialize
-
-    data = stratified_split(binary_label(features_df, label), test_pct=test_pct)
-    train = materialize(data.where(F.col("split") == "train"))
+    train = _split(features_df, label, test_pct).where(F.col("split") == "train")
     pipe, _ = model_zoo(features, label, seed)["Neural Network"]
     m = pipe.fit(balance_by_replication(train, label))
     hist = m.stages[-1].summary().objectiveHistory

@@ -3,44 +3,18 @@
 Counts come from conditional aggregates over (label, prediction), so every
 metric is one scan with partial aggregation.  ROC needs running totals over
 the distinct scores in score order; a window without ``partitionBy`` would
-pull every distinct score into a single task, so ``running_totals`` does a
-two-level scan instead: scores are cut into ranges at approximate quantiles
-(a bounded sketch, fetched as at most ``buckets`` cut points), each range is
-scanned in its own task, and a
-``buckets``-row table of range totals (a fixed bound, broadcast) supplies
-each range's starting offset.  The result is exact; the quantiles only
-balance the work.
+pull every distinct score into a single task, so it uses
+``quantiles.running_totals``, a scan in ranges.  The result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.functions.scalar import with_scalar, fit_row
-
-
-def running_totals(df: DataFrame, order_col: str, cols: Sequence[str], buckets: int = 64,
-                   suffix: str = "_cum") -> DataFrame:
-    """Add inclusive running sums of ``cols`` in ascending ``order_col`` order.
-
-    ``order_col`` must be unique per row (aggregate to distinct keys first).
-    """
-    cols = list(cols)
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # range cut points: at most buckets-1 numbers from a bounded sketch
-    cuts = fit_row(df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("b")))["b"]
-    key = F.col(order_col).cast("double")
-    cuts_lit = F.array(*[F.lit(float(b)) for b in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
-    x = df.withColumn("_rb", F.size(F.filter(cuts_lit, lambda b: b < key)))
-    w = W.partitionBy("_rb").orderBy(order_col).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = x.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in cols])
-    tot = x.groupBy("_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    before = W.orderBy("_rb").rowsBetween(W.unboundedPreceding, -1)
-    off = tot.select("_rb", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    out = local.join(F.broadcast(off), "_rb")
-    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(c + suffix) for c in cols])
+from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.operators.quantiles import running_totals
 
 
 def predict_at(df: DataFrame, prob: str = "probability", threshold: float = 0.5, name: str = "prediction") -> DataFrame:
@@ -99,7 +73,7 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
                                 F.count_if(F.col(label) == 0).alias("neg")))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score (predict 1 when
     score >= threshold), plus the origin with threshold +infinity."""
     sc = score_counts(df, label, score).withColumn("_k", -F.col(score))
@@ -112,7 +86,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", bucket
     return origin.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """One row ``auc``: probability that a random positive outscores a random
     negative, ties counting one half (the trapezoid area of the ROC curve)."""
     sc = score_counts(df, label, score)

@@ -5,8 +5,8 @@ a single row out) used through scalar subqueries (``DataFrame.scalar()``):
 Spark runs the subquery once and ships the value to the tasks, with no
 cross join, and under AQE the subquery reuses the main plan's shuffles.
 
-Exact percentiles come from ``operators.quantiles`` (a distributed sort
-with per-range offsets), never from a single task holding a whole column;
+Exact percentiles come from ``operators.quantiles`` (selection by ranges),
+never from a single task holding a whole column;
 ``exact=False`` uses the sketch-based ``percentile_approx``.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney.functions.scalar import with_scalar, fit_row
+from sparkjourney.operators.quantiles import exact_quantiles, few
 from sparkjourney.session import materialize_observed
 
 DESCRIBE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
@@ -93,7 +94,6 @@ def describe(df: DataFrame, col: str, probs: Sequence[float] = DESCRIBE_PROBS, e
     moments = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                      F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
     if exact:
-        from sparkjourney.operators.quantiles import exact_quantiles
         qt = exact_quantiles(df, col, probs).agg(
             *[F.max(F.when(F.col("q") == F.lit(float(p)), F.col("quantile"))).alias(_pname(p)) for p in probs])
         out = with_scalar(moments, "_q", qt)
@@ -130,16 +130,15 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation matrix in long form: (row_feature, col_feature, corr).
 
-    All pairs are computed in a single aggregation pass (k*k ``corr``
-    aggregates over one scan); a constant column yields NULL/NaN off the
-    diagonal.
+    All pairs come from a single aggregation pass (k(k+1)/2 ``corr``
+    aggregates over one scan); a constant column yields NULL/NaN.
     """
     cols = list(cols)
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}")
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    one = df.agg(*aggs)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    x = [F.col(c).cast("double") for c in cols]
+    one = df.agg(*[F.corr(x[i], x[j]).alias(f"{i}_{j}") for i, j in pairs])
     rows = [F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
-                     F.col(f"`{i}_{j}`").alias("corr"))
+                     F.col(f"`{min(i, j)}_{max(i, j)}`").alias("corr"))
             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return one.select(F.inline(F.array(*rows)))
 
@@ -151,8 +150,9 @@ def box_stats(df: DataFrame, label: str, cols: Sequence[str], whisker: float = 1
     q1/median/q3 (linear interpolation), whiskers at the most extreme values
     within ``whisker * IQR`` of the quartiles, and the count of points beyond.
     Long form: (label, feature, q1, median, q3, lower_whisker, upper_whisker,
-    n_outliers).  Quartiles come from one grouped aggregate; the whiskers
-    from a second grouped aggregate after joining the (tiny) quartile table.
+    n_outliers).  Quartiles are selected by rank (``quantiles.select_ranks``);
+    the whiskers come from a grouped aggregate after a join with the quartile
+    table, which is broadcast while it is small.
     """
     cols = list(cols)
     long = df.select(F.col(label).alias("label"),
@@ -160,7 +160,6 @@ def box_stats(df: DataFrame, label: str, cols: Sequence[str], whisker: float = 1
                                          for c in cols])).alias("kv")) \
         .select("label", "kv.feature", "kv.x").where(F.col("x").isNotNull())
     if exact:
-        from sparkjourney.operators.quantiles import exact_quantiles
         qs = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["label", "feature"])
         q = qs.groupBy("label", "feature").agg(
             *[F.max(F.when(F.col("q") == F.lit(v), F.col("quantile"))).alias(n)
@@ -171,7 +170,7 @@ def box_stats(df: DataFrame, label: str, cols: Sequence[str], whisker: float = 1
              .select("label", "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                      F.col("_q")[2].alias("q3")))
     fence = whisker * (F.col("q3") - F.col("q1"))
-    j = long.join(q, ["label", "feature"])
+    j = long.join(few(q, 5), ["label", "feature"])
     inside_lo = F.col("x") >= F.col("q1") - fence
     inside_hi = F.col("x") <= F.col("q3") + fence
     return (j.groupBy("label", "feature", "q1", "median", "q3")

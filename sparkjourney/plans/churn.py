@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparkjourney.operators.churn import (
-    FEATURES, stratified_split, class_weights, gaussian_nb, train_churn, tune_forest, feature_importance,
+    FEATURES, stratified_split, stratified_split_exact, class_weights, gaussian_nb, train_churn, tune_forest, feature_importance,
     network_loss_history,
 )
 from sparkjourney.operators.metrics import confusion, class_report, roc_points, roc_auc
@@ -60,6 +60,14 @@ def q_stratified_split(spark, d):
     return stratified_split(churn_labels(spark, d)).select("user_id", "churn", "split")
 
 
+@query("stratified_split_exact", f"""
+  WITH f AS (SELECT user_id, churn, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 15)) AS BIGINT) AS h FROM ({SQL_CHURN_FEATURES})),
+  r AS (SELECT *, rank() OVER (PARTITION BY churn ORDER BY h) AS r, COUNT(*) OVER (PARTITION BY churn) AS n FROM f)
+  SELECT user_id, churn, CASE WHEN r <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def q_stratified_split_exact(spark, d):
+    return stratified_split_exact(materialize(churn_labels(spark, d))).select("user_id", "churn", "split")
+
+
 @query("class_weights", f"""
   WITH t AS (SELECT churn, COUNT(*) AS n FROM ({SQL_SPLIT}) WHERE split = 'train' GROUP BY churn)
   SELECT churn, n, round((SELECT SUM(n) FROM t) / ((SELECT COUNT(*) FROM t) * n), 6) AS weight FROM t""")
