@@ -1,7 +1,10 @@
 """Customer segments: scaling, PCA, K-means sweep, assignment, profiles, actions.
 
-The model fits are Spark ML estimators on the per-user RFM table (one row per
-user, never per event).  Cluster ids from K-means are arbitrary, so they are
+The fits run on the per-user RFM table (one row per user, never per event).  PCA
+comes from one aggregate of moments: a covariance matrix of d x d numbers is all
+that reaches the driver, and the projection is a column expression.  K-means
+advances all numbers of clusters and starts together (``operators.kmeans``).
+Cluster ids from K-means are arbitrary, so they are
 re-ranked deterministically (largest mean monetary first) before business
 names are attached.  Assignment to known centres is a pure column expression
 (squared distance to each centre, arg-min), so scoring needs no join and no
@@ -11,11 +14,16 @@ Python.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparkjourney import schema as S
-from sparkjourney.functions.scalar import lookup
+from sparkjourney.functions.scalar import fit_row, lookup
+from sparkjourney.operators.kmeans import kmeans_sweep
+from sparkjourney.operators.stats import standardize
+from sparkjourney.session import materialize
 
 RFM_COLS = ("recency", "frequency", "monetary")
 
@@ -71,65 +79,54 @@ def rerank_clusters(seg: DataFrame, cluster: str = "prediction", by: str = "mone
     return seg.join(F.broadcast(ranked), cluster).drop(cluster)
 
 
-def scaled_features(rfm_df: DataFrame, cols: Sequence[str] = RFM_COLS, pca_k: int | None = 3):
-    """Pipeline: assemble -> standardize (population std) -> optional PCA.
-
-    Returns (pipeline_model, transformed frame with a ``features`` vector).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler, PCA, StandardScaler
-    from sparkjourney.operators.stats import standardize
-
-    from sparkjourney.session import materialize
-
+class PCA(NamedTuple):
+    """``components`` (one row each, largest variance first, the largest weight positive),
+    the ``means`` taken off first, and each component's ``share`` of the variance."""
+    components: np.ndarray
+    means: np.ndarray
+    share: np.ndarray
+
+
+def fit_pca(df: DataFrame, cols: Sequence[str], k: int | None = None) -> PCA:
+    """PCA from one aggregate: means, and covariances of each pair of columns."""
+    x = [F.col(c).cast("double") for c in cols]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = fit_row(df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]))
+    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(x))] for i in range(len(x))], float)
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values, kind="stable")[:k]
+    components = vectors.T[order]
+    components = components * np.sign(components[np.arange(len(order)), np.abs(components).argmax(1)])[:, None]
+    total = values.sum()
+    share = np.maximum(values[order], 0) / total if total > 0 else np.zeros(len(order))
+    return PCA(components, np.array([row[f"m{i}"] or 0.0 for i in range(len(x))]), share)
+
+
+def project(df: DataFrame, cols: Sequence[str], pca: PCA, prefix: str = "pc") -> DataFrame:
+    """Add ``pc1``, ``pc2``...: the columns in the components' directions."""
+    def component(weights):
+        out = F.lit(0.0)
+        for c, m, w in zip(cols, pca.means, weights):
+            out = out + (F.col(c).cast("double") - F.lit(float(m))) * F.lit(float(w))
+        return out
+    return df.withColumns({f"{prefix}{i + 1}": component(w) for i, w in enumerate(pca.components)})
+
+
+def scaled_features(rfm_df: DataFrame, cols: Sequence[str] = RFM_COLS, pca_k: int | None = 3) -> tuple[PCA | None, DataFrame, list[str]]:
+    """Standardize (population std), then PCA: (pca, frame, feature columns).
+    Without ``pca_k`` the features are the z-scores."""
     # the scaler and the PCA fit both read it: what lies below runs once
     z = standardize(materialize(rfm_df), list(cols), fit="row")
-    stages = [VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol="zvec")]
-    if pca_k:
-        stages.append(PCA(k=pca_k, inputCol="zvec", outputCol="features"))
-    else:
-        stages.append(StandardScaler(inputCol="zvec", outputCol="features", withMean=False, withStd=False))
-    model = Pipeline(stages=stages).fit(z)
-    return model, model.transform(z)
-
-
-def pca_variance(model) -> list[tuple[int, float, float]]:
-    """(component, explained variance ratio, cumulative ratio) of a fitted PCA stage."""
-    pca = model.stages[-1]
-    out, cum = [], 0.0
-    for i, v in enumerate(pca.explainedVariance.toArray()):
-        cum += float(v)
-        out.append((i + 1, float(v), cum))
-    return out
-
-
-def kmeans_sweep(features: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42,
-                 max_iter: int = 300, parallelism: int = 4):
-    """Fit K-means for each k (best of ``n_init`` seeds by training cost).
-
-    Returns (rows, models): rows are (k, inertia, silhouette) with the
-    silhouette from ``ClusteringEvaluator`` (squared Euclidean, linear time).
-    The fits are independent Spark jobs and are submitted ``parallelism`` at
-    a time (as ``CrossValidator(parallelism=...)`` does); each is seeded, so
-    the result does not depend on the order they finish in.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    zc = [c + "_z" for c in cols]
+    if not pca_k:
+        return None, z, zc
+    pca = fit_pca(z, zc, pca_k)
+    return pca, project(z, zc, pca), [f"pc{i + 1}" for i in range(len(pca.components))]
 
-    def fit_k(k):
-        ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-        best = None
-        for i in range(n_init):
-            m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(features)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        sil = ev.evaluate(best.transform(features))
-        return (int(k), float(best.summary.trainingCost), float(sil)), best
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = list(pool.map(fit_k, list(ks)))
-    return [r for r, _ in done], {r[0]: m for r, m in done}
+def pca_variance(pca: PCA) -> list[tuple[int, float, float]]:
+    """(component, explained variance ratio, cumulative ratio)."""
+    return [(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(pca.share, np.cumsum(pca.share)))]
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:
@@ -143,12 +140,9 @@ def segment(rfm_df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 1
 
     Returns (assignments(user, rfm..., cluster), sweep rows, chosen k).
     """
-    from sparkjourney.session import materialize
-
-    _, feats = scaled_features(rfm_df, RFM_COLS, pca_k)
-    feats = materialize(feats)  # reused by every fit of the sweep
-    rows, models = kmeans_sweep(feats, ks, n_init=n_init, seed=seed)
+    _, feats, cols = scaled_features(rfm_df, RFM_COLS, pca_k)
+    feats = materialize(feats)  # read by every scan of the sweep
+    rows, models = kmeans_sweep(feats, cols, S.USER, ks, n_init=n_init, seed=seed)
     k = sorted(rows, key=lambda r: (-r[2], r[0]))[0][0]
-    pred = models[k].transform(feats)
-    seg = rerank_clusters(pred, "prediction", "monetary", "cluster")
+    seg = rerank_clusters(nearest_centroid(feats, cols, models[k].tolist(), "prediction"), "prediction", "monetary", "cluster")
     return seg.select(S.USER, *RFM_COLS, "cluster"), rows, k

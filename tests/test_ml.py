@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkjourney.operators.churn import gaussian_nb, stratified_split, train_churn, binary_label
-from sparkjourney.operators.segments import kmeans_sweep, scaled_features, segment
+from sparkjourney.operators.kmeans import kmeans_sweep, lloyd, seed_centres, silhouettes
+from sparkjourney.operators.segments import fit_pca, project, segment
 from sparkjourney.sources import with_defaults, require_columns
 
 FEATS = ["frequency", "monetary", "session_duration", "event_count", "product_count"]
@@ -64,6 +65,73 @@ def test_kmeans_finds_three_blobs(spark):
     assert seg.count() == len(pdf)
 
 
+def _blobs(spark, seed, n=90):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([c + rng.normal(0, 0.7, (n // 3, 2)) for c in ([0, 0], [6, 1], [2, 7])])
+    pdf = pd.DataFrame(x, columns=["a", "b"])
+    pdf["user_id"] = np.arange(len(x), dtype="int64")
+    return x, spark.createDataFrame(pdf).repartition(5)
+
+
+def _far(x, c):
+    return ((x[:, None] - c[None]) ** 2).sum(2)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_models_move_as_one_alone_does(spark, seed):
+    x, df = _blobs(spark, seed)
+    rng = np.random.default_rng(seed)
+    models = {(k, s): x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 5) for s in range(3)}
+    models[5, 0] = np.vstack([models[5, 0][:4], [[99.0, 99.0]]])  # a centre without rows stays
+    got, inertia = lloyd(df, ["a", "b"], models, 4, 0.0)
+    sil = silhouettes(df, ["a", "b"], got)
+    for m, c in models.items():
+        for _ in range(4):
+            near = _far(x, c).argmin(1)
+            c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+        assert np.allclose(got[m], c)
+        far = _far(x, c)
+        near = far.argmin(1)
+        assert np.isclose(inertia[m], far.min(1).sum())
+        pair, each = _far(x, x), []
+        for i in range(len(x)):
+            own = near == near[i]
+            a = pair[i][own].sum() / max(own.sum() - 1, 1)
+            b = min([pair[i][near == j].mean() for j in range(len(c)) if j != near[i] and (near == j).any()])
+            each.append((b - a) / max(a, b) if own.sum() > 1 else 0.0)
+        assert np.isclose(sil[m], np.mean(each))
+
+
+def test_sweep_is_a_few_scans_and_ignores_partitions(spark):
+    x, df = _blobs(spark, 3)
+    rows, models = kmeans_sweep(df, ["a", "b"], "user_id", range(2, 6), n_init=4)
+    again, _ = kmeans_sweep(df.coalesce(1), ["a", "b"], "user_id", range(2, 6), n_init=4)
+    assert np.allclose(rows, again)
+    assert max(rows, key=lambda r: r[2])[0] == 3
+    assert [r[1] for r in rows] == sorted((r[1] for r in rows), reverse=True)
+    assert np.allclose(sorted(models[3].tolist()), sorted([x[:30].mean(0).tolist(), x[30:60].mean(0).tolist(), x[60:].mean(0).tolist()]))
+
+
+def test_fewer_rows_than_centres_and_missing_values(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 5.0), (4, None), (5, float("nan"))], "user_id long, a double")
+    assert [len(c) for c in seed_centres(df, ["a"], "user_id", 4, 3)] == [2, 2, 2]
+    rows, models = kmeans_sweep(df, ["a"], "user_id", (2, 4), n_init=2)
+    assert sorted(models[4].tolist()) == [[0.0], [5.0]] and rows[0][1] == 0
+    assert kmeans_sweep(df.where("a > 99"), ["a"], "user_id", (2,)) == ([], {})
+
+
+def test_pca_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (200, 4)) @ rng.normal(0, 1, (4, 4)) + 3
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")))
+    pca = fit_pca(df, list("abcd"), 2)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(pca.share, (s ** 2 / (s ** 2).sum())[:2])
+    assert np.allclose(np.abs(pca.components @ vt[:2].T), np.eye(2), atol=1e-8)
+    got = project(df, list("abcd"), pca).select("pc1", "pc2").toPandas().to_numpy()
+    assert np.allclose(got, (x - x.mean(0)) @ pca.components.T)
+
+
 def test_defaults_and_required_columns(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert with_defaults(df, ["a", "b"], 0).first().asDict() == {"a": 1, "b": 0}
