@@ -5,7 +5,8 @@ nodes of a level become one of the next; a built level is stored as parent-linke
 rows: a node, its parent, and what stands left and right of it in its run.  A recursive
 query then climbs from every run of leaves to the root: each step appends the siblings
 to the proof and folds the hash that every one of the run's leaves would give by itself.
-The 16 leaves of a run share the row and all siblings above it, not their hashes."""
+The 16 leaves of a run share the row and all siblings above it; their own hashes are
+folded one by one, where they differ."""
 
 from __future__ import annotations
 
@@ -26,8 +27,13 @@ TOP = -1
 NODE = ["tree", "level", "idx"]
 
 
-def _hash(column):
-    return F.sha2(column.cast("binary"), 256)
+def _hash(digests):
+    """H of joined digests.  Digests are 32 bytes everywhere; their hex text is what is hashed and shown."""
+    return F.unhex(F.sha2(_text(digests).cast("binary"), 256))
+
+
+def _text(digests):
+    return F.lower(F.hex(digests))
 
 
 def _field(column):
@@ -39,7 +45,8 @@ def _field(column):
 def leaf_rows(docs: DataFrame) -> DataFrame:
     """(source, doc_id, leaf, tampered): the tampered leaf is null where nothing is tampered with."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), "text")
-    leaf = lambda text: _hash(F.concat(*[_field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], _field(text)))
+    head = [_field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = lambda text: F.unhex(F.sha2(F.concat(*head, _field(text)).cast("binary"), 256))
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return docs.select("source", "doc_id", leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(ascii_lower(F.col("text")))).alias("tampered"))
 
@@ -63,7 +70,7 @@ def starts(rows: DataFrame, group: list[str]) -> DataFrame:
 def checked(small: DataFrame) -> DataFrame:
     """The table, to be broadcast if it is small enough."""
     small = cut(small)
-    strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in small.dtypes if kind == "string"]
+    strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
     size = small.agg(sum(strings, F.count("*") * 8 * len(small.columns))).first()[0]
     return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
@@ -83,14 +90,27 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def _joined(members, field: str, first=None, n=None):
-    """The members' ``field``, joined without anything between; those from ``first`` (1 up), n of them."""
-    return F.array_join(F.transform(members if first is None else F.slice(members, first, n), lambda x: x[field]), "")
+    """The members' digests in ``field``, joined; those from ``first`` (1 up), n of them."""
+    some = members if first is None else F.slice(members, first, n)
+    return F.aggregate(some, F.lit(b""), lambda joined, x: F.concat(joined, x[field]))
 
 
 def leaf_runs(leaves: DataFrame) -> DataFrame:
-    """(tree, n_trees, n, run, members): every 16 consecutive leaves of a source."""
+    """(tree, n_trees, n, run, members, hashes, which): every 16 consecutive leaves of a
+    source, and the hashes that its leaves give, each by itself, at the node above the
+    run (a lone leaf of a source is a node itself).  Equal hashes, as those of all leaves
+    not tampered with, are listed once; ``which`` is a leaf's hash, from 1."""
     member = F.struct("idx", "doc_id", "leaf", "tampered")
-    return leaves.groupBy("tree", "n_trees", "n", F.expr(f"idx div {RUN}").alias("run")).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    runs = leaves.groupBy("tree", "n_trees", "n", F.expr(f"idx div {RUN}").alias("run")).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    members, lone = F.col("members"), F.col("n") == 1
+
+    def alone(x, j):
+        leaf = F.coalesce(x["tampered"], x["leaf"])
+        return F.when(lone, leaf).otherwise(_hash(F.concat(_joined(members, "leaf", F.lit(1), j), leaf, _joined(members, "leaf", j + 2, F.lit(RUN)))))
+
+    listed = F.transform(F.array(F.transform(members, alone)), lambda each: F.struct(
+        F.array_distinct(each).alias("hashes"), F.transform(each, lambda h: F.array_position(F.array_distinct(each), h)).alias("which")))[0]
+    return runs.withColumn("_listed", listed).select("*", "_listed.*").drop("_listed")
 
 
 def level_up(nodes: DataFrame, top: bool) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +142,7 @@ def climb(anchor: DataFrame, nodes: DataFrame) -> DataFrame:
         WITH RECURSIVE climb(run_tree, run, spread, folded, proof, tree, level, idx, copy) AS (
           SELECT run_tree, run, spread, folded, proof, tree, level, idx, copy FROM anchor_{name}
           UNION ALL
-          SELECT c.run_tree, c.run, c.spread, transform(c.folded, x -> sha2(concat(n.left, x, n.right), 256)), concat(c.proof, n.left, n.right),
+          SELECT c.run_tree, c.run, c.spread, transform(c.folded, x -> unhex(sha2(lower(hex(concat(n.left, x, n.right))), 256))), concat(c.proof, n.left, n.right),
                  n.up_tree, n.up_level, n.up_idx, pmod(c.spread, n.up_copies)
           FROM climb c JOIN nodes_{name} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx AND c.copy = n.copy)
         SELECT run_tree, run, folded, proof, tree, level, idx FROM climb""")
@@ -184,7 +204,8 @@ def manifest(docs: DataFrame) -> DataFrame:
         linked, level = level_up(level, k == 0)
         rows.append(linked)
     root = level.first()
-    climbed = _anchor(runs)
+    climbed = runs.select(F.col("tree").alias("run_tree"), "run", F.xxhash64("tree", "run").alias("spread"), F.col("hashes").alias("folded"),
+                          F.lit(b"").alias("proof"), "tree", F.when(lone, 0).otherwise(1).alias("level"), F.col("run").alias("idx"), F.lit(0).cast("long").alias("copy"))
     if rows:
         nodes = rows[0]
         for more in rows[1:]:
@@ -192,30 +213,18 @@ def manifest(docs: DataFrame) -> DataFrame:
         limit = spark.conf.get(ROW_LIMIT, None)
         spark.conf.set(ROW_LIMIT, "-1")
         try:
-            climbed = cut(climb(climbed, cut(nodes)).where((F.col("tree") == root["tree"]) & (F.col("level") == root["level"]) & (F.col("idx") == root["idx"])))
+            climbed = cut(climb(climbed, checked(nodes)).where((F.col("tree") == root["tree"]) & (F.col("level") == root["level"]) & (F.col("idx") == root["idx"])))
         finally:
             spark.conf.unset(ROW_LIMIT) if limit is None else spark.conf.set(ROW_LIMIT, limit)
     own = checked(subroots.select("tree", F.col("digest").alias("subroot")))
-    held = runs.select("tree", "run", "members").join(own, "tree")
+    held = runs.select("tree", "run", "members", "which").join(own, "tree")
     up = climbed.select(F.col("run_tree").alias("tree"), "run", "folded", "proof")
-    each = held.join(up, ["tree", "run"]).select("subroot", "folded", "proof", "members", F.posexplode("members").alias("j", "m"))
+    each = held.join(up, ["tree", "run"]).select("subroot", "folded", "proof", "members", "which", F.posexplode("members").alias("j", "m"))
     siblings = F.concat(_joined(members, "leaf", F.lit(1), F.col("j")), _joined(members, "leaf", F.col("j") + 2, F.lit(RUN)), F.col("proof"))
-    folded = F.element_at("folded", F.col("j") + 1)
-    return each.select(F.col("m")["doc_id"].alias("doc_id"), F.col("m")["leaf"].alias("leaf"), "subroot", F.lit(root["digest"]).alias("root"),
-                       _hash(siblings).alias("proof_sha256"), folded.alias("folded_root"), (folded == root["digest"]).alias("verified"))
-
-
-def _anchor(runs: DataFrame) -> DataFrame:
-    """Every run of leaves at the node above it, with the hash that each of its leaves gives
-    there (a lone leaf of a source is a node itself)."""
-    members, lone = F.col("members"), F.col("n") == 1
-
-    def alone(x, j):
-        leaf = F.coalesce(x["tampered"], x["leaf"])
-        return F.when(lone, leaf).otherwise(_hash(F.concat(_joined(members, "leaf", F.lit(1), j), leaf, _joined(members, "leaf", j + 2, F.lit(RUN)))))
-
-    return runs.select(F.col("tree").alias("run_tree"), "run", F.xxhash64("tree", "run").alias("spread"), F.transform(members, alone).alias("folded"),
-                       F.lit("").alias("proof"), "tree", F.when(lone, 0).otherwise(1).alias("level"), F.col("run").alias("idx"), F.lit(0).cast("long").alias("copy"))
+    folded = F.element_at("folded", F.element_at("which", F.col("j") + 1).cast("int"))
+    top = F.lit(bytes(root["digest"]))
+    return each.select(F.col("m")["doc_id"].alias("doc_id"), _text(F.col("m")["leaf"]).alias("leaf"), _text(F.col("subroot")).alias("subroot"), _text(top).alias("root"),
+                       _text(_hash(siblings)).alias("proof_sha256"), _text(folded).alias("folded_root"), (folded == top).alias("verified"))
 
 
 def manifest_sql() -> str:
