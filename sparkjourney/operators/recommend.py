@@ -125,28 +125,16 @@ def svd_neighbours(counts: DataFrame, k: int = 5, factors: int = 20, seed: Colum
                    user: str = S.USER, product: str = S.PRODUCT) -> DataFrame:
     """(seed_user, neighbour, similarity, rank) by cosine of truncated-SVD user factors.
 
-    The purchase counts become a distributed ``CoordinateMatrix`` (user x
-    product index); ``computeSVD`` keeps only O(products x factors) numbers on
-    the driver and leaves U distributed.  Factors are U * sigma (the
-    projection X V); the seed's factor row (``factors`` numbers) is fetched
-    and every other user's cosine with it is a column expression.
+    Factors are U * sigma (``svd.truncated_svd`` of the sparse counts); the seed's
+    factor row (``factors`` numbers) is fetched and every other user's cosine with
+    it is a column expression.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
     from sparkjourney.functions.scalar import fit_row
+    from sparkjourney.operators.svd import truncated_svd
+    from sparkjourney.session import materialize
 
-    spark = counts.sparkSession
     seed = default_seed(counts, user) if seed is None else seed
-    # dense 0..p-1 product index from the distinct products (distributed zipWithIndex)
-    prods = counts.select(product).distinct()
-    idx = spark.createDataFrame(prods.rdd.map(lambda r: r[0]).zipWithIndex(), [product, "_pidx"])
-    ent = counts.join(idx, product).select(user, "_pidx", F.col("n").cast("double"))
-    mat = CoordinateMatrix(ent.rdd.map(lambda r: MatrixEntry(int(r[0]), int(r[1]), float(r[2]))))
-    n_prod = idx.count()
-    kk = max(1, min(factors, n_prod))
-    svd = mat.toIndexedRowMatrix().computeSVD(kk, computeU=True)
-    sigma = [float(v) for v in svd.s.toArray()]
-    u = svd.U.rows.map(lambda r: (int(r.index), [float(x) * s for x, s in zip(r.vector.toArray(), sigma)]))
-    fac = spark.createDataFrame(u, f"{user} long, f array<double>")
+    fac = materialize(truncated_svd(counts, user, product, "n", factors)[0])
     sv = fit_row(fac.where(F.col(user) == seed).select(F.col("f").alias("_s")))["_s"]
     svec = F.array(*[F.lit(float(x)) for x in sv])
     dot = F.aggregate(F.zip_with("f", svec, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)

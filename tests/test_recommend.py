@@ -2,11 +2,14 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkjourney.operators.recommend import (
     purchase_counts, user_neighbours, collab_scores, cooccurrence_scores, hybrid_scores,
+    svd_neighbours,
 )
+from sparkjourney.operators.svd import truncated_svd
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, event_type string, product_id string"
 
@@ -90,3 +93,32 @@ def test_recommend_both_similarities(spark):
         out = recommend(ev, similarity=sim, n=10).collect()
         assert 0 < len(out) <= 10
         assert all(r.hybrid_score == r.collab_score + r.cooccur_score for r in out)
+
+
+@pytest.mark.parametrize("shape,factors", [((60, 25), 40), ((200, 60), 5), ((7, 3), 2)])
+def test_svd_equals_dense(spark, shape, factors):
+    rng = np.random.default_rng(sum(shape))
+    a = rng.poisson(0.4, shape) * rng.integers(1, 6, shape)
+    a[:, 0] += 1
+    a[3] = a[2]  # rank one less
+    t = spark.createDataFrame([(i, f"p{j}", int(a[i, j])) for i in range(shape[0]) for j in range(shape[1]) if a[i, j]], "u long, p string, n long")
+    f, sigma = truncated_svd(t, "u", "p", "n", factors)
+    u, s, _ = np.linalg.svd(a.astype(float), full_matrices=False)
+    k = min(factors, int((s > 1e-6 * s[0]).sum()))
+    assert np.allclose(sigma, s[:k], rtol=1e-6)
+    got = np.array([x for _, x in sorted((r.u, r.f) for r in f.collect())])
+    want = u[:, :k] * s[:k]
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-4 * s[0])
+
+
+def test_svd_neighbours_equal_dense(spark):
+    from sparkjourney.plans import tables as t
+    from conftest import SMOKE
+    counts = purchase_counts(t.events(spark, SMOKE))
+    p = counts.toPandas().pivot(index="user_id", columns="product_id", values="n").fillna(0)
+    u, s, _ = np.linalg.svd(p.to_numpy(), full_matrices=False)
+    f = u[:, :8] * s[:8]
+    sim = f[1:] @ f[0] / np.linalg.norm(f[1:], axis=1) / np.linalg.norm(f[0])
+    got = svd_neighbours(counts, 5, 8).orderBy("rank").collect()
+    assert np.allclose([r.similarity for r in got], np.sort(sim)[::-1][:5], atol=1e-4)
+    assert [r.neighbour for r in got] == [int(p.index[1:][i]) for i in np.argsort(-sim)[:5]]
