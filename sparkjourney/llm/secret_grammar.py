@@ -11,6 +11,7 @@ words, at least as well as all but the worst labelled ones, adds ``learned`` spa
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -26,6 +27,8 @@ from sparkjourney.llm.common import Memo, by_batch, cut, shipped, texts
 
 #: Bound of the labelled sample, credentials a kind.
 PER_KIND = 300
+#: Characters of a credential that the automata are learned from.
+FIT_CHARS = 96
 #: The base kinds, in the order of the result, their patterns, and the kind the method adds.
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -63,14 +66,17 @@ def candidates(text: str, base) -> list[tuple[int, int, str]]:
 
 
 class Automaton:
-    """Deterministic probabilistic automaton inferred from strings."""
+    """Deterministic probabilistic automaton inferred from strings.
 
-    def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.seen, self.ends, self.next = [0], [0], [{}]
+    It is learned from the first ``most`` characters of each (a cut string has no end
+    there), so the sample's size bounds the tree; what is scored is never cut."""
+
+    def __init__(self, strings: list[str], alpha: float = 0.05, most: int = FIT_CHARS):
+        self.seen, self.ends, self.next, self.passed = [0], [0], [{}], Counter()
         for s in strings:
             at = 0
             self.seen[0] += 1
-            for c in s:
+            for c in s[:most]:
                 to = self.next[at].get(c)
                 if to is None:
                     to = self.next[at][c] = len(self.seen)
@@ -78,23 +84,29 @@ class Automaton:
                     self.ends.append(0)
                     self.next.append({})
                 self.seen[to] += 1
+                self.passed[at, c] += 1
                 at = to
-            self.ends[at] += 1
+            self.ends[at] += len(s) <= most
         self.bound = math.sqrt(0.5 * math.log(2.0 / alpha))
-        red, blue = [0], [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            source, c = blue.pop(0)
-            state = self.next[source][c]
-            if state in red:
+        # kept states and their order; what a transition of a kept state leads to waits for its turn
+        kept, waiting = {0: 0}, [(0, c) for c in sorted(self.next[0])]
+        order = [0]
+        while waiting:
+            place, c = heapq.heappop(waiting)
+            state = self.next[order[place]][c]
+            if state in kept:
                 continue
-            for r in red:
-                if self._compatible(r, state):
-                    self.next[source][c] = r
-                    self._fold(r, state)
-                    break
+            same = next((r for r in order if self._compatible(r, state)), None)
+            if same is None:
+                kept[state] = len(order)
+                order.append(state)
+                for x in self.next[state]:
+                    heapq.heappush(waiting, (kept[state], x))
             else:
-                red.append(state)
-            blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in red]
+                self.next[order[place]][c] = same
+                for r, x in self._fold(same, state):
+                    if r in kept:
+                        heapq.heappush(waiting, (kept[r], x))
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -105,6 +117,8 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             na, nb = self.seen[a], self.seen[b]
+            if nb <= self.bound ** 2:  # too few strings, here and below, to differ from anything
+                continue
             if self._differ(self.ends[a], na, self.ends[b], nb):
                 return False
             for c in {*self.next[a], *self.next[b]}:
@@ -112,37 +126,29 @@ class Automaton:
                 if self._differ(self._through(a, c), na, self._through(b, c), nb):
                     return False
                 if x is not None and y is not None and x != y:
-                    if len(todo) < 10_000:
-                        todo.append((x, y))
+                    todo.append((x, y))
         return True
 
     def _through(self, state: int, c: str) -> int:
-        to = self.next[state].get(c)
-        if to is None:
-            return 0
-        return self.passed.get((state, c), self.seen[to])
-
-    @property
-    def passed(self) -> dict:
-        """Strings that took a transition, where folding made that differ from the target's count."""
-        return self.__dict__.setdefault("_passed", {})
-
-    def _fold(self, into: int, tree: int) -> None:
-        """Adds the subtree's counts to the state it was merged with."""
-        todo = [(into, tree)]
+        """Strings that took a transition."""
+        return self.passed.get((state, c), 0)
+
+    def _fold(self, into: int, tree: int) -> list[tuple[int, str]]:
+        """Adds the subtree's counts to the state it was merged with; gives the new transitions."""
+        todo, new = [(into, tree)], []
         while todo:
             a, b = todo.pop()
             self.seen[a] += self.seen[b]
             self.ends[a] += self.ends[b]
             for c, y in self.next[b].items():
                 x = self.next[a].get(c)
-                count = self._through(b, c)
+                self.passed[a, c] += self.passed[b, c]
                 if x is None:
                     self.next[a][c] = y
-                    self.passed[a, c] = count
+                    new.append((a, c))
                 else:
-                    self.passed[a, c] = self._through(a, c) + count
                     todo.append((x, y))
+        return new
 
     def score(self, text: str) -> float:
         """Log likelihood of the text's characters; a character never seen in a state
