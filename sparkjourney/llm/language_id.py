@@ -9,12 +9,11 @@ documents of each language with the smallest id hashes."""
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkjourney.llm.common import by_batch, shipped
 
@@ -27,13 +26,16 @@ FAMILIES = {
     "slavic": "ru uk be pl cs sk sl hr sr bs mk bg", "baltic": "lt lv", "celtic": "ga gd cy br", "uralic": "fi et hu",
     "indic": "hi ur bn pa gu mr ne", "turkic": "tr az kk ky uz tk", "semitic": "ar he am mt", "dravidian": "ta te kn ml",
 }
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang in codes.split()), lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x10000)])
 
@@ -113,15 +115,13 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """The model of the labelled documents that are not held out, from the
+    ``per_language`` ones of each language with the smallest id hashes."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         "lang is not null and text is not null").where(~held_out())
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())  # one row a language
-    sample = None
-    for lang in langs:
-        part = labelled.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
-        return Model(np.zeros((0, DIMENSIONS), np.float32), [])
+    # one pass for all languages; the limit is kept inside each task before rows move
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
 
     def vectors(batches):
         letter = _letters()
@@ -130,6 +130,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                                 "x": [features(t, letter).astype(np.float16).tobytes() for t in b["text"]]})
 
     ids = [r["doc_id"] for r in sample.collect()]  # bounded: per_language times the languages
+    if not ids:
+        return Model(np.zeros((0, DIMENSIONS), np.float32), [])
     rows = (labelled.where(F.col("doc_id").isin(ids)).mapInPandas(vectors, "doc_id long, lang string, x binary")
             .orderBy("doc_id", "lang").toPandas())
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
@@ -146,7 +148,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches):
         letter, fitted = _letters(), load()
         for b in batches:
-            got = [fitted.predict(features(t, letter)) if t is not None and _LETTER.search(t) else ("und", 0.0) for t in b["text"]]
+            got = [fitted.predict(features(t, letter)) if has_letter(t) else ("und", 0.0) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"],
                                 "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
@@ -156,14 +158,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that have a language (not ``und``), all columns; ``lang``
-    becomes the prediction, also where a label contradicts it."""
+    becomes the prediction, also where a label contradicts it.  If nothing could be
+    learned, no language is known and all rows stay as they are."""
+    if not model.members:
+        return docs
     load = shipped(docs.sparkSession, model)
 
     def change():
         letter, fitted = _letters(), load()
 
         def step(batch, texts):
-            got = [fitted.predict(features(t, letter))[0] if t is not None and _LETTER.search(t) else "und" for t in texts]
+            got = [fitted.predict(features(t, letter))[0] if has_letter(t) else "und" for t in texts]
             at = batch.schema.get_field_index("lang")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(got, batch.schema.field(at).type))
             return batch.filter(pa.array([g != "und" for g in got], pa.bool_()))
