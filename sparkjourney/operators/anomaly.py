@@ -16,9 +16,10 @@ Isolation Forest (not in Spark ML) is built from Spark primitives:
 2. fitting: ``groupBy(tree).applyInPandas`` keeps the ``sample`` rows with
    the smallest hashes and grows one small tree with NumPy.  Each group
    holds about twice ``sample`` rows whatever the table size;
-3. scoring: the forest (trees x at most 2*sample-1 nodes: a fixed bound) is
-   shipped to the tasks and ``mapInPandas`` computes path lengths for whole
-   Arrow batches at once;
+3. scoring: the forest is a node table (trees x at most 2*sample-1 rows: a fixed
+   bound) that is broadcast.  A row stands at the root of every tree and moves down
+   by one broadcast join a level; its paths are added up inside the task, so one
+   row per scored row is shuffled and no Python runs (``score_forest``);
 4. the cut-off is the exact ``1 - contamination`` quantile of the scores
    (``exact_quantiles``, a distributed sort), through a scalar subquery.
 """
@@ -30,10 +31,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney import schema as S
-from sparkjourney.functions.scalar import with_scalar
+from sparkjourney.functions.scalar import fit_row, with_scalar
 from sparkjourney.operators.quantiles import exact_quantiles
 
 
@@ -173,50 +174,64 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str = S.USER, tree
                              "left": np.asarray(left, dtype="int32"), "right": np.asarray(right, dtype="int32"),
                              "size": np.asarray(size, dtype="int32")})
 
-    nodes = picked.groupBy("tree").applyInPandas(fit, _tree_nodes_schema())
-    # the forest is at most trees * (2*sample - 1) rows: a fixed bound
-    forest = nodes.toPandas().sort_values(["tree", "node"])
-    psi = float(min(sample, max(1, int(forest.loc[forest["node"] == 0, "size"].max()))))
-    packed = []
-    for _, g in forest.groupby("tree"):
-        packed.append(tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size")))
-    norm = float(_c([psi])[0]) or 1.0
-
-    def score(batches):
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            total = np.zeros(len(pdf))
-            for feat, thr, left, right, size in packed:
-                idx = np.zeros(len(pdf), dtype=np.int64)
-                depth = np.zeros(len(pdf))
-                for _ in range(max_depth + 1):
-                    f = feat[idx]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[np.arange(len(pdf)), np.where(inner, f, 0)] < thr[idx]
-                    nxt = np.where(go_left, left[idx], right[idx])
-                    idx = np.where(inner, nxt, idx)
-                    depth += inner
-                total += depth + _c(size[idx])
-            out = pdf.copy()
-            out["anomaly_score"] = np.power(2.0, -(total / len(packed)) / norm)
-            yield out
-
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-    # scored once: the cut-off and the flags both read the checkpoint
     from sparkjourney.session import materialize
-    scored = materialize(df.mapInPandas(score, schema))
-    cut = exact_quantiles(scored, "anomaly_score", [1.0 - contamination]).select("quantile").scalar()
-    return scored.withColumn("anomaly", F.when(F.col("anomaly_score") > cut, F.lit(-1)).otherwise(F.lit(1)))
+    nodes = materialize(picked.groupBy("tree").applyInPandas(fit, _tree_nodes_schema()))
+    # scored once: the cut-off and the flags both read the checkpoint
+    return flag_anomalies(materialize(score_forest(df, cols, nodes, sample)), contamination)
+
+
+def score_forest(df: DataFrame, cols: Sequence[str], nodes: DataFrame, sample: int, name: str = "anomaly_score") -> DataFrame:
+    """Add the anomaly score 2^(-mean path / c(sample)) of a forest given as a node
+    table: (tree, node, feature or -1, threshold, left, right, size), a root being node 0.
+    A path is a row's depth at its leaf plus the expected path of a search in the leaf.
+
+    ``sample`` is the number of rows a tree was grown from (at most).  Rows are told
+    apart by their place, so repeated rows stay."""
+    shape = fit_row(nodes.agg(F.array_sort(F.collect_set("tree")).alias("trees"), F.max(F.when(F.col("node") == 0, F.col("size"))).alias("root")))
+    norm = float(_c([float(min(sample, max(1, shape["root"] or 1)))])[0]) or 1.0
+    n = F.col("size").cast("double")
+    rest = F.when(n > 2, F.lit(2.0) * (F.log(n - 1) + F.lit(_EULER)) - F.lit(2.0) * (n - 1) / n).when(n == 2, F.lit(1.0)).otherwise(F.lit(0.0))
+    table = F.broadcast(nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("feature").alias("_f"), F.col("threshold").alias("_cut"),
+                                     F.col("left").alias("_low"), F.col("right").alias("_high"), rest.alias("_rest")))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tree", F.explode(F.array(*[F.lit(t) for t in shape["trees"]])))
+    rows = rows.withColumn("_node", F.lit(0)).withColumn("_depth", F.lit(0))
+    value = F.lit(None).cast("double")
+    for i, c in enumerate(cols):
+        value = F.when(F.col("_f") == i, F.col(c).cast("double")).otherwise(value)
+    levels = int(math.ceil(math.log2(max(sample, 2))))
+    own = rows.columns
+    for level in range(levels + 1):
+        at = rows.join(table, (F.col("_tree") == F.col("_t")) & (F.col("_node") == F.col("_n")))
+        if level == levels:
+            break
+        inner = F.col("_f") >= 0
+        down = F.when(value < F.col("_cut"), F.col("_low")).otherwise(F.col("_high"))
+        rows = (at.withColumn("_node", F.when(inner, down).otherwise(F.col("_node")))
+                .withColumn("_depth", F.col("_depth") + inner.cast("int"))).select(*own)
+    total = at.groupBy("_row").agg(F.any_value(F.struct(*df.columns)).alias("_of"), F.sum(F.col("_depth") + F.col("_rest")).alias("_path"))
+    return total.select("_of.*", F.pow(F.lit(2.0), -(F.col("_path") / F.lit(float(len(shape["trees"])))) / F.lit(norm)).alias(name))
+
+
+def flag_anomalies(scored: DataFrame, contamination: float, score: str = "anomaly_score") -> DataFrame:
+    """Add ``anomaly``: -1 where the score is above its exact 1 - ``contamination`` quantile, else 1."""
+    cut = exact_quantiles(scored, score, [1.0 - contamination]).select("quantile").scalar()
+    return scored.withColumn("anomaly", F.when(F.col(score) > cut, F.lit(-1)).otherwise(F.lit(1)))
 
 
 def rfm_anomalies(rfm_df: DataFrame, cols: Sequence[str] = ("recency", "frequency", "monetary"),
-                  contamination: float = 0.02, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation Forest on standardized RFM; returns rfm + anomaly_score + anomaly."""
+                  contamination: float = 0.02, trees: int = 100, sample: int = 256, seed: int = 42,
+                  forest: DataFrame | None = None) -> DataFrame:
+    """Isolation Forest on standardized RFM; returns rfm + anomaly_score + anomaly.
+
+    ``forest``: the node table of a forest over the z-scores that is known already;
+    else one is grown."""
     from sparkjourney.operators.stats import standardize
+    from sparkjourney.session import materialize
 
     z = standardize(rfm_df, list(cols), fit="row")
     zc = [c + "_z" for c in cols]
-    out = isolation_forest(z, zc, trees=trees, sample=sample, contamination=contamination, seed=seed)
+    if forest is None:
+        out = isolation_forest(z, zc, trees=trees, sample=sample, contamination=contamination, seed=seed)
+    else:
+        out = flag_anomalies(materialize(score_forest(z, zc, forest, sample)), contamination)
     return out.drop(*zc)

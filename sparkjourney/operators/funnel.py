@@ -139,11 +139,16 @@ def funnel_by(flags: DataFrame, groups: DataFrame, stages: Sequence[str], group_
             .groupBy(group_col).agg(*[F.count_if(F.col(s)).alias(s) for s in stages]))
 
 
-def transitions_wide(long: DataFrame, group_col: str = "cluster", value: str = "avg_hours") -> DataFrame:
-    """(group, "<a> → <b>"...) -- the per-group transition table in wide form.
-
-    Pivot over the transition labels present (a handful: stages - 1), one
-    grouped aggregate.
-    """
-    labels = [r[1] for r in long.select("step", "transition").distinct().orderBy("step").collect()]
+def transitions_wide(long: DataFrame, stages: Sequence[str], group_col: str = "cluster", value: str = "avg_hours") -> DataFrame:
+    """(group, "<a> → <b>"...): the per-group transition table in wide form, one
+    column per step of ``stages`` (NULL where a group has none); one grouped aggregate."""
+    labels = [a + ARROW + b for a, b in zip(stages, stages[1:])]
     return long.groupBy(group_col).pivot("transition", labels).agg(F.first(value))
+
+
+def transitions_long(wide: DataFrame, stages: Sequence[str], group_col: str = "cluster", value: str = "avg_hours") -> DataFrame:
+    """(group, step, transition, value): ``transitions_wide`` undone, an unpivot of its columns."""
+    labels = [a + ARROW + b for a, b in zip(stages, stages[1:])]
+    step = F.array_position(F.array(*map(F.lit, labels)), F.col("transition")) - 1
+    return (wide.unpivot([group_col], [f"`{x}`" for x in labels], "transition", value)
+            .select(group_col, step.cast("int").alias("step"), "transition", value))

@@ -11,7 +11,7 @@ from sparkjourney.operators.churn import (
     FEATURES, stratified_split, stratified_split_exact, class_weights, gaussian_nb, train_churn, tune_forest, feature_importance,
     network_loss_history,
 )
-from sparkjourney.operators.metrics import confusion, class_report, roc_points, roc_auc
+from sparkjourney.operators.metrics import confusion, class_report, predict_at, roc_points, roc_auc
 from sparkjourney.plans.profiles import churn_features, churn_labels, SQL_CHURN_FEATURES
 from sparkjourney.plans.registry import query, round_doubles
 from sparkjourney.session import materialize
@@ -89,6 +89,19 @@ def q_confusion(spark, d):
     return confusion(nb_scored(spark, d), "churn", "prediction")
 
 
+THRESHOLDS = (0.3, 0.5, 0.7)
+
+
+@query("threshold_predictions", f"""
+  WITH s AS ({SQL_NB})
+  SELECT user_id, churn, probability, {", ".join(f"CAST(probability >= {x} AS INTEGER) AS at_{round(100 * x)}" for x in THRESHOLDS)} FROM s""")
+def q_threshold_predictions(spark, d):
+    out = nb_scored(spark, d).drop("prediction")
+    for x in THRESHOLDS:
+        out = predict_at(out, threshold=x, name=f"at_{round(100 * x)}")
+    return out
+
+
 def _sdiv(a, b):
     return f"CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0 END"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkjourney.operators.funnel import (
     ARROW, stage_times, funnel_flags, funnel_summary, funnel_dropoff, time_to_convert,
-    time_to_convert_by, funnel_by,
+    time_to_convert_by, funnel_by, transitions_wide,
 )
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query
@@ -79,3 +79,11 @@ def q_time_by_segment(spark, d):
   FROM f JOIN g ON f.user_id = g.user_id GROUP BY g.cluster""")
 def q_funnel_by_segment(spark, d):
     return funnel_by(flags(spark, d), fixed_segments(spark, d), ST, "cluster")
+
+
+@query("transitions_wide", f"""
+  WITH m AS ({SQL_MINUTES}), g AS (SELECT user_id, cluster FROM ({SQL_FIXED_SEGMENTS}))
+  SELECT cluster, {", ".join(f'round(AVG(CASE WHEN d{i} >= 0 THEN d{i} END) / 60.0, 2) AS "{a}{ARROW}{b}"' for i, (a, b) in enumerate(zip(ST, ST[1:])))}
+  FROM m JOIN g ON m.user_id = g.user_id GROUP BY cluster""")
+def q_transitions_wide(spark, d):
+    return transitions_wide(time_to_convert_by(times(spark, d), fixed_segments(spark, d), ST, "cluster"), ST)

@@ -82,6 +82,16 @@ def q_rfm_events(spark, d):
     return round_doubles(events_rfm(spark, d))
 
 
+@query("events_with_rfm", f"""
+  SELECT s.event_id, s.user_id, s.session_id, r.recency, r.frequency, round(r.monetary, 6) AS monetary
+  FROM ({t.SQL_SESSIONS}) s LEFT JOIN ({SQL_RFM_EVENTS}) r ON r.user_id = s.user_id""")
+def q_events_with_rfm(spark, d):
+    """The event table with its users' RFM attached."""
+    ev = t.events(spark, d)
+    s = rfm(t.sessions(spark, d), as_of=reference_time(ev), grain="event")
+    return round_doubles(s.select("event_id", "user_id", "session_id", "recency", "frequency", "monetary"))
+
+
 @query("recency_describe", f"""
   SELECT COUNT(recency) AS count, round(AVG(recency), 6) AS mean, round(stddev_samp(recency), 6) AS std,
          CAST(MIN(recency) AS DOUBLE) AS min,

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from sparkjourney import schema as S
 from sparkjourney.functions.time import timestamp_from_parts
 from sparkjourney.operators.sessions import session_stats, event_features, preprocess
-from sparkjourney.operators.stats import standardize
+from sparkjourney.operators.stats import standardize, value_counts
 from sparkjourney.plans import tables as t
 from sparkjourney.plans.registry import query, round_doubles
-from sparkjourney.sources.profile import null_profile
+from sparkjourney.sources.profile import null_profile, table_profile
 from sparkjourney.sources.readers import read_table
 from sparkjourney.streaming.sessions import stream_session_stats
 
@@ -99,3 +99,18 @@ def q_preprocessed(spark, d):
     return round_doubles(p.select(S.EVENT_ID, S.USER, S.TS, S.EVENT, "gap_seconds", "gap_hours", S.SESSION,
                                   "session_duration", "weekday", "hour_of_day", "made_purchase",
                                   *[c + "_z" for c in _Z]))
+
+
+_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query("table_profile", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{k}' AS type, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {c}) AS distinct_values FROM events"
+    for i, (c, k) in enumerate(_TYPES.items())))
+def q_table_profile(spark, d):
+    return table_profile(read_table(spark, d, "events").select(*_TYPES))
+
+
+@query("value_counts", "SELECT event_type, COUNT(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, event_type")
+def q_value_counts(spark, d):
+    return value_counts(read_table(spark, d, "events"), "event_type")

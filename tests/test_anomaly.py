@@ -3,7 +3,9 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkjourney.operators.anomaly import event_spikes, suspicious_timeline, spike_share, isolation_forest
+from sparkjourney.operators.anomaly import (
+    _c, _grow, event_spikes, isolation_forest, score_forest, spike_share, suspicious_timeline,
+)
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, event_type string"
 T0 = dt.datetime(2024, 1, 1)
@@ -50,3 +52,38 @@ def test_isolation_forest_flags_outliers_at_rate(spark):
     # deterministic under a different partitioning
     again = isolation_forest(df.repartition(3), ["f1", "f2"], trees=50, sample=128, contamination=0.02, seed=1)
     assert {r.user_id for r in again.where("anomaly = -1").collect()} == flagged
+
+
+def test_forest_walk_equals_a_loop(spark):
+    """The column expression walks the node table as a plain loop does."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 2))
+    rows = []
+    for t in range(7):
+        feat, thr, left, right, size = _grow(x[rng.choice(300, 40, replace=False)], rng, 6)
+        rows += [(t, i, *v) for i, v in enumerate(zip(feat, thr, left, right, size))]
+    nodes = spark.createDataFrame([tuple(int(v) if j != 3 else float(v) for j, v in enumerate(r)) for r in rows],
+                                  "tree int, node int, feature int, threshold double, left int, right int, size int")
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "user_id long, a double, b double")
+    got = {r.user_id: r.anomaly_score for r in score_forest(df, ["a", "b"], nodes, 64).collect()}
+    by = {(r[0], r[1]): r[2:] for r in rows}
+    for i, v in enumerate(x):
+        total = 0.0
+        for t in range(7):
+            at, depth = 0, 0
+            while by[t, at][0] >= 0:
+                f, cut, low, high, _ = by[t, at]
+                at, depth = low if v[f] < cut else high, depth + 1
+            total += depth + float(_c([by[t, at][4]])[0])
+        assert abs(got[i] - 2 ** (-total / 7 / float(_c([40])[0]))) < 1e-12
+
+
+def test_scoring_runs_without_python(spark):
+    import __spark_entry__ as E
+    from conftest import SMOKE
+    from sparkjourney.plans.anomaly import forest_rows
+    nodes = spark.createDataFrame(forest_rows(), "tree int, node int, feature int, threshold double, left int, right int, size int")
+    df = spark.range(10).selectExpr("id AS user_id", "double(id) AS a", "double(id) AS b", "double(id) AS c")
+    plan = score_forest(df, ["a", "b", "c"], nodes, 256)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan.split("Subqueries")[0] and "InPandas" not in plan
+    assert E.queries()["rfm_isolation_forest"](spark, SMOKE).where("anomaly = -1").count() >= 1

@@ -2,7 +2,7 @@ import datetime as dt
 
 from sparkjourney.operators.funnel import (
     stage_times, funnel_flags, funnel_summary, funnel_dropoff, time_to_convert, time_to_convert_by, funnel_by,
-    transitions_wide,
+    transitions_long, transitions_wide,
 )
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, event_type string"
@@ -55,8 +55,11 @@ def test_time_to_convert_joint_vs_independent_filters(spark):
     groups = ev.sparkSession.createDataFrame([(1, 0), (2, 0)], "user_id long, cluster int")
     per = {r.transition: r.avg_hours for r in time_to_convert_by(times, groups, ST).collect()}
     assert per == {"a → b": 1.5, "b → c": 3.0}  # user 1's a->b kept
-    wide = transitions_wide(time_to_convert_by(times, groups, ST)).first()
-    assert wide["a → b"] == 1.5 and wide["b → c"] == 3.0
+    long = time_to_convert_by(times, groups, ST)
+    wide = transitions_wide(long, ST)
+    assert wide.first()["a → b"] == 1.5 and wide.first()["b → c"] == 3.0
+    back = transitions_long(wide, ST)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, long.select(*back.columns).collect()))
 
 
 def test_funnel_by_group(spark):
