@@ -2,11 +2,9 @@
 
 For every participant of a conversation the dialogue is rendered with that
 speaker as the assistant and the others as named users, with the spans that a
-model should be trained on (the speaker's own texts and their end marks).  Long
-conversations are cut into parts of ``PART`` turns by turn number; where null, tied
-or repeated turn numbers would put more rows into a part, the conversation is cut
-every ``PART`` rows in turn order instead.  So no row or group holds more than
-``PART`` turns, whatever the turn numbers."""
+model should be trained on (the speaker's own texts and their end marks).  A
+conversation is cut every ``PART`` rows in turn order, so no row or group holds more
+than ``PART`` turns, whatever the turn numbers."""
 
 from __future__ import annotations
 
@@ -50,18 +48,17 @@ def perspectives(turns: DataFrame, part: int = PART, narrators=NARRATORS) -> Dat
     """(conv_id, speaker, part, n_turns, rendered, spans) per conversation, participant
     and part; spans are (start, end) code points of ``rendered``.
 
-    Turns are ordered by number, then speaker, then text; a null number comes first,
-    in part -1; a conversation with more than ``part`` rows in one part has parts of
-    ``part`` rows each, numbered from 0 in that order; a null role is the speaker ``unknown``; a null text is empty; null
+    Turns are ordered by number (null first), then speaker, then text; part 0 holds the
+    first ``part`` rows in that order, and so on; a null role is the speaker ``unknown``; a null text is empty; null
     conv_ids form one conversation; repeated rows are repeated turns; a conversation
     of narrators only has no perspective; an empty table gives no rows; other columns are ignored."""
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"),
-                         F.coalesce("text", F.lit("")).alias("text"),
-                         F.coalesce(F.floor(F.col("turn").cast("long") / part), F.lit(-1)).cast("long").alias("part"))
+                         F.coalesce("text", F.lit("")).alias("text"))
     speakers = (turns.where(~F.col("role").isin(*narrators)).select("conv_id", "role").distinct()
                 .select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")))
-    crowded = cut(turns.groupBy("conv_id", "part").count().where(F.col("count") > part).select(F.col("conv_id").alias("_id")).distinct())
-    whole = lambda rows: rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    crowded = cut(turns.groupBy("conv_id").count().where(F.col("count") > part).select(F.col("conv_id").alias("_id")))
+    whole = lambda rows: rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select(
+        "conv_id", F.lit(0).cast("long").alias("part"), "turns")
     if crowded.isEmpty():
         parts = whole(turns)
     else:
@@ -99,7 +96,7 @@ def perspectives_sql(part: int = PART, narrators=NARRATORS) -> str:
     return f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / {part}.0) AS BIGINT), -1) AS part FROM conversations),
+         (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // {part} AS part FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role NOT IN ({names})),
 g AS (
   SELECT t.conv_id, s.speaker, t.part, t.turn, t.role, t.text, t.role = s.speaker AS own,
