@@ -163,8 +163,7 @@ def balance_by_replication(train: DataFrame, label: str = "churn", key: str = S.
 def model_zoo(features: Sequence[str], label: str = "churn", seed: int = 42) -> dict:
     """Name -> (Pipeline, needs balancing by replication)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import (RandomForestClassifier, GBTClassifier, NaiveBayes, LinearSVC,
-                                           MultilayerPerceptronClassifier)
+    from pyspark.ml.classification import RandomForestClassifier, GBTClassifier, NaiveBayes, MultilayerPerceptronClassifier
     k = len(list(features))
     asm = _assembler(features)
     raw = dict(featuresCol="raw_features", labelCol=label)
@@ -174,12 +173,46 @@ def model_zoo(features: Sequence[str], label: str = "churn", seed: int = 42) ->
         "Gradient Boosted Trees": (Pipeline(stages=[asm, GBTClassifier(
             maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, **raw)]), False),
         "Naive Bayes": (Pipeline(stages=[asm, NaiveBayes(modelType="gaussian", **raw)]), False),
-        "SVM": (Pipeline(stages=[asm, _scaler(), LinearSVC(weightCol="weight", **scaled)]), False),
+        "SVM": (kernel_svm(features, label, seed), False),
         "Neural Network": (Pipeline(stages=[asm, _scaler(), MultilayerPerceptronClassifier(
             layers=[k, 32, 16, 2], maxIter=200, blockSize=32, seed=seed, **scaled)]), True),
     }
 
 
+def kernel_svm(features: Sequence[str], label: str = "churn", seed: int = 42, number: int = 256, gamma: float = 0.0):
+    """Support vector machine with a Gaussian kernel: scaled columns, random Fourier
+    features, balanced linear machine."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC
+    from sparkjourney.operators.fourier import FourierFeatures
+    fourier = FourierFeatures(inputCol="features", outputCol="kernel_features", dimensions=len(list(features)), number=number, gamma=gamma, seed=seed)
+    return Pipeline(stages=[_assembler(features), _scaler(), fourier, LinearSVC(weightCol="weight", featuresCol="kernel_features", labelCol=label)])
+
+
+def with_probability(pipeline, train: DataFrame, label: str = "churn", key: str = S.USER, folds: int = 3):
+    """The pipeline fitted on ``train``, with a last stage that turns its raw margin
+    into a ``probability``: a logistic curve (Platt) over the margins that models of
+    the other folds give, so no margin is of a row that its model has seen.  Folds
+    are by the key's hash, and only ``train`` is used."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from sparkjourney.session import materialize
+
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(folds))
+    margins = None
+    for k in range(folds):
+        rest, own = train.where(fold != k), train.where(fold == k)
+        if rest.select(label).distinct().count() < 2:
+            continue
+        out = pipeline.fit(rest).transform(own).select("rawPrediction", label)
+        margins = out if margins is None else margins.unionByName(out)
+    fitted = pipeline.fit(train)
+    if margins is None:
+        return fitted
+    platt = LogisticRegression(featuresCol="rawPrediction", labelCol=label, rawPredictionCol="_logit", probabilityCol="probability", predictionCol="_likely", regParam=1e-6)
+    return PipelineModel([*fitted.stages, platt.fit(materialize(margins))])
+
+
 def class1_score(pred: DataFrame, name: str = "score") -> DataFrame:
     """Class-1 score: probability when the model has one, else raw margin."""
     from pyspark.ml.functions import vector_to_array
@@ -215,7 +248,7 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
 
     def fit_one(item):
         name, pipe, balance = item
-        m = pipe.fit(balance_by_replication(train, label) if balance else train)
+        m = with_probability(pipe, train, label) if name == "SVM" else pipe.fit(balance_by_replication(train, label) if balance else train)
         r = evaluate(m.transform(test), label).first()
         return (name, *[float(v) if v is not None else None for v in r]), m
 

@@ -79,6 +79,10 @@ def _parsed(field: T.StructField):
     return value
 
 
+#: Why a row is set aside.
+MALFORMED, BAD_VALUE, NO_USER, BAD_TIME = "malformed row", "unparseable value", "no user", "no time"
+
+
 def read_clickstream_csv(spark: SparkSession, path: str, schema=S.CLICKSTREAM_CSV_SCHEMA) -> DataFrame:
     """The clickstream CSV export, columns matched by header name.
 
@@ -87,33 +91,85 @@ def read_clickstream_csv(spark: SparkSession, path: str, schema=S.CLICKSTREAM_CS
     by name to ``schema``'s types (unparseable values -> NULL).  Columns of
     ``schema`` missing from the file fail fast.
     """
-    raw = spark.read.option("header", True).csv(path)
-    missing = [f.name for f in schema.fields if f.name not in raw.columns and f.name not in ("SessionID",)]
+    return _typed(_raw_csv(spark, path, schema), schema)
+
+
+def _raw_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All columns of the header as text, and ``_bad``: the line, if it has another number of fields."""
+    columns = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in columns and f.name not in ("SessionID",)]
     if missing:
-        raise ValueError(f"clickstream CSV lacks columns {missing}; has {raw.columns}")
+        raise ValueError(f"clickstream CSV lacks columns {missing}; has {columns}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
+    return spark.read.schema(text).option("header", True).option("columnNameOfCorruptRecord", "_bad").option(
+        "columnPruning", False).csv(path)  # pruned, the fields of a line are not counted
+
+
+def _typed(raw: DataFrame, schema) -> DataFrame:
     return raw.select(*[_parsed(f).alias(f.name) if f.name in raw.columns
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def read_clickstream_checked(spark: SparkSession, path: str, ts_format: str = "parts",
+                             schema=S.CLICKSTREAM_CSV_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine) of the export: every row of the file is in one of them.
+
+    The quarantine holds the columns as text, the ``line`` of a malformed row, and
+    ``reason``, the first that applies: another number of fields than the header, a
+    value that is no value of its type, no user, no time that exists."""
+    raw = _raw_csv(spark, path, schema)
+    used = [f for f in schema.fields if f.name in raw.columns]
+    bad = F.lit(False)
+    for f in used:
+        bad = bad | (F.col(f.name).isNotNull() & _parsed(f).isNull())
+    keep = _typed(raw, schema).columns
+    typed = raw.select(F.struct(*[c for c in raw.columns if c != "_bad"]).alias("_text"), "_bad", bad.alias("_value"),
+                       *[_parsed(f).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    reason = (F.when(F.col("_bad").isNotNull(), F.lit(MALFORMED)).when(F.col("_value"), F.lit(BAD_VALUE))
+              .when(F.col("UserID").isNull(), F.lit(NO_USER)).when(_time_of(ts_format).isNull(), F.lit(BAD_TIME)))
+    checked = typed.withColumn("reason", reason)
+    events = clickstream_to_events(checked.where(F.col("reason").isNull()).select(*keep), ts_format)
+    return events, checked.where(F.col("reason").isNotNull()).select("reason", F.col("_bad").alias("line"), "_text.*")
+
+
+def quarantine_counts(quarantine: DataFrame) -> DataFrame:
+    """(reason, rows) of the rows set aside."""
+    return quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _time_of(ts_format: str):
+    if ts_format == "parts":
+        return timestamp_from_parts("Year", "Month", "Day", "Timestamp")
+    if ts_format == "full":
+        return parse_timestamp("Timestamp")
+    raise ValueError(f"ts_format must be 'parts' or 'full', not {ts_format!r}")
+
+
+def with_event_ids(events: DataFrame, name: str = S.EVENT_ID) -> DataFrame:
+    """Add an id that depends on the row alone: a hash of its values and of its ordinal
+    among equal rows, so it is the same however the files are split.
+
+    Equal rows are counted (combined in each task before they move) and laid out
+    again, with ordinals from 0."""
+    cols = events.columns
+    counted = events.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
+    return each.select(F.xxhash64(*cols, "_k").alias(name), *cols)
+
+
 def clickstream_to_events(raw: DataFrame, ts_format: str = "parts") -> DataFrame:
-    """Clickstream export -> canonical events.
+    """Clickstream export -> canonical events, with ids by ``with_event_ids``.
 
     ``ts_format='parts'`` rebuilds the time from Year/Month/Day and an
     ``mm:ss.f`` Timestamp (hour is always 0); ``'full'`` parses Timestamp as a
-    complete timestamp.  Rows whose time cannot be built are dropped.
+    complete timestamp.  Rows whose time cannot be built are dropped
+    (``read_clickstream_checked`` keeps them apart).
     """
-    if ts_format == "parts":
-        ts = timestamp_from_parts("Year", "Month", "Day", "Timestamp")
-    elif ts_format == "full":
-        ts = parse_timestamp("Timestamp")
-    else:
-        raise ValueError(f"ts_format must be 'parts' or 'full', not {ts_format!r}")
-    return (raw.select(
-        F.monotonically_increasing_id().alias(S.EVENT_ID),
-        F.col("UserID").alias(S.USER), ts.alias(S.TS),
+    rows = raw.select(
+        F.col("UserID").alias(S.USER), _time_of(ts_format).alias(S.TS),
         F.col("EventType").alias(S.EVENT), F.col("ProductID").alias(S.PRODUCT),
-        F.col("Amount").alias(S.AMOUNT))
-        .where(F.col(S.TS).isNotNull()))
+        F.col("Amount").alias(S.AMOUNT)).where(F.col(S.TS).isNotNull())
+    return with_event_ids(rows)
 
 
 def with_defaults(df: DataFrame, columns, value=0) -> DataFrame:

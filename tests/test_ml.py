@@ -65,6 +65,38 @@ def test_kmeans_finds_three_blobs(spark):
     assert seg.count() == len(pdf)
 
 
+def _ring(spark, seed, n=600):
+    """Label 1 inside a ring of label 0: no line tells them apart."""
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    r, a = np.where(y == 1, 0.0, 3.0) + rng.normal(0, 0.5, n), rng.uniform(0, 2 * np.pi, n)
+    pdf = pd.DataFrame({"a": r * np.cos(a), "b": r * np.sin(a), "user_id": np.arange(n, dtype="int64"), "churn": y.astype("int32")})
+    return spark.createDataFrame(pdf).withColumn("weight", F.lit(1.0))
+
+
+def test_kernel_machine_learns_a_ring(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LinearSVC
+    from sparkjourney.operators.churn import _assembler, _scaler, class1_score, kernel_svm, with_probability
+    from sparkjourney.operators.metrics import confusion, predict_at, roc_auc
+    df = binary_label(_ring(spark, 5)).cache()
+    train, test = df.where("user_id % 4 > 0"), df.where("user_id % 4 = 0")
+    linear = Pipeline(stages=[_assembler(["a", "b"]), _scaler(), LinearSVC(weightCol="weight", featuresCol="features", labelCol="churn")]).fit(train)
+    auc = lambda m: roc_auc(class1_score(m.transform(test)), "churn", "score").first().auc
+    assert abs(auc(linear) - 0.5) < 0.2
+    model = with_probability(kernel_svm(["a", "b"]), train)
+    assert auc(model) > 0.95
+    scored = class1_score(model.transform(test))
+    got = scored.select("user_id", "churn", "score").toPandas()
+    assert got["score"].between(0, 1).all()
+    assert abs(got["score"].mean() - got["churn"].mean()) < 0.1  # calibrated in the large
+    c = {(int(r.churn), r.prediction): r.n for r in confusion(predict_at(scored.select("churn", "score"), "score", 0.5), "churn", "prediction").collect()}
+    assert (c[0, 0] + c[1, 1]) / sum(c.values()) > 0.9
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = class1_score(PipelineModel.load(str(tmp_path / "m")).transform(test)).select("user_id", "score").toPandas()
+    assert np.allclose(again.sort_values("user_id")["score"], got.sort_values("user_id")["score"])
+
+
 def _blobs(spark, seed, n=90):
     rng = np.random.default_rng(seed)
     x = np.vstack([c + rng.normal(0, 0.7, (n // 3, 2)) for c in ([0, 0], [6, 1], [2, 7])])

@@ -91,3 +91,38 @@ def test_csv_integers_written_as_floats(spark, tmp_path):
     (tmp_path / "c.csv").write_text("\n".join(lines))
     got = clickstream_to_events(read_clickstream_csv(spark, str(tmp_path / "c.csv"))).collect()
     assert len(got) == 1 and got[0][S.USER] == 7
+
+
+def _odd_csv(folder, files):
+    """200 rows over some files, of which every tenth is bad in one of five ways; some rows twice."""
+    head = "UserID,SessionID,Timestamp,EventType,ProductID,Amount,Outcome,Year,Month,Day"
+    good = [f"{i % 9},1,0{i % 6}:07.5,click,p{i % 4},{i}.5,,2024,1,{1 + i % 28}" for i in range(180)] + ["5,1,01:07.5,login,,,,2024,1,2"] * 3
+    bad = ["1,1,01:00.0", "1,2,3,4,5,6,7,8,9,10,11,12", "x,1,01:00.0,click,p,1,,2024,1,2", ",1,01:00.0,click,p,1,,2024,1,2", "1,1,77:00.0,click,p,1,,2024,1,2",
+           "1,1,01:00.0,click,p,abc,,2024,1,2", "1,1,01:00.0,click,p,1,,2024,13,2"]
+    lines = good + bad
+    for k in range(files):
+        (folder / f"part{k}.csv").write_text("\n".join([head, *lines[k::files]]) + "\n")
+    return len(good), len(bad)
+
+
+def test_every_row_is_an_event_or_in_quarantine(spark, tmp_path):
+    from sparkjourney.sources import quarantine_counts, read_clickstream_checked
+    n_good, n_bad = _odd_csv(tmp_path, 3)
+    events, aside = read_clickstream_checked(spark, str(tmp_path))
+    assert events.count() == n_good and aside.count() == n_bad
+    assert {r.reason: r.rows for r in quarantine_counts(aside).collect()} == {"malformed row": 2, "unparseable value": 2, "no user": 1, "no time": 2}
+    assert {r.line for r in aside.where("reason = 'malformed row'").collect()} == {"1,1,01:00.0", "1,2,3,4,5,6,7,8,9,10,11,12"}
+    assert [r.Amount for r in aside.where("Amount = 'abc'").collect()] == ["abc"]
+
+
+def test_event_ids_do_not_depend_on_the_files(spark, tmp_path):
+    from sparkjourney.sources import read_clickstream_checked
+    ids = []
+    for files in (1, 4):
+        folder = tmp_path / str(files)
+        folder.mkdir()
+        _odd_csv(folder, files)
+        rows = read_clickstream_checked(spark, str(folder))[0].repartition(files).collect()
+        assert len({r.event_id for r in rows}) == len(rows)
+        ids.append(sorted(map(str, rows)))
+    assert ids[0] == ids[1]
