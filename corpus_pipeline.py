@@ -47,12 +47,19 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The last stage's frame; each stage before it is written as Parquet, into a fresh
-    folder under ``spark.checkpoint.dir``, and read back as the next one's docs."""
+    folder under ``spark.checkpoint.dir``, and read back as the next one's docs.  A
+    stage's files go once the next one's are written, the last ones with the driver."""
     shared_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = read_table(spark, sf_dir, "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(path(folder))
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         release(spark)
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            store.delete(path(f"{folder}/{before}"), True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
