@@ -9,7 +9,7 @@ written table in the shared output folder rather than from a long lineage.
 Outputs (one directory each): preprocessed, feature_scaler, rfm, customer_marketing_actions,
 clusters (partitioned by cluster), cluster_profile, action_counts,
 funnel_flags, funnel_summary, funnel_dropoff, time_to_convert,
-time_to_convert_by_cluster, user_funnel_table, recommendations, high_intent,
+time_to_convert_by_cluster, cluster_transitions, user_funnel_table, recommendations, high_intent,
 event_spike_anomalies, suspicious_timeline, spike_share, rfm_anomalies,
 project_summary, snapshot_shares, overview, segment_sizes, anomaly_counts,
 and with ``models=True`` model_metrics and feature_importance.
@@ -29,6 +29,7 @@ from sparkjourney import schema as S
 from sparkjourney.operators import anomaly, churn, funnel, intent, marts, recommend, rfm as rfm_ops, segments
 from sparkjourney.operators.sessions import preprocess
 from sparkjourney.operators.stats import scaler_stats
+from sparkjourney.session import materialize
 from sparkjourney.sources.writers import write_stage, write_by_cluster
 
 SCALE_COLS = ("session_duration", "gap_seconds", "hour_of_day", "weekday")
@@ -84,6 +85,7 @@ def run_analysis(events: DataFrame, out_dir: str, config: AnalysisConfig | None
     put("rfm", prof)
     prof = spark.read.parquet(paths["rfm"]) if fmt == "parquet" else prof
     seg, sweep, _ = segments.segment(prof, ks=cfg.ks, n_init=cfg.n_init)
+    seg = materialize(seg)  # user grain, like every table kept below: read by several outputs
     acts = marts.churn_from_action(segments.marketing_actions(seg))
     put("customer_marketing_actions", acts)
     paths["clusters"] = f"{out}/clusters"
@@ -93,17 +95,19 @@ def run_analysis(events: DataFrame, out_dir: str, config: AnalysisConfig | None
     put("kmeans_sweep", spark.createDataFrame(sweep, "k int, inertia double, silhouette double"))
 
     # 3. funnel
-    times = funnel.stage_times(sessions, cfg.stages)
-    flags = funnel.funnel_flags(times, cfg.stages)
+    times = materialize(funnel.stage_times(sessions, cfg.stages))
+    flags = funnel.funnel_flags(times, cfg.stages)  # a projection
     put("funnel_flags", flags)
     put("funnel_summary", funnel.funnel_summary(flags, cfg.stages))
     put("funnel_dropoff", funnel.funnel_dropoff(flags, cfg.stages))
     put("time_to_convert", funnel.time_to_convert(times, cfg.stages))
-    put("time_to_convert_by_cluster", funnel.time_to_convert_by(times, seg, cfg.stages))
+    by_cluster = materialize(funnel.time_to_convert_by(times, seg, cfg.stages))
+    put("time_to_convert_by_cluster", by_cluster)
+    put("cluster_transitions", funnel.transitions_wide(by_cluster, cfg.stages))
     put("user_funnel_table", funnel.funnel_by(flags, seg, cfg.stages))
 
     # 4. recommendation and intent
-    counts = recommend.purchase_counts(sessions, cfg.purchase_event)
+    counts = materialize(recommend.purchase_counts(sessions, cfg.purchase_event))
     seed = recommend.default_seed(counts)
     nb = recommend.user_neighbours(counts, seed, cfg.neighbours)
     put("recommendations", recommend.hybrid_scores(recommend.collab_scores(counts, nb, seed),
@@ -111,15 +115,15 @@ def run_analysis(events: DataFrame, out_dir: str, config: AnalysisConfig | None
     put("high_intent", intent.high_intent(sessions, cfg.view_event, cfg.top_intent))
 
     # 5. anomalies
-    spikes = anomaly.event_spikes(sessions, cfg.spike_types, cfg.spike_q)
+    spikes = materialize(anomaly.event_spikes(sessions, cfg.spike_types, cfg.spike_q))
     put("event_spike_anomalies", spikes)
     put("suspicious_timeline", anomaly.suspicious_timeline(sessions, spikes, cfg.timeline_users))
     put("spike_share", anomaly.spike_share(sessions, spikes))
-    rfm_anom = anomaly.rfm_anomalies(prof, contamination=cfg.contamination)
+    rfm_anom = materialize(anomaly.rfm_anomalies(prof, contamination=cfg.contamination))
     put("rfm_anomalies", rfm_anom.where("anomaly = -1"))
 
     # 6. marts
-    summary = marts.project_summary(seg, acts, rfm_anom, spikes)
+    summary = materialize(marts.project_summary(seg, acts, rfm_anom, spikes))
     put("project_summary", summary)
     put("snapshot_shares", marts.snapshot_shares(summary))
     put("overview", marts.overview(acts))

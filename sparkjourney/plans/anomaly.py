@@ -109,9 +109,9 @@ SQL_RFM_ANOMALIES = f"""
   FROM s"""
 
 
-def fixed_anomalies(spark, d):
+def fixed_anomalies(spark, d, prof=None):
     """RFM anomalies under FIXED_FOREST (scores rounded, so that equal paths tie in SQL too)."""
-    z = standardize(materialize(events_rfm(spark, d)), list(_RFM), fit="row")
+    z = standardize(prof or materialize(events_rfm(spark, d)), list(_RFM), fit="row")
     nodes = spark.createDataFrame(forest_rows(), "tree int, node int, feature int, threshold double, left int, right int, size int")
     scored = score_forest(z, [c + "_z" for c in _RFM], nodes, FIXED_SAMPLE)
     return flag_anomalies(materialize(scored.withColumn("anomaly_score", F.round("anomaly_score", 9)).drop(*[c + "_z" for c in _RFM])), FIXED_CONTAMINATION)

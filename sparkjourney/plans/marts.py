@@ -8,6 +8,7 @@ from sparkjourney.operators.marts import (
 )
 from sparkjourney.operators.segments import marketing_actions, CHURN_ACTION_PATTERN
 from sparkjourney.plans.anomaly import fixed_anomalies, spikes, SQL_RFM_ANOMALIES, SQL_SPIKES
+from sparkjourney.plans.profiles import events_rfm
 from sparkjourney.plans.registry import query, round_doubles
 from sparkjourney.plans.segments import fixed_segments, SQL_ACTIONS
 from sparkjourney.schema import ANOMALY_KIND_LABELS, CHURN_LABELS, CLUSTER_LABEL_PREFIX, EVENT_ANOMALY_LABELS, RFM_ANOMALY_LABELS
@@ -57,9 +58,10 @@ SQL_SUMMARY = f"""
 
 
 def summary(spark, d):
-    """Per-user summary: the segments and the anomalies come from one materialized RFM table each."""
-    seg = materialize(fixed_segments(spark, d))
-    return materialize(project_summary(seg, marketing_actions(seg), fixed_anomalies(spark, d), spikes(spark, d)))
+    """Per-user summary: segments and anomalies read one materialized RFM table."""
+    prof = materialize(events_rfm(spark, d))
+    seg = materialize(fixed_segments(spark, d, prof))
+    return materialize(project_summary(seg, marketing_actions(seg), fixed_anomalies(spark, d, prof), spikes(spark, d)))
 
 
 @query("project_summary", SQL_SUMMARY)

@@ -23,10 +23,10 @@ from sparkjourney.session import materialize
 SEGMENT_CENTRES = [(-0.5, 1.0, 1.0), (0.0, 0.0, 0.0), (1.0, -1.0, -1.0)]
 
 
-def fixed_segments(spark, d):
+def fixed_segments(spark, d, prof=None):
     """Events RFM -> z-scores -> nearest fixed centre: (user, recency, frequency, monetary, cluster, distance)."""
     # user-grain RFM, checkpointed: the scaler fit and the assignment read it once each
-    z = standardize(materialize(events_rfm(spark, d)), list(RFM_COLS), fit="row")
+    z = standardize(prof or materialize(events_rfm(spark, d)), list(RFM_COLS), fit="row")
     seg = nearest_centroid(z, [c + "_z" for c in RFM_COLS], SEGMENT_CENTRES)
     return seg.select(S.USER, *RFM_COLS, "cluster", "distance")
 

@@ -75,6 +75,16 @@ def q_null_profile(spark, d):
     return null_profile(read_table(spark, d, "events"), only_positive=False)
 
 
+@query("null_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) AS null_count FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' WHERE {c} IS NULL HAVING COUNT(*) > 0"
+    for c in ["o_orderkey", "o_custkey", "l_orderkey", "l_partkey", "l_quantity"]))
+def q_null_columns(spark, d):
+    """Null counts above 0 only: returned lines of all orders, most of which have none."""
+    o, li = read_table(spark, d, "orders"), read_table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"], "left")
+    return null_profile(rows.select("o_orderkey", "o_custkey", "l_orderkey", "l_partkey", "l_quantity"))
+
+
 @query("session_windows", f"""
   SELECT user_id, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS n_events,
          round(date_diff('microsecond', MIN(ts), MAX(ts)) / 1e6, 6) AS session_duration
