@@ -96,7 +96,10 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD, bound: float = BOUND) -> DataFrame:
-    """(page_id, host, path, rule, verdict) per row of pages(page_id, url).
+    """(page_id, host, path, rule, verdict, host_pages, host_bad, host_share, host_bound) per
+    row of pages(page_id, url): the verdict, and what the posterior of the page's host says:
+    its labelled pages, the bad ones, the mean of the bad share and its lower bound (both
+    rounded to six places); the host is blocked if the bound exceeds ``threshold``.
 
     A null url, or one without ://, has empty host and path (and the reputation of
     the empty host); labels with null doc_id or outcome count for nothing bad; a
@@ -105,10 +108,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = T
     host, path = url_parts(F.col("url"))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     known = reputations(pages.select("url"), labels.select("doc_id", "quality", "toxic")).select(
-        "host", F.when(F.col("m") - F.lit(bound) * F.col("deviation") > threshold, "block").otherwise("allow").alias("judged"))
+        "host", F.when(F.col("m") - F.lit(bound) * F.col("deviation") > threshold, "block").otherwise("allow").alias("judged"),
+        F.col("n").alias("host_pages"), F.col("k").alias("host_bad"), F.round("m", 6).alias("host_share"),
+        F.round(F.col("m") - F.lit(bound) * F.col("deviation"), 6).alias("host_bound"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     return (pages.select("page_id", host.alias("host"), path.alias("path")).join(known, "host", "left")
-            .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("judged"), F.lit("allow")).alias("verdict")))
+            .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("judged"), F.lit("allow")).alias("verdict"),
+                    "host_pages", "host_bad", "host_share", "host_bound"))
 
 
 def judge_sql(rules=RULES, threshold: float = THRESHOLD, bound: float = BOUND) -> str:
@@ -143,5 +149,6 @@ overall AS (SELECT 1 AS every, (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0
 {shrunk("suffixes", "overall", "suffix", "every")},
 {shrunk("domains", "suffixes_m", "domain", "suffix").replace("p.m FROM domains c JOIN suffixes_m p", "p.m FROM domains c JOIN (SELECT suffix, m FROM suffixes_m) p")},
 {shrunk("hosts", "domains_m", "host", "domain").replace("SELECT c.*, p.m FROM hosts c JOIN domains_m p", "SELECT c.host, c.domain, c.n, c.k, p.m FROM hosts c JOIN (SELECT domain, m FROM domains_m) p")},
-judged AS (SELECT host, CASE WHEN m - {bound} * sqrt(m * (1 - m) / (total + 1)) > {threshold} THEN 'block' ELSE 'allow' END AS judged FROM hosts_m)
-SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, judged, 'allow') AS verdict FROM u LEFT JOIN judged USING (host)"""
+judged AS (SELECT host, CASE WHEN m - {bound} * sqrt(m * (1 - m) / (total + 1)) > {threshold} THEN 'block' ELSE 'allow' END AS judged,
+    n AS host_pages, k AS host_bad, round(m, 6) AS host_share, round(m - {bound} * sqrt(m * (1 - m) / (total + 1)), 6) AS host_bound FROM hosts_m)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, judged, 'allow') AS verdict, host_pages, host_bad, host_share, host_bound FROM u LEFT JOIN judged USING (host)"""
