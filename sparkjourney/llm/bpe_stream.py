@@ -14,14 +14,15 @@ from __future__ import annotations
 import codecs
 import itertools
 import json
+import sys
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import Memo, kept_in_worker, texts
+from sparkjourney.llm.common import Memo, in_pieces, texts, tidy
 
 BLOCK = 256
 #: Longer words go through the transducer without being remembered.
@@ -37,6 +38,31 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _ranges(chars: str) -> str:
+    """Ascending characters as ranges of a character class."""
+    ranges: list[list[str]] = []
+    for c in chars:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in ranges)
+
+
+def newer_characters() -> tuple[str, str, str, dict[int, str]]:
+    """What the Unicode version of the vocabulary's library says of the code points that
+    Python's tables do not assign: its letters and its numbers among them, and those that
+    the module ``regex`` takes for either (as ranges), and its lower cases."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    runs = lambda c: pre_tokenizers.Split(Regex(rf"\p{{{c}}}+"), "removed", invert=True).pre_tokenize_str(unknown)
+    letters, numbers = ("".join(t for t, _ in runs(c)) for c in "LN")
+    lower = normalizers.Lowercase().normalize_str(unknown)  # one for one: no longer forms are among them
+    return _ranges(letters), _ranges(numbers), _ranges("".join(regex.findall(r"[\p{L}\p{N}]+", unknown))), {
+        ord(c): low for c, low in zip(unknown, lower, strict=True) if c != low}
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int:
     """Symbols after a token that suffice to know it (see the module's text).
 
@@ -61,7 +87,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 class Transducer:
     """Encoder and decoder of one vocabulary file (its bytes)."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, newer: tuple | None = None):
         spec = json.loads(spec)
         model = spec["model"]
         self.ids = model["vocab"]
@@ -76,7 +102,11 @@ class Transducer:
         self.lookahead = sufficient_lookahead(merges, length)
         self.length = length
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        own_letters, own_numbers, taken, self.newer_lower = newer_characters() if newer is None else newer
+        known = lambda c, own: rf"[[\p{{{c}}}--[{taken}]]{'||[' + own + ']' if own else ''}]" if taken else rf"[\p{{{c}}}{own}]"
+        letter, number = known("L", own_letters), known("N", own_numbers)
+        self.words = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\p{{White_Space}}{letter}{number}]+")
+        self.newer = regex.compile("[" + "".join(map(chr, self.newer_lower)) + "]") if self.newer_lower else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.text_of = {i: t.encode("utf-8") for t, i in self.ids.items()} | {i: t.encode("utf-8") for t, i in self.special.items()}
         self.chunk = Memo(self._chunk)
@@ -132,6 +162,8 @@ class Transducer:
     def _plain(self, text: str) -> bytes:
         """Ids of text without special strings: NFC, then each character lower-cased by itself."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.newer and self.newer.search(text):
+            text = text.translate(self.newer_lower)
         if regex.search("[\x1c-\x1f]", text):  # str.split takes these for white space
             chunks = regex.split(r"\p{White_Space}+", text)
         else:
@@ -166,16 +198,18 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     Null and empty texts give no ids and the empty text; repeated rows repeat;
     null doc_id stays null; other columns are ignored; an empty table gives no rows."""
     with open(vocabulary, "rb") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast((f.read(), newer_characters()))
 
     def run(batches):
-        machine = None
-        for b in batches:
-            machine = machine or kept_in_worker(("transducer", hash(spec.value)), lambda: Transducer(spec.value))
-            ids = [machine.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [machine.decode(x) for x in ids]})
+        machine = Transducer(*spec.value)
+
+        def work(b):
+            ids = [machine.encode(t) for t in b.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([machine.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+
+        yield from in_pieces(batches, work)
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, ids binary, decoded string")
 
 
 def token_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import pickle
 import sys
 import tempfile
-import types
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,34 +37,71 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+#: Rows of text that go to Python at a time: a batch is held several times over (in the
+#: JVM's buffers, in Arrow's, as Python strings).
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS``; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system.  Spark reuses a Python worker for other
+    operators' tasks; what the allocators keep would add up beside their own tables."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (over a task's batches), with its memory given back at the end of the task."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are left out,
     so their names never clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 class Memo(dict):
-    """A dict that fills itself from ``make`` and starts anew when it holds
-    ``most`` entries, so a task's memory stays bounded on any vocabulary."""
+    """A dict that fills itself from ``make`` and starts anew when its keys and values
+    take ``most`` bytes, so a task's memory stays bounded on any vocabulary."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 16 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        self.held += 120 + sys.getsizeof(key) + sys.getsizeof(value)
+        if self.held > self.most:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
-def kept_in_worker(key, make):
-    """A value that lives as long as the Python worker, which Spark reuses for many
-    tasks: tables made from a broadcast file, and bounded memos.  Only saves work."""
-    held = sys.modules.setdefault("_llm_kept_in_worker", types.ModuleType("_llm_kept_in_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+def in_pieces(batches, work, text_at: int = 1, most: int = 1 << 20):
+    """``work`` applied to slices of the Arrow batches with about ``most`` bytes of text
+    each, or one row."""
+    for b in batches:
+        step = max(1, most * b.num_rows // max(1, b.column(text_at).nbytes))
+        for k in range(0, b.num_rows, step):
+            yield work(b.slice(k, step))
 
 
 def shipped(spark: SparkSession, model):
@@ -107,4 +145,5 @@ def by_batch(docs: DataFrame, change) -> DataFrame:
         for b in batches:
             yield step(b, b.column(b.schema.get_field_index("text")).to_pylist())
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkjourney.llm.common import by_batch, shipped
+from sparkjourney.llm.common import by_batch, shipped, tidy
 
 DIMENSIONS = 1 << 12
 #: Bound of the training sample, documents a language.
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     ids = [r["doc_id"] for r in sample.collect()]  # bounded: per_language times the languages
     if not ids:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
-    rows = (labelled.where(F.col("doc_id").isin(ids)).mapInPandas(vectors, "doc_id long, lang string, x binary")
+    rows = (labelled.where(F.col("doc_id").isin(ids)).mapInPandas(tidy(vectors), "doc_id long, lang string, x binary")
             .orderBy("doc_id", "lang").toPandas())
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
     return Model(x, rows["lang"].tolist())
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                                 "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInPandas(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import Memo, cut, only, texts, without
+from sparkjourney.llm.common import Memo, cut, only, texts, tidy, without
 from sparkjourney.llm.components import components
 
 WORDS = 5
@@ -95,7 +95,7 @@ def _frequent(docs: DataFrame):
             yield pd.DataFrame({"h": np.concatenate(sets) if sets else np.empty(0, np.int64)})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    found = (sample.mapInPandas(hashes, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = (sample.mapInPandas(tidy(hashes), "h long").groupBy("h").agg(F.count("*").alias("n"))
              .where(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "h").limit(FREQUENT))
     often = found.select("h").toPandas()["h"].to_numpy(np.int64)
     size = 1 << max(10, int(np.ceil(np.log2(len(often) * 16 + 1))) - 3) if len(often) else 0
@@ -117,7 +117,7 @@ def _signatures(docs: DataFrame, bits) -> DataFrame:
                 keys.append(s[:len(s) // WORDS + 1])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "digest": digest, "keys": keys})
 
-    return docs.mapInPandas(sign, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.mapInPandas(tidy(sign), "doc_id long, n long, digest binary, keys array<long>")
 
 
 def _pruned(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _pruned(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     sig = only(sig, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     x = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
     y = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "kx", "ky").mapInPandas(keep, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "kx", "ky").mapInPandas(tidy(keep), "a long, b long")
 
 
 def _window(own: int, n: int) -> int:
@@ -168,7 +168,7 @@ def _sets(docs: DataFrame, ids: DataFrame, bits) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "s": [_ordered(shingle_hashes(t, memo), often) for t in b["text"]]})
 
-    return cut(only(docs, ids).mapInPandas(remake, "doc_id long, s array<long>"))
+    return cut(only(docs, ids).mapInPandas(tidy(remake), "doc_id long, s array<long>"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, bits) -> DataFrame:
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits) -> DataFrame:
     sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
     return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sx")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sy")), "b").select("a", "b", "sx", "sy")
-            .mapInPandas(test, "a long, b long"))
+            .mapInPandas(tidy(test), "a long, b long"))
 
 
 def _around_centres(region: DataFrame, docs: DataFrame, bits) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +205,7 @@ def _around_centres(region: DataFrame, docs: DataFrame, bits) -> tuple[DataFrame
     # a region's centre needs about SAMPLED sets, whatever its size; any set is an exact centre
     centres = few.join(sets, "doc_id").groupBy("rid").applyInPandas(centre, "rid long, centre array<long>")
     placed = cut(region.join(sets, "doc_id").join(centres, "rid", "left").select("rid", "doc_id", "s", "centre")
-                 .mapInPandas(place, "rid long, doc_id long, n long, own long, outside array<long>, apart array<long>")
+                 .mapInPandas(tidy(place), "rid long, doc_id long, n long, own long, outside array<long>, apart array<long>")
                  .withColumn("g", F.col("n") - 9 * F.col("own")))
     best = placed.groupBy("rid").agg(F.max(F.struct("g", "doc_id")).alias("best")).select("rid", F.col("best.g").alias("most"), F.col("best.doc_id").alias("hub"))
     known = placed.join(best, "rid").withColumn("linked", F.col("g") + F.col("most") >= 0)

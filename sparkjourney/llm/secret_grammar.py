@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkjourney.llm.common import Memo, by_batch, cut, shipped, texts
+from sparkjourney.llm.common import Memo, by_batch, cut, shipped, texts, tidy
 
 #: Bound of the labelled sample, credentials a kind.
 PER_KIND = 300
@@ -226,7 +226,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 "doc_id": b["doc_id"], "base": [[dict(zip(("start", "end", "kind", "secret"), s)) for s in x] for x in base],
                 "open": [[dict(zip(("start", "end", "secret"), s)) for s in candidates(t, x)] for t, x in zip(b["text"], base)]})
 
-    return texts(docs).mapInPandas(run, _FOUND)
+    return texts(docs).mapInPandas(tidy(run), _FOUND)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("word", "low", "high"), f)) for f in found], schema)
 
     schema = pa.schema([("word", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
-    return (texts(docs).mapInArrow(run, "word string, low long, high long")
+    return (texts(docs).mapInArrow(tidy(run), "word string, low long, high long")
             .groupBy("word").agg((F.min("low") < F.max("high")).alias("ordinary")))
 
 
@@ -265,7 +265,7 @@ def infer(docs: DataFrame, found: DataFrame, per_kind: int = PER_KIND) -> Gramma
 
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
     # one row a pair of the words' characters
-    counted = words.mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    counted = words.mapInArrow(tidy(pairs), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     grammar = Grammar(labelled, Words.counted(counted))
     if grammar.automata:
         load = shipped(docs.sparkSession, grammar)
@@ -276,7 +276,7 @@ def infer(docs: DataFrame, found: DataFrame, per_kind: int = PER_KIND) -> Gramma
                 fits = [model.fit(token) for w in b["word"] for *_, token in candidates(w, ())]
                 yield pd.DataFrame({"fit": [max(fits)] if fits else []}, dtype="float64")
 
-        top = words.where("ordinary").mapInPandas(best, "fit double").agg(F.max("fit")).first()[0]
+        top = words.where("ordinary").mapInPandas(tidy(best), "fit double").agg(F.max("fit")).first()[0]
         grammar.above(0.0 if top is None else top)
     return grammar
 
@@ -298,7 +298,7 @@ def find_secrets(docs: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
                 out.append([dict(zip(("start", "end", "kind"), s)) for s in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))])
             yield pd.DataFrame({"doc_id": b["doc_id"], "spans": out})
 
-    return found.mapInPandas(label, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    return found.mapInPandas(tidy(label), "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from __future__ import annotations
 import heapq
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkjourney.llm.common import Memo, kept_in_worker, texts
+from sparkjourney.llm.common import Memo, in_pieces, texts, tidy
 
 SPACE = "▁"
 REMEMBERED = 48
@@ -110,11 +110,14 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        counter = None
-        for b in batches:
-            counter = counter or kept_in_worker(("counter", hash(spec.value)), lambda: Counter(piece_ranks(spec.value)))
-            n = [counter.count(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]],
-                                "n_tokens": n, "over_limit": [x > limit for x in n]})
-
-    return texts(docs).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        counter = Counter(piece_ranks(spec.value))
+
+        def work(b):
+            own = b.column(1).to_pylist()
+            n = [counter.count(t) for t in own]
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in own], pa.int64()), pa.array(n, pa.int64()),
+                                               pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+        yield from in_pieces(batches, work)
+
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
-from sparkjourney.llm import (bpe_stream, chat_perspectives, chunk_fingerprint, decontaminate, host_reputation, language_id, ngram_join, queries,
+from sparkjourney.llm import (bpe_stream, common, chat_perspectives, chunk_fingerprint, decontaminate, host_reputation, language_id, ngram_join, queries,
                               secret_grammar, site_templates, token_counts)
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +37,22 @@ def test_transducer_equals_library():
         assert machine.decode(machine.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_split_as_in_the_library():
+    from tokenizers import Tokenizer
+    machine, library = bpe_stream.Transducer(open(WORD, "rb").read()), Tokenizer.from_file(WORD)
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or c % 97 == 0)]
+    for k in range(0, len(texts), 20_000):
+        for text, want in zip(texts[k:k + 20_000], library.encode_batch(texts[k:k + 20_000], add_special_tokens=False)):
+            assert np.frombuffer(machine.encode(text), "<u4").tolist() == want.ids, hex(ord(text[1:-1]))
+
+
+def test_memos_are_bounded_by_bytes():
+    memo = common.Memo(lambda k: k * 50, most=100_000)
+    for i in range(20_000):
+        assert memo[f"key {i}"] == f"key {i}" * 50
+        assert sum(map(len, memo.values())) < 100_000
+
+
 def test_transducer_emits_stable_tokens_only():
     machine = bpe_stream.Transducer(open(WORD, "rb").read())
     r = random.Random(5)
@@ -197,6 +214,19 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= x.score <= 1 for x in rows)
 
 
+def test_no_letter_is_undetermined(spark):
+    texts = ["½ ² ①", "①②", "123 _ -", "", None, "½ straße", "ª"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    learned = language_id.fit(spark.read.parquet(f"{SMOKE}/documents.parquet"))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(docs, learned).collect()}
+    assert [got[i] for i in range(5)] == [("und", 0.0)] * 5 and "und" not in (got[5][0], got[6][0])
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.identified(docs, language_id.fit(docs)).count() == docs.count()
+
+
 def test_wrong_labels_are_corrected(spark):
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet").where("length(text) > 300")
     true = {x.doc_id: x.lang for x in docs.collect()}
@@ -222,6 +252,18 @@ def test_secret_spans():
     assert key not in secret_grammar.redact(text, [s[:3] for s in spans])
 
 
+@pytest.mark.parametrize("length,copies", [(20, 1), (4000, 1), (4000, 10)])
+def test_long_credentials_are_learned_in_time(length, copies):
+    r = random.Random(length)
+    base = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(length)) for _ in range(300 // copies)]
+    found = sorted({b[:i + 1] + "Z" + b[i + 2:] for b in base for i in range(copies)})
+    began = time.process_time()
+    automaton = secret_grammar.Automaton(found)
+    assert time.process_time() - began < 20
+    for state, to in enumerate(automaton.next):  # what leaves a state is never more than what came
+        assert sum(automaton._through(state, c) for c in to) <= automaton.seen[state]
+
+
 def test_grammar_adds_what_fits_a_format_only():
     r = random.Random(2)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
@@ -299,7 +341,7 @@ def test_crowded_conversations_are_cut_every_64_rows(spark):
     got = {(x.conv_id, x.speaker, x.part): x for x in chat_perspectives.perspectives(df).collect()}
     hot = sorted((r for r in rows if r[0] is None), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
     want = {(None, s, p): hot[64 * p:64 * p + 64] for s in ("ann", "bob") for p in range(7)}
-    want |= {(1, s, p): rows[440 + 64 * p:min(570, 504 + 64 * p)] for s in ("ann", "bob") for p in range(3)} | {(2, "eve", 10): rows[-1:]}
+    want |= {(1, s, p): rows[440 + 64 * p:min(570, 504 + 64 * p)] for s in ("ann", "bob") for p in range(3)} | {(2, "eve", 0): rows[-1:]}
     assert set(got) == set(want)
     for key, part in want.items():
         heads = ["assistant" if r[2] == key[1] else f"user name={r[2]}" for r in part]
@@ -366,3 +408,105 @@ def test_pipeline_against_brute_force(spark):
     clean = {i for i, t in want.items() if not secret_grammar.base_spans(t)}
     same = [x for x in got if x.doc_id in clean and bytes(x.ids) == machine.encode(want[x.doc_id])]
     assert len(clean) > 100 and len(same) >= len(clean) - 1
+
+
+ARTICLE = "<p>" + "Words of a long paragraph that nobody would take for a menu. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="post-with-sidebar">{ARTICLE}</article>', f'<div class="with-sidebar">{ARTICLE}</div>', f'<div class="sidebar"><article>{ARTICLE}</article></div>',
+    f'<form id="aspnetForm"><article>{ARTICLE}</article></form>', f'<article><section class="related-work">{ARTICLE}</section></article>',
+    f'<article><div class="share-price">{ARTICLE}</div></article>', f'<article><div id="menu-of-the-day">{ARTICLE}</div></article>', f'<div class="content main page-header">{ARTICLE}</div>'])
+def test_names_do_not_delete_articles(page):
+    root = site_templates.parse(f"<html><body><div class='top-menu'><a href='/'>Home</a></div>{page}<div class='cookie-notice'>We use cookies</div></body></html>")
+    site_templates.hashed(root)
+    assert site_templates.main_text(root, frozenset()) == " ".join(("Words of a long paragraph that nobody would take for a menu. " * 6).split())
+
+
+@pytest.mark.parametrize("box", ['<div class="comments">{0}</div>', '<div id="sidebar-left">{0}</div>', '<section class="related-posts">{0}</section>', '<div class="ad-box">{0}</div>',
+                                 '<div class="share-price"><a href="/x">Buy now</a></div>', '<div role="navigation">{0}</div>', '<div hidden>{0}</div>'])
+def test_named_boxes_go(box):
+    root = site_templates.parse(f"<body><article>{ARTICLE}{box.format('<p>Some of the box.</p>')}{ARTICLE}</article></body>")
+    site_templates.hashed(root)
+    assert "box" not in site_templates.main_text(root, frozenset()) and "Buy" not in site_templates.main_text(root, frozenset())
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<a href='" * 120_000, "<!" * 500_000, "<b></i>" * 150_000, "<b>" * 300_000, "<li>" * 250_000, "<p><b>" * 170_000,
+                                    "<" * 1_000_000, '<a title="x>' * 90_000 + ">", "<script>" * 120_000, "<b>" * 150_000 + "<p>" * 150_000, "&amp" * 250_000])
+def test_a_megabyte_of_broken_markup_is_parsed_in_time(source):
+    began = time.process_time()
+    root = site_templates.parse(source)
+    site_templates.hashed(root)
+    site_templates.main_text(root, frozenset())
+    assert time.process_time() - began < 15
+
+
+def test_parse_of_odd_markup():
+    def outline(node):
+        return [outline(c) if isinstance(c, site_templates.Node) else c for c in node.children] if node.children else node.tag
+    flat = lambda s: "".join(x if isinstance(x, str) else "" for x in _strings(site_templates.parse(s)))
+
+    def _strings(node):
+        for c in node.children:
+            yield from (_strings(c) if isinstance(c, site_templates.Node) else [c])
+    assert flat("a < b <p>c</p> 1<2 <") == "a < b c 1<2 <"
+    assert flat("<p title='a>b'>c</p>") == "c" and flat('<p title="a>b') == '<p title="a>b'.split(">")[1]
+    assert flat("<!-- <p> -->x<!-- open") == "x" and flat("<!DOCTYPE html>y<?php z?>") == "y"
+    assert flat("<script>if (a < b) {}</script>t<script>open") == "if (a < b) {}topen"
+    assert outline(site_templates.parse("<p>a<p>b<ul><li>c<li>d</ul>")) == [["a"], ["b"], [["c"], ["d"]]]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_html_joins_its_template_either_way(spark, monkeypatch, limit):
+    monkeypatch.setattr(site_templates, "BROADCAST_BYTES", limit)
+    rows = [(i, f"http://h{0 if i % 3 else i % 40}.example/{i}", f"<body><div>Same box</div><div><p>Text {i} of its own</p></div></body>") for i in range(240)]
+    rows += [(900, None, "<p>alone"), (901, "http://x/", None)]
+    got = site_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and {x.page_id: x.text for x in got if x.page_id < 900 and x.page_id % 3} == {i: f"Text {i} of its own" for i in range(240) if i % 3}
+
+
+def test_crowded_conversations_equal_sql(spark):
+    r = random.Random(9)
+    rows = [(1, 5, r.choice("abc"), f"t{r.randrange(30)}") for _ in range(65)] + [(2, None, "a", f"n{i}") for i in range(130)] + [(2, 3, "b", None)] * 70
+    rows += [(3, i, r.choice(["system", "a", "b"]), f"x{i}") for i in range(200)] + [(None, 1, None, "y"), (4, 1, "system", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_perspectives.with_written_spans(chat_perspectives.perspectives(df))
+    db = duckdb.connect()
+    db.register("conversations", df.toArrow())
+    want = db.sql(chat_perspectives.perspectives_sql()).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got.collect()) and {x[2] for x in want} == {0, 1, 2, 3}
+
+
+_PAGES = "page_id long, url string, html string"
+_EDGES = {
+    "pages": (lambda d, s: site_templates.main_texts(d), _PAGES, "1 AS host, 'x' AS template, 2 AS text, 3 AS n_chars, 4 AS page, 5 AS hashes"),
+    "urls": (lambda d, s: host_reputation.judge(d, s.createDataFrame([(1, 1, 0), (None, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")), _PAGES,
+             "1 AS host, 2 AS rule, 3 AS verdict, 4 AS n, 5 AS doc_id, 6 AS quality"),
+    "turns": (lambda d, s: chat_perspectives.perspectives(d), "conv_id long, turn long, role string, text string", "1 AS part, 2 AS turns, 3 AS speaker, 4 AS copies, 5 AS spans"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(_EDGES))
+def test_edge_inputs_of_pages_and_turns(spark, name):
+    """Nulls in any column, empty and long values, repeated rows, clashing columns, an empty table."""
+    work, schema, clash = _EDGES[name]
+    if name == "turns":
+        rows = [(1, 1, "a", "x"), (1, 1, "a", "x"), (None, None, None, None), (2, None, "b", ""), (2, 5, None, "long " * 50_000)]
+        n = 4  # a; unknown; b and unknown
+    else:
+        rows = [(1, "http://a.example/en/1", "<p>x</p>"), (1, "http://a.example/en/1", "<p>x</p>"), (None, None, None), (2, "", ""),
+                (3, "http://" + "h" * 10_000 + "/" + "p" * 100_000, "<div>" * 20_000 + "word " * 100_000)]
+        n = len(rows)
+    df = spark.createDataFrame(rows, schema)
+    assert work(df.selectExpr("*", *clash.split(", ")), spark).count() == n
+    assert work(df.limit(0), spark).count() == 0
+
+
+def test_pipeline_keeps_only_the_last_stage(spark, tmp_path):
+    import os
+    import corpus_pipeline
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    was = {x for x in os.listdir(folder) if x.startswith("pipeline-")}
+    corpus_pipeline.run(spark, SMOKE)
+    new = [x for x in os.listdir(folder) if x.startswith("pipeline-") and x not in was]
+    assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["secrets"]
