@@ -9,11 +9,12 @@ documents of each language with the smallest id hashes."""
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney.llm.common import by_batch, shipped, tidy
 
@@ -119,9 +120,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     ``per_language`` ones of each language with the smallest id hashes."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         "lang is not null and text is not null").where(~held_out())
-    # one pass for all languages; the limit is kept inside each task before rows move
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    # hashes are uniform, so those below a bound are about as many as wanted: no language is sorted
+    wanted = per_language + 6 * math.sqrt(per_language) + 20
+    share = {lang: min(1.0, wanted / n) for lang, n in sizes.items()}
+    found: dict[str, list] = {}
+    todo = sorted(sizes)
+    while todo:
+        bound = F.create_map(*[F.lit(x) for v in todo for x in (v, min(2**63 - 1, int(share[v] * 2.0**64) - 2**63))])
+        near = labelled.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("lang").isin(todo) & (F.col("h") <= bound[F.col("lang")]))
+        rows = near.distinct().collect()  # about ``wanted`` a language
+        for v in todo:
+            found[v] = sorted((r["h"], r["doc_id"]) for r in rows if r["lang"] == v)[:per_language]
+        todo = [v for v in todo if len(found[v]) < per_language and share[v] < 1.0]
+        share |= {v: min(1.0, 2 * share[v]) for v in todo}
+    ids = sorted({i for own in found.values() for _, i in own})  # bounded: per_language times the languages
+    if not ids:
+        return Model(np.zeros((0, DIMENSIONS), np.float32), [])
 
     def vectors(batches):
         letter = _letters()
@@ -129,10 +144,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"],
                                 "x": [features(t, letter).astype(np.float16).tobytes() for t in b["text"]]})
 
-    ids = [r["doc_id"] for r in sample.collect()]  # bounded: per_language times the languages
-    if not ids:
-        return Model(np.zeros((0, DIMENSIONS), np.float32), [])
-    rows = (labelled.where(F.col("doc_id").isin(ids)).mapInPandas(tidy(vectors), "doc_id long, lang string, x binary")
+    rows = (labelled.where(F.col("doc_id").isin(ids)).distinct().mapInPandas(tidy(vectors), "doc_id long, lang string, x binary")
             .orderBy("doc_id", "lang").toPandas())
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
     return Model(x, rows["lang"].tolist())
