@@ -106,28 +106,50 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Documents dealt out by ranges of descending doc_id, so that each one's next
     document is in its range: (range, guest, order, doc_id, text).  The first
     document of a range is also a guest at the end of the range before it (the
-    very first in the last).  The cut points are quantiles of doc_id; what the
-    driver holds is one number a range.  Ties are ordered by text, null ids last."""
+    very first in the last).  The cut points are quantiles of doc_id; an id that holds
+    more rows than twice a range's even share, as a null one may, is cut further by the
+    hashes of its texts, which order equal ids.  The driver holds a few numbers a range.
+    Null ids come last."""
     spark = docs.sparkSession
-    docs = texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    docs = texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("h", F.xxhash64("text"))
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n), np.float64)).astype(np.int64)
 
     @F.pandas_udf("int")
-    def range_of(order: pd.Series) -> pd.Series:
+    def cut_of(order: pd.Series) -> pd.Series:
         return pd.Series((len(cuts) - np.searchsorted(cuts, order.to_numpy(), "left")).astype(np.int32))
 
-    ranged = docs.withColumn("range", range_of("order"))
-    firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.max("order").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    # a range can be over-full only by one id's rows; those ids are few, as each holds more than a range
+    docs = docs.withColumn("cut", cut_of("order"))
+    sizes = {r["cut"]: r["count"] for r in docs.groupBy("cut").count().collect()}
+    even = max(1, sum(sizes.values()) // n)
+    full = [c for c, k in sizes.items() if k > 2 * even]
+    heavy = docs.where(F.col("cut").isin(full)).groupBy("order").count().where(F.col("count") > 2 * even).collect() if full else []
+    pieces = {r["order"]: min(n, -(-r["count"] // even)) for r in heavy}
+    ids = np.array(sorted(pieces), np.int64)
+    more = np.array([pieces[i] for i in ids.tolist()], np.int64)
+    above = np.concatenate([np.cumsum(more[::-1])[::-1], [0]])  # pieces of the ids from each on
 
     @F.pandas_udf("int")
-    def host_of(order: pd.Series) -> pd.Series:
-        return order.map(before).astype("Int32")
-
-    guest = ranged.where(F.col("order").isin(list(before))) if before else ranged.limit(0)
-    both = ranged.withColumn("guest", F.lit(0)).unionByName(guest.withColumn("range", host_of("order")).withColumn("guest", F.lit(1)))
-    return both.repartition("range").sortWithinPartitions("range", "guest", F.desc("order"), "text")
+    def range_of(cut: pd.Series, order: pd.Series, h: pd.Series) -> pd.Series:
+        order = order.to_numpy()
+        at = np.searchsorted(ids, order, "left")
+        own = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == order) if len(ids) else np.zeros(len(order), bool)
+        extra = above[at + own]  # every piece of an id above comes first
+        if own.any():
+            share = (h.to_numpy()[own].astype(float) + 2.0**63) / 2.0**64
+            extra = extra.copy()
+            extra[own] += np.minimum((share * more[at[own]]).astype(np.int64), more[at[own]] - 1)
+        return pd.Series((cut.to_numpy() + extra).astype(np.int32))
+
+    ranged = docs.withColumn("range", range_of("cut", "order", "h")).drop("cut")
+    first = F.max(F.struct("order", F.bitwise_not("h").alias("last")))  # the highest id, of its texts the lowest hash
+    firsts = sorted((r["range"], *r["first"]) for r in ranged.groupBy("range").agg(first.alias("first")).collect())
+    hosts = spark.createDataFrame([(firsts[i - 1][0], order, ~last) for i, (_, order, last) in enumerate(firsts)], "_range int, _order long, _h long")
+    guest = ranged.join(F.broadcast(hosts), (F.col("order") == F.col("_order")) & (F.col("h") == F.col("_h")))  # one row a range
+    guest = guest.withColumn("range", F.col("_range")).drop("_range", "_order", "_h")
+    both = ranged.withColumn("guest", F.lit(0)).unionByName(guest.withColumn("guest", F.lit(1)))
+    return both.repartition("range").sortWithinPartitions("range", "guest", F.desc("order"), "h", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -510,3 +510,60 @@ def test_pipeline_keeps_only_the_last_stage(spark, tmp_path):
     corpus_pipeline.run(spark, SMOKE)
     new = [x for x in os.listdir(folder) if x.startswith("pipeline-") and x not in was]
     assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["secrets"]
+
+
+def _chunks(text):
+    """Chunks of a text by the definition: a hash of the last 32 bytes at every byte, one after the other."""
+    data = text.encode()
+    gear = [int(x) >> 32 for x in chunk_fingerprint._mixed(512)[:256]]
+    small, normal, large = chunk_fingerprint.SMALLEST, chunk_fingerprint.NORMAL, chunk_fingerprint.LARGEST
+    out, start, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+        size = i + 1 - start
+        bits = chunk_fingerprint.STRICT_BITS if size <= normal else chunk_fingerprint.LOOSE_BITS
+        loose = size >= normal and h >> (32 - chunk_fingerprint.LOOSE_BITS) == 0
+        if len(data) - start > small and (size >= small and h >> (32 - bits) == 0 or loose or size == large):
+            out.append(data[start:i + 1])
+            start = i + 1
+    return out + ([data[start:]] if start < len(data) else [])
+
+
+def _like(a, b):
+    a, b = set(a), set(b)
+    return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+
+def _near_rows(rows):
+    rows = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    out = {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        edited = text[:len(text) - len(text) // 3] + after[:len(text) // 3]
+        own, changed = _chunks(text), _chunks(edited)
+        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), _like(own, changed), _like(own, _chunks(after)), sorted(map(len, set(own))), sorted(map(len, set(changed))))
+    return out
+
+
+def test_likeness_by_plain_chunks(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SMOKE}/documents.parquet").where("length(text) < 3000").limit(80).collect()]
+    rows += [(10**7 + i, rows[i][1]) for i in range(20)] + [(10**8, ""), (10**8 + 1, "é" * 500), (None, "the last one " * 40)]
+    want = _near_rows(rows)
+    lengths = lambda f: sorted(int(f[k + 12:k + 14], 16) + 1 for k in range(0, len(f), 14))
+    for x in chunk_fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect():
+        n, sha, edited, following, own, changed = want[x.doc_id]
+        assert (x.n_chars, x.edited_sha256, lengths(x.fingerprint), lengths(x.edited_fingerprint)) == (n, sha, own, changed)
+        assert abs(x.near_edited - edited) < 1e-12 and abs(x.near_next - following) < 1e-12
+
+
+@pytest.mark.parametrize("hot", [None, 50])
+def test_an_id_with_most_rows_is_cut(spark, hot):
+    rows = [(i, f"text {i} " * 20) for i in range(100)] + [(hot, f"hot {i} " * 20) for i in range(400)]
+    dealt = chunk_fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    sizes = Counter(x["range"] for x in dealt)
+    assert max(sizes.values()) < 120 and sum(not x.guest for x in dealt) == 500
+    assert sum(x.guest for x in dealt) == len({x["range"] for x in dealt})
+    got = chunk_fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # every row once, each edited with the head of the next one
+    texts_ = [x.text for x in sorted((x for x in dealt if not x.guest), key=lambda x: (-x.order, x.h))]
+    edited = [hashlib.sha256((t[:len(t) - len(t) // 3] + u[:len(t) // 3]).encode()).hexdigest() for t, u in zip(texts_, texts_[1:] + texts_[:1])]
+    assert sorted(x.edited_sha256 for x in got) == sorted(edited)
