@@ -188,12 +188,12 @@ def preprocess(events: DataFrame, gap_seconds: float = 1800.0, scale_cols=(), **
 
     Raw values are kept; standardized values go to new columns so later
     stages never read a z-score as if it were seconds or days.  With
-    ``scale_cols`` the stage is written once (``materialize``) and the sums for
-    the z-scores are observed while it is written.
+    ``scale_cols`` the stage is written once (``materialize``); the sums for the
+    z-scores and the z-scores themselves read the written rows.
     """
     from sparkjourney.operators.stats import standardize
 
     out = event_features(sessionize(events, gap_seconds=gap_seconds, **cut))
     if scale_cols:
-        out = standardize(out, list(scale_cols), fit="observed")
+        out = standardize(out, list(scale_cols), fit="written")
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkjourney.functions.scalar import with_scalar, fit_row
 from sparkjourney.operators.quantiles import exact_quantiles, few
-from sparkjourney.session import materialize_observed
+from sparkjourney.session import materialize
 
 DESCRIBE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -35,8 +35,8 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", populati
     ``fit='row'`` fetches them as literals (right for a materialized,
     user-grain input that is later grouped on the z-scores, where a subquery
     would be copied into every reference);
-    ``fit='observed'`` writes the input once and takes the statistics from
-    that same pass (right for an expensive event-grain stage).
+    ``fit='written'`` materializes the input once; the statistics and the
+    z-scores read the written rows (right for an expensive event-grain stage).
     """
     std = F.stddev_pop if population else F.stddev_samp
     if fit == "row":
@@ -47,9 +47,9 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z", populati
             z = (F.col(c) - F.lit(m)) / F.lit(s) if (s is not None and s > 0) else F.lit(0.0)
             out = out.withColumn(c + suffix, z.cast("double"))
         return out
-    if fit == "observed":
-        df, st = materialize_observed(df, {f"{c}_{n}": f(c) for c in cols for n, f in (("mean", F.avg), ("std", std))})
-        return _scaled(df, st, cols, suffix)
+    if fit == "written":
+        df = materialize(df)
+        return apply_scaler(df, scaler_stats(df, cols, population), cols, suffix)
     # one scalar subquery: Spark runs it once and, under AQE, it shares the
     # upstream shuffle with the main plan (a separate fit job would not)
     stats = df.agg(*[F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in cols])
@@ -72,10 +72,7 @@ def scaler_stats(df: DataFrame, cols: Sequence[str], population: bool = True) ->
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Add ``<c><suffix>`` from a ``scaler_stats`` row (zero std -> 0)."""
-    return _scaled(df, fit_row(stats), cols, suffix)
-
-
-def _scaled(df: DataFrame, st, cols: Sequence[str], suffix: str) -> DataFrame:
+    st = fit_row(stats)
     out = df
     for c in cols:
         m, s = st[f"{c}_mean"], st[f"{c}_std"]

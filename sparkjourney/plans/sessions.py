@@ -64,7 +64,7 @@ _Z = ["session_duration", "gap_seconds", "hour_of_day", "weekday"]
   FROM s""")
 def q_standardized(spark, d):
     f = event_features(t.sessions(spark, d))
-    z = standardize(f.select(S.EVENT_ID, *_Z), _Z, fit="observed")
+    z = standardize(f.select(S.EVENT_ID, *_Z), _Z, fit="written")
     return round_doubles(z.select(S.EVENT_ID, *[c + "_z" for c in _Z]))
 
 
