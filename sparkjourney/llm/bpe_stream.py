@@ -109,8 +109,8 @@ class Transducer:
         self.newer = regex.compile("[" + "".join(map(chr, self.newer_lower)) + "]") if self.newer_lower else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.text_of = {i: t.encode("utf-8") for t, i in self.ids.items()} | {i: t.encode("utf-8") for t, i in self.special.items()}
-        self.chunk = Memo(self._chunk)
-        self.word = Memo(self._word)
+        self.chunk = Memo(self._chunk, 32 << 20)
+        self.word = Memo(self._word, 24 << 20)
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Merges in place: always the lowest rank, leftmost first."""
