@@ -38,8 +38,8 @@ class Counter:
         #: adjacent characters that some piece holds; a text splits between any others
         self.adjacent = {pair for piece in rank for pair in zip(piece, piece[1:])}
         self.lonely = {c for c in "\n.," if not any(c in pair for pair in self.adjacent)}
-        self.word = Memo(self._word)
-        self.run = Memo(self.merged)
+        self.word = Memo(self._word, 64 << 20)
+        self.run = Memo(self.merged, 32 << 20)
 
     def merged(self, text: str) -> int:
         """Number of tokens of one text into which no merge reaches from outside."""
