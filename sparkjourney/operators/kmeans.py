@@ -34,12 +34,21 @@ Models = dict[tuple, np.ndarray]
 
 
 def _rows(batch: pa.RecordBatch, d: int) -> np.ndarray:
-    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+    """The batch's first ``d`` columns, each of them contiguous."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).T
 
 
-def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to centres."""
-    return ((x[:, None, :] - centres[None]) ** 2).sum(2)
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre (of equally near ones the first), and the squared distance
+    to it.  One centre at a time over whole columns: no (rows, centres, columns) block."""
+    near, low = np.zeros(len(x), np.intp), np.full(len(x), np.inf)
+    for c, centre in enumerate(centres):
+        far = (x[:, 0] - centre[0]) ** 2
+        for j in range(1, x.shape[1]):
+            far += (x[:, j] - centre[j]) ** 2
+        near[far < low] = c
+        np.minimum(low, far, out=low)
+    return near, low
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -71,7 +80,7 @@ def seed_centres(df: DataFrame, cols: Sequence[str], key: str, k: int, starts: i
                 for s, have in enumerate(chosen):
                     if len(have) < step:
                         continue  # no further distinct row
-                    weight = _distances(x, have).min(1) if step else np.ones(len(x))
+                    weight = _nearest(x, have)[1] if step else np.ones(len(x))
                     with np.errstate(divide="ignore"):
                         race = np.where(weight > 0, -np.log(_uniform(h, s * 1000 + step)) / weight, np.inf)
                     i = race.argmin() if len(race) else None
@@ -97,10 +106,9 @@ def _totals(data: DataFrame, models: Models, d: int) -> dict[tuple, tuple]:
             x = _rows(b, d)
             norms = (x ** 2).sum(1)
             for own, c in zip(held, centres):
-                far = _distances(x, c)
-                near = far.argmin(1)
-                low = far[np.arange(len(x)), near]
-                for j, v in enumerate([np.ones(len(x)), *x.T, norms, low]):
+                near, low = _nearest(x, c)
+                own[:, 0] += np.bincount(near, minlength=len(c))
+                for j, v in enumerate([*x.T, norms, low], 1):
                     own[:, j] += np.bincount(near, v, len(c))
         out = [{"m": m, "c": c, "v": row.tolist()} for m, own in enumerate(held) for c, row in enumerate(own) if row[0]]
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("m", pa.int32()), ("c", pa.int32()), ("v", pa.list_(pa.float64()))]))
@@ -148,7 +156,7 @@ def silhouettes(df: DataFrame, cols: Sequence[str], models: Models) -> dict[tupl
             x = _rows(b, d)
             at = np.arange(len(x))
             for i, (centres, n, y, q) in enumerate(facts):
-                near = _distances(x, centres).argmin(1)
+                near = _nearest(x, centres)[0]
                 mean = (x ** 2).sum(1)[:, None] + (q / np.maximum(n, 1))[None] - 2 * x @ (y / np.maximum(n, 1)[:, None]).T
                 mean = np.where(n[None] > 0, np.maximum(mean, 0), np.inf)
                 own = n[near]

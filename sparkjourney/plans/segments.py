@@ -184,7 +184,7 @@ def q_choose_k(spark, d):
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, d):
     _, feats, cols = scaled_features(events_rfm(spark, d), RFM_COLS, pca_k=3)
-    rows, _ = kmeans_sweep(materialize(feats), cols, S.USER, range(2, 11))
+    rows, _ = kmeans_sweep(materialize(feats.select(S.USER, *cols)), cols, S.USER, range(2, 11))
     best = sorted(rows, key=lambda r: (-r[2], r[0]))[0][0]  # best silhouette, smallest k on ties
     return spark.createDataFrame([(*r, r[0] == best) for r in rows],
                                  "k int, inertia double, silhouette double, chosen boolean")

@@ -169,3 +169,17 @@ def test_defaults_and_required_columns(spark):
     assert with_defaults(df, ["a", "b"], 0).first().asDict() == {"a": 1, "b": 0}
     with pytest.raises(ValueError):
         require_columns(df, ["a", "zz"])
+
+
+def test_nearest_centre_takes_no_block_of_rows_by_centres_by_columns():
+    import tracemalloc
+    from sparkjourney.operators.kmeans import _nearest
+    rng = np.random.default_rng(4)
+    x, c = rng.integers(0, 5, (50_000, 3)).astype(float), rng.integers(0, 5, (10, 3)).astype(float)  # many ties
+    tracemalloc.start()
+    near, low = _nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = _far(x, c)
+    assert (near == far.argmin(1)).all() and (low == far.min(1)).all()
+    assert peak < far.nbytes  # the block and its squares are six times as large
