@@ -33,6 +33,10 @@ from sparkjourney.functions.scalar import with_scalar, fit_row
 #: Spark's deepest tree, for "unbounded".
 UNBOUNDED_DEPTH = 30
 
+#: Rows for which a task of the fits is worth its start: a pass of a forest makes the
+#: histograms of all its open nodes once a task, however few rows the task has.
+ROWS_A_TASK = 8192
+
 FEATURES = ("frequency", "monetary", "session_duration", "event_count", "product_count")
 
 
@@ -71,8 +75,8 @@ def _split(features_df: DataFrame, label: str, test_pct: int) -> DataFrame:
     """The models' input: one materialized table with the exact split."""
     from sparkjourney.session import materialize
 
-    split = stratified_split_exact(materialize(features_df.drop("split")), label, test_pct=test_pct)
-    return binary_label(materialize(split), label)
+    split = materialize(stratified_split_exact(materialize(features_df.drop("split")), label, test_pct=test_pct))
+    return binary_label(split.coalesce(max(1, math.ceil(split.count() / ROWS_A_TASK))), label)
 
 
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
@@ -224,14 +228,17 @@ def class1_score(pred: DataFrame, name: str = "score") -> DataFrame:
 
 
 def evaluate(pred: DataFrame, label: str = "churn") -> DataFrame:
-    """(accuracy, precision, recall, f1, roc_auc) for class 1, one row."""
-    p = pred.withColumn("prediction", F.col("prediction").cast("int"))
+    """(accuracy, precision, recall, f1, roc_auc) for class 1, one row.  The model is
+    applied once: its predictions are materialized for the figures that follow."""
+    from sparkjourney.session import materialize
+
+    p = materialize(class1_score(pred).select(label, F.col("prediction").cast("int").alias("prediction"), "score"))
     rep = class_report(p, label, "prediction")
     one = rep.agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
                   F.max(F.when(F.col("row") == "1", F.col("precision"))).alias("precision"),
                   F.max(F.when(F.col("row") == "1", F.col("recall"))).alias("recall"),
                   F.max(F.when(F.col("row") == "1", F.col("f1"))).alias("f1"))
-    auc = roc_auc(class1_score(p), label, "score").select(F.col("auc").alias("roc_auc")).scalar()
+    auc = roc_auc(p, label, "score").select(F.col("auc").alias("roc_auc")).scalar()
     return one.withColumn("roc_auc", auc)
 
 
