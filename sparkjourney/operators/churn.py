@@ -287,9 +287,28 @@ def forest_grid(label: str = "churn", seed: int = 42, trees=(100, 200), depths=(
     return rf, grid
 
 
+def subset_size(strategy: str, n: int) -> int | str:
+    """Columns that a split looks at under Spark's ``featureSubsetStrategy``, or the
+    strategy itself where that depends on more than the number of columns."""
+    if strategy not in ("sqrt", "log2"):
+        return strategy
+    return math.ceil(math.sqrt(n)) if strategy == "sqrt" else max(1, math.ceil(math.log(n) / math.log(2)))
+
+
+def same_forest(grid: Sequence[dict], n: int) -> list[int]:
+    """For each point of the grid the first point whose forest it shares: with the same
+    seed, points that differ in the name of an equally large subset grow the same trees."""
+    def grown(point):
+        return frozenset((p.name, subset_size(v, n) if p.name == "featureSubsetStrategy" else v) for p, v in point.items())
+
+    first: dict = {}
+    return [first.setdefault(grown(point), i) for i, point in enumerate(grid)]
+
+
 def tune_forest(features_df: DataFrame, label: str = "churn", features: Sequence[str] = FEATURES, folds: int = 3,
                 parallelism: int = 4, seed: int = 42, grid_kwargs: dict | None = None):
-    """3-fold cross-validated grid search on the train split, by ROC AUC.
+    """3-fold cross-validated grid search on the train split, by ROC AUC.  Points of
+    the grid that grow the same forest share its fits; each has its own figure.
 
     Returns (best params dict, test metrics row, cv model).
     """
@@ -300,10 +319,15 @@ def tune_forest(features_df: DataFrame, label: str = "churn", features: Sequence
     data = _split(features_df, label, 20)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     rf, grid = forest_grid(label, seed, **(grid_kwargs or {}))
-    cv = CrossValidator(estimator=Pipeline(stages=[_assembler(features), rf]), estimatorParamMaps=grid,
+    shared = same_forest(grid, len(list(features)))
+    fitted = sorted(set(shared))
+    cv = CrossValidator(estimator=Pipeline(stages=[_assembler(features), rf]), estimatorParamMaps=[grid[i] for i in fitted],
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
                         numFolds=folds, parallelism=parallelism, seed=seed)
     cvm = cv.fit(train)
+    at = {i: j for j, i in enumerate(fitted)}
+    cvm.avgMetrics, cvm.stdMetrics = ([m[at[i]] for i in shared] if m else m for m in (cvm.avgMetrics, cvm.stdMetrics))
+    cvm._set(estimatorParamMaps=grid)
     best = cvm.bestModel.stages[-1]
     params = {"numTrees": best.getNumTrees, "maxDepth": best.getMaxDepth(),
               "minInstancesPerNode": best.getMinInstancesPerNode(),
