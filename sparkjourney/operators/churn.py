@@ -265,7 +265,12 @@ def train_churn(features_df: DataFrame, label: str = "churn", features: Sequence
 
     def fit_one(item):
         name, pipe, balance = item
-        m = with_probability(pipe, train, label) if name == "SVM" else pipe.fit(balance_by_replication(train, label) if balance else train)
+        if name == "SVM":
+            m = with_probability(pipe, train, label)
+        elif name == "Random Forest" and many_rows(train):
+            m = forest_in_tasks(pipe.getStages()[-1], train, features, label)
+        else:
+            m = pipe.fit(balance_by_replication(train, label) if balance else train)
         r = evaluate(m.transform(test), label).first()
         return (name, *[float(v) if v is not None else None for v in r]), m
 
@@ -280,6 +285,12 @@ def many_rows(train: DataFrame) -> bool:
     return train.count() > FOREST_ROWS
 
 
+def forest_in_tasks(rf, train: DataFrame, features: Sequence[str], label: str):
+    """Pipeline model of the forest that Spark's estimator ``rf`` describes, grown and kept in tasks."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel([_assembler(features), fit_forest(train, features, label, forest_of(rf, {}, len(list(features))))])
+
+
 def forest_of(rf, point: dict, n: int) -> Forest:
     """Spark's estimator at a point of its grid, for ``n`` columns."""
     at = {p.name: v for p, v in rf.extractParamMap(point).items()}
