@@ -40,6 +40,11 @@ UNBOUNDED_DEPTH = 30
 #: histograms of all its open nodes once a task, however few rows the task has.
 ROWS_A_TASK = 8192
 
+#: Tasks a core that the fits' rows make, and rows of a task at which they make more: a fit has
+#: hundreds of passes, each of which starts all tasks and keeps a record of each on the driver.
+TASKS_A_CORE = 3
+MOST_ROWS_A_TASK = 1 << 20
+
 #: Train rows up to which Spark grows a forest: its nodes (about one for each three rows
 #: and tree) are all on the driver.
 FOREST_ROWS = 2048
@@ -83,7 +88,12 @@ def _split(features_df: DataFrame, label: str, test_pct: int) -> DataFrame:
     from sparkjourney.session import materialize
 
     split = materialize(stratified_split_exact(materialize(features_df.drop("split")), label, test_pct=test_pct))
-    return binary_label(split.coalesce(max(1, math.ceil(split.count() / ROWS_A_TASK))), label)
+    return binary_label(split.coalesce(fit_tasks(split.count(), split.sparkSession.sparkContext.defaultParallelism)), label)
+
+
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks that a fit's rows make."""
+    return max(1, math.ceil(rows / MOST_ROWS_A_TASK), min(math.ceil(rows / ROWS_A_TASK), TASKS_A_CORE * cores))
 
 
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
