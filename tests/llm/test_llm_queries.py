@@ -374,7 +374,7 @@ def test_edge_inputs(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages", "labels"):
+    for t in ("conversations", "pages", "labels", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SMOKE)
     cur = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE[name]})")
